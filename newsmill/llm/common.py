@@ -58,16 +58,20 @@ def crc(data: bytes) -> int:
 
 
 class WordCache(dict):
-    """word -> value of make(word), kept for the next use; emptied once it holds `most` words, so memory is bounded."""
+    """word -> make(word), kept for the next use. Bounded: once it holds `most` words they become the old half, from which a word used again comes back."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
 

@@ -13,10 +13,13 @@ index columns alone (Parquet prunes the payload) and then one frame of one paylo
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from functools import cache as memo
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +33,58 @@ TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 400, 8_000_000, 65_536
 BLOCK_BYTES = 1 << 20
 
 
+#: Fixed value: the pre-token pattern of the byte-level vocabulary.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+_SHORT = regex.compile(r"'(?:[stmd]|re|ve|ll)")
+_SPACE = 3
+
+
+@memo
+def character_classes() -> np.ndarray:
+    """Of each code point: 1 a letter, 2 a number, 3 a space, 0 anything else."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+    return out
+
+
+def pretokens(text: str) -> list[str]:
+    """What the pattern finds: runs of a class, with a space before; the last space of a run of spaces stands apart."""
+    if not text:
+        return []
+    if "'" in text and _SHORT.search(text):
+        return _PATTERN.findall(text)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    kind = character_classes()[points]
+    start = np.ones(len(points), bool)
+    start[1:] = kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == _SPACE) & start[1:])
+    start[last] = True
+    start[last[points[last] == 32] + 1] = False
+    at = np.flatnonzero(start).tolist()
+    return [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+
+
+def byte_letters() -> dict[int, str]:
+    """byte -> the letter that the library writes it with, learned from characters that hold every byte of UTF-8."""
+    from tokenizers import pre_tokenizers
+
+    own, out = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), {}
+    for c in (*range(0x800), *range(0x800, 0xD800, 0x100), *range(0xE000, 0x110000, 0x1000)):
+        for b, letter in zip(chr(c).encode(), own.pre_tokenize_str(chr(c))[0][0], strict=True):
+            out[b] = letter
+    return out
+
+
 class Encoder:
     """Whole texts to ids as little-endian bytes.
 
-    The byte-level pattern always starts a new token before a space that stands alone, so a text cut
-    before its single spaces encodes to the ids of its parts, and parts repeat. A text with two spaces in a row
-    goes to the library whole.
+    A text is cut into pre-tokens as the vocabulary's pattern cuts it, the library's model turns each into ids.
+    Pre-tokens repeat, so their ids are kept.
     """
 
     def __init__(self, path: str):
@@ -44,23 +93,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
-        self.cache = WordCache(None, 500_000)
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
+        self.tokens = WordCache(self.token, 600_000)
+        self.bytes = byte_letters()
         self.end = np.array([END_ID], self.kind).tobytes()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def token(self, token: str) -> bytes:
+        letters = token.encode("utf-8").decode("latin-1").translate(self.bytes)
+        return array(self.code, [x.id for x in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        parts = [None if "  " in t or t[-1:] == " " else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        cache = self.cache
-        if len(cache) >= cache.most:
-            cache.clear()
-        new = list({p for own in parts if own for p in own if p not in cache})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            cache.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        return [(b"".join(map(cache.__getitem__, own)) if own is not None else self.whole(t)) + self.end for t, own in zip(texts, parts, strict=True)]
+        get = self.tokens.__getitem__
+        return [b"".join(map(get, pretokens(t))) + self.end for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -112,9 +156,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> str:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([pack.compress(x) for x in raw], pa.binary())], ["doc_id", "n_tokens", "frame"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frames = docs.mapInArrow(encode, "doc_id long, n_tokens long, frame binary")
-    # one frame's bytes break ties, so equal runs give equal files
-    ranged = frames.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame").withColumn("shard", F.spark_partition_id())
+    # texts are dealt out, not frames: finding the ranges reads the rows once before, and must not encode them
+    ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    frames = ranged.mapInArrow(encode, "doc_id long, n_tokens long, frame binary").withColumn("shard", F.spark_partition_id())
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, counts, frames, size, at, number, shard = [], [], [], 0, 0, 0, None
@@ -145,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> str:
 
     schema = "shard int, block long, first_doc long, dict_hash string, doc_ids array<long>, starts array<long>, n_tokens array<long>, offsets array<long>, payload binary"
     # the frames are compressed already
-    ranged.mapInArrow(block, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    frames.mapInArrow(block, schema).write.option("compression", "none").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").select("shard", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
     bases, base = [], 0
     for row in totals:  # a row a shard, of which there are as many as shuffle partitions
