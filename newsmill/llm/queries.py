@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, tokenbin
+from . import chat, decontaminate, language, media, pieces, resample, simhash, suffix, tokenbin, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_importance_resampling": resample.query,
         "op2_token_binary": tokenbin.query,
+        "op3_language_id": language.query,
+        "op4_decontamination": decontaminate.query,
+        "op5_chat_format": chat.query,
+        "op6_suffix_dedup": suffix.query,
+        "op7_toxicity": toxicity.query,
         "op8_simhash_near_dedup": simhash.query,
+        "op9_media_columns": media.query,
+        "op10_sentencepiece": pieces.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where SQL can express the operator; the tests hold the others against brute force."""
+    return {"op5_chat_format": chat.SQL}
