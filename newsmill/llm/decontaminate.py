@@ -150,16 +150,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, threshol
     Tokens are runs of word characters, lower-cased. Null texts are empty; items of fewer than `least` tokens never
     match; repeated rows of either table give repeated pairs; null ids stay null.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS) or 1
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for b in range(n):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
-        shared = spark.sparkContext.broadcast(rows)
+    for shared in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = Block(shared.value, least)
@@ -174,6 +168,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, threshol
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with its columns, into which no item leaks."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+    for shared in blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = Block(shared.value, least)
+            for batch in batches:
+                yield batch.filter(pa.array([next(block.search(t, threshold), None) is None for t in strings(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def blocks(benchmark: DataFrame) -> Iterator:
+    """Broadcasts of the items, BLOCK_CHARS characters or so in each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-chars // BLOCK_CHARS) or 1
+    for b in range(n):
+        yield spark.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: items of the benchmark that leak into documents."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -184,6 +184,13 @@ def edges(fps: DataFrame, radius: int) -> DataFrame:
     return keyed.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
+def _roots(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint in own(fp)."""
+    distinct = written(own.select("fp").distinct(), "distinct-fingerprints")
+    found = components(edges(distinct, radius))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs(doc_id, text, ...).
 
@@ -192,14 +199,29 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     group, null if it has none. Repeated rows stay. Equal fingerprints are one node, so copies cost one row each.
     """
     own = written(with_fingerprint(docs, width), "fingerprints")
-    least = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(edges(least.select("fp"), radius))
-    with_root = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    with_root = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_roots(own, radius), "fp"), "rooted-fingerprints")
     of_root = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = written(with_root.join(of_root, "root").select("fp", "component_id"), "components")
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
+    """One row of docs, with its columns, for each group: that of the least doc_id (a null one last), the least hash of ties."""
+    names = docs.columns
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(*[F.col(f"`{n}`") for n in names]).alias("_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(strings(b.column(2)), width).view(np.int64))], ["key", "hash", "fp"])
+
+    prepare(docs.sparkSession)
+    own = written(keyed.select("_key", "_hash", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, hash long, fp long"), "fingerprints")
+    first = own.groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("one"))
+    kept = first.join(_roots(own, radius), "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.key").alias("_key"), F.col("one.hash").alias("_hash"))
+    # repeated rows are alike in both: one of them stays
+    return keyed.join(written(kept, "kept"), ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*[F.col(f"`{n}`") for n in names])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: fingerprints of 3-word shingles, linked at two bits or fewer."""
     found = near_groups(table(spark, sf_dir, "documents"), 3, 2)

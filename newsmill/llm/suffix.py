@@ -273,6 +273,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with its columns, texts cut down to what remove_repeats keeps (halves of characters dropped) and n_chars brought in line.
+
+    Rows of which nothing is left are gone; rows that were empty before stay.
+    """
+    keyed, found = spans(docs, length)
+    names = docs.columns
+    at = names.index("text")
+    both = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).alias("_th"))
+    joined = both.join(found.select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).hint("shuffle_hash"), ["_key", "_th"], "left").select(*[F.col(f"`{n}`") for n in names], "_spans")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = [], []
+            for text, own in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                if own:
+                    raw, runs = text.encode("utf-8", "surrogatepass"), merged(own)
+                    edges = [0, *(x for run in runs for x in run), len(raw)]
+                    text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
+                texts.append(text)
+                stay.append(not own or bool(text.strip()))
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            if "n_chars" in names:
+                i = names.index("n_chars")
+                columns[i] = pa.array([len(t) if own else n for t, own, n in zip(texts, batch.column(len(names)).to_pylist(), columns[i].to_pylist(), strict=True)], columns[i].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay))
+
+    return joined.mapInArrow(apply, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: repeated strings of 200 bytes, over all documents."""
     return remove_repeats(table(spark, sf_dir, "documents"), LENGTH).drop("kept")
