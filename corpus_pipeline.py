@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fingerprints of five-word shingles, linked at three bits or fewer; the least doc_id of each group stays."""
-    return simhash.one_of_each(docs, 5, 3)
+    """Fingerprints of five-word shingles, linked where texts share a band and few bits differ; the least doc_id of each group stays."""
+    return simhash.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from newsmill.llm import toxicity
+from newsmill.llm import simhash, toxicity
 from newsmill.llm.common import tokenizer_path
 
 from .helpers import empty, folder, odd
@@ -23,7 +23,8 @@ def test_stages_against_brute_force(spark):
     rows = [sorted(s.collect(), key=lambda r: r.doc_id) for s in steps]
     model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
     assert [r.doc_id for r in rows[1]] == [r.doc_id for r in rows[0] if 1 - model.grades([r.text])[0][0] <= toxicity.CUT]
-    roots = brute_roots([brute_fp(r.text, 5) for r in rows[1]], 3)
+    fps, keys = [brute_fp(r.text, 5) for r in rows[1]], [set(b) for b in simhash.bands([r.text for r in rows[1]], 5)]
+    roots = brute_roots(fps, simhash.NEAR, keys)
     assert [r.doc_id for r in rows[2]] == [r.doc_id for i, r in enumerate(rows[1]) if roots[i] == i]
     cut = brute_repeats([r.text for r in rows[2]], 200)
     left = {r.doc_id: (n, gone) for r, (n, gone, _, _) in zip(rows[2], cut, strict=True)}
@@ -54,3 +55,16 @@ def test_odd_and_empty_rows(spark, tmp_path):
     d = folder(tmp_path / "e", documents=empty(spark), labels=labels, benchmark=bench)
     assert corpus_pipeline.run(spark, d).collect() == []
     assert tokenizer_path("piece_bpe_32k.model")
+
+
+def test_near_copies_go_and_others_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect()}
+    own = {r.doc_id: set(simhash.shingle_hashes(r.text, 5)) for r in docs.collect()}
+    like = lambda a, b: len(own[a] & own[b]) / max(1, len(own[a] | own[b])) if own[a] or own[b] else 1.0
+    gone, missed = set(own) - kept, 0
+    for d in gone:  # each has a near copy
+        assert max(like(d, o) for o in own if o != d) > 0.6
+    pairs = [(a, b) for a in kept for b in kept if a < b and own[a] & own[b] and like(a, b) >= 0.8]
+    missed = len(pairs)
+    assert len(gone) > 70 and missed <= 2

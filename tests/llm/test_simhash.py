@@ -15,12 +15,12 @@ def brute_fp(text, width=3):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
 
 
-def brute_roots(fps, radius):
+def brute_roots(fps, radius, keys=None):
     root = list(range(len(fps)))
     for _ in fps:
         for i, a in enumerate(fps):
             for j, b in enumerate(fps):
-                if (a ^ b).bit_count() <= radius:
+                if (a ^ b).bit_count() <= radius and (a == b or keys is None or keys[i] & keys[j]):
                     root[i] = root[j] = min(root[i], root[j])
     return root
 
@@ -46,9 +46,9 @@ def partition(pairs, n):
 
 def test_bit_sliced_matches_popcount():
     rng = random.Random(3)
-    for radius in range(4):
+    for radius in (0, 1, 2, 3, 4, 7, 10):
         base = rng.getrandbits(64)
-        fps = np.array([base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for _ in range(150)], np.uint64)
+        fps = np.array([base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(14))) for _ in range(150)], np.uint64)
         planes, valid = simhash._planes(fps)
         for q in fps[:40]:
             bits = simhash.within(np.full(len(valid), q), np.arange(len(valid)), planes, valid, radius)
