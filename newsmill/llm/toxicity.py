@@ -91,7 +91,7 @@ def fit_ordinal(rows: list[list[tuple[int, int]]], grade: np.ndarray, n_words: i
     for t in range(1, steps + 1 if len(rows) else 1):
         gaps = np.exp(theta[n_words + 1 :])
         cut = theta[n_words] + np.concatenate(([0], np.cumsum(gaps)))
-        below = 1 / (1 + np.exp(np.clip((x @ theta[:n_words])[:, None] - cut, -50, 50)))
+        below = 1 / (1 + np.exp(np.clip((x @ theta[:n_words].astype(np.float32))[:, None] - cut, -50, 50)))
         edge = np.concatenate((np.zeros((len(rows), 1)), below, np.ones((len(rows), 1))), axis=1)
         slope = edge * (1 - edge)
         p = np.maximum(edge[at, grade + 1] - edge[at, grade], 1e-9)
@@ -100,7 +100,7 @@ def fit_ordinal(rows: list[list[tuple[int, int]]], grade: np.ndarray, n_words: i
         for k in range(len(cut)):
             d_cut[k] = up[grade == k].sum() - down[grade == k + 1].sum()
         gradient = np.empty_like(theta)
-        gradient[:n_words] = -x.T @ (up - down) / len(rows) - 2 * ridge * theta[:n_words]
+        gradient[:n_words] = -((up - down).astype(np.float32) @ x) / len(rows) - 2 * ridge * theta[:n_words]
         gradient[n_words] = d_cut.sum() / len(rows)
         gradient[n_words + 1 :] = gaps * np.cumsum(d_cut[::-1])[::-1][1:] / len(rows)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
