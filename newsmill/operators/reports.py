@@ -33,15 +33,16 @@ def failed_sources(failed: DataFrame) -> DataFrame:
 def report_text(counts: DataFrame, report: DataFrame, header: str = "Оновлення завершено") -> DataFrame:
     """One row, the report as text: header, a line of counts (without skipped_no_body) and a line a source."""
     shown = [s for s in STATUSES if s != "skipped_no_body"]
-    line = counts.groupBy().agg(F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), F.coalesce(F.max(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).cast("string")) for s in shown]).alias("stats"))
+    stats = counts.agg(F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), F.coalesce(F.max(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).cast("string")) for s in shown]).alias("line"))
     mark = F.when(F.col("available"), "✅").otherwise("❌")
-    each = report.select(F.struct(F.lower("label").alias("o"), F.col("key"), F.concat(mark, F.lit(" "), F.col("label"), F.lit(": "), F.col("created").cast("string")).alias("line")).alias("r"))
-    listed = each.agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("listed"))
-    return line.crossJoin(listed).select(F.concat_ws("\n", F.lit(header), "stats", F.nullif("listed", F.lit(""))).alias("report"))
+    each = report.select(F.lit(1).alias("part"), F.lower("label").alias("place"), F.col("key"), F.concat(mark, F.lit(" "), F.col("label"), F.lit(": "), F.col("created").cast("string")).alias("line"))
+    both = stats.select(F.lit(0).alias("part"), F.lit("").alias("place"), F.lit("").alias("key"), "line").unionByName(each)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "key", "line"))), lambda r: r["line"])
+    return both.agg(F.concat_ws("\n", F.lit(header), F.array_join(lines, "\n")).alias("report"))
 
 
 def cleanup_counts(bodies: DataFrame, previews: DataFrame) -> DataFrame:
     """One row: drafts with a new body, previews inserted or updated."""
-    a = bodies.agg(F.count_if("changed").alias("drafts_updated"))
-    b = previews.agg(F.count_if(F.col("change") != "keep").alias("previews_refreshed"))
-    return a.crossJoin(b)
+    a = bodies.select(F.col("changed").alias("a"), F.lit(False).alias("b"))
+    b = previews.select(F.lit(False).alias("a"), (F.col("change") != "keep").alias("b"))
+    return a.unionByName(b).agg(F.count_if("a").alias("drafts_updated"), F.count_if("b").alias("previews_refreshed"))
