@@ -60,7 +60,7 @@ class Model:
         """Languages and their shares of 10 ** -(mean cost) (0 to 1). Ties go to the first language by name."""
         langs, scores = [], []
         for text in texts:
-            own = Counter(words(text))
+            own = Counter(words(text)) if any(map(str.isalpha, text)) else None
             if not own or not self.languages:
                 langs.append(UNKNOWN)
                 scores.append(0.0)

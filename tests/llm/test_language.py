@@ -12,7 +12,7 @@ def test_words_come_before_grams():
     assert model.cost("car").tolist() == [7.0, 1.0]
     assert model.cost("dx").tolist() == [2.0, 3.0]
     assert model.cost("zz").tolist() == [7.0, 7.0]
-    assert model.predict(["cat cat", "", "12 --"], WordCache(model.cost))[0] == ["a", "und", "und"]
+    assert model.predict(["cat cat", "", "12 --", "½ ²"], WordCache(model.cost))[0] == ["a", "und", "und", "und"]
 
 
 def test_odd_rows(spark, tmp_path):
