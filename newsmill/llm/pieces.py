@@ -57,6 +57,8 @@ def cutter(pairs: frozenset[str]):
     """Cuts a word where no piece goes on, and into MOST_CHARS characters."""
 
     def cut(word: str) -> list[str]:
+        if len(word) <= MOST_CHARS and word[1:].isalpha():
+            return [word]  # hardly ever could it be cut between letters, and it need not be
         at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
         return [word[i : min(i + MOST_CHARS, b)] for a, b in zip(at, at[1:], strict=False) for i in range(a, b, MOST_CHARS)]
 
@@ -80,7 +82,14 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             number = int.from_bytes(os.urandom(8), "little", signed=True)
-            cells = ([number], [doc_ids], [crcs], [counts], [squeeze.compress(b"".join(parts))], [list(index)])
+            # codes by falling frequency, their bytes apart: high bytes are nearly all zero
+            flat = np.frombuffer(b"".join(parts), "<u4")
+            by = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+            rank = np.empty(len(by), "<u4")
+            rank[by] = np.arange(len(by))
+            listed = list(index)
+            planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+            cells = ([number], [doc_ids], [crcs], [counts], [squeeze.compress(planes)], [[listed[i] for i in by.tolist()]])
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["pack", "doc_ids", "crcs", "counts", "codes", "words"])
 
@@ -136,6 +145,42 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
     return grouped.select("word", F.aggregate("edges", zero, step)["best"]["ids"].alias("ids"))
 
 
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, n, blob) of (pack, code, ids): n words of a pack, their codes, numbers of ids and ids, compressed. A few rows a
+    pack and task, so that words come back to their packs in a tenth of the bytes."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        packs, code = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype("<u4")
+        lists = rows.column(2).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        for p in np.unique(packs):
+            at = np.flatnonzero(packs == p)
+            at = at[np.argsort(code[at])]
+            own = lists.take(pa.array(at))
+            # sorted codes by their steps
+            steps = np.diff(code[at].astype(np.int64), prepend=0).astype("<u4")
+            raw = steps.tobytes() + np.diff(own.offsets.to_numpy()).astype("<u4").tobytes() + own.flatten().to_numpy().astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([squeeze.compress(raw)], pa.binary())], ["pack", "n", "blob"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= 400_000:
+            yield from out(pa.Table.from_batches(held))
+            held = []
+    if held:
+        yield from out(pa.Table.from_batches(held))
+
+
+def spread(words: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, numbers of ids, ids) of the blobs of one pack."""
+    found = [(w["n"], np.frombuffer(zstandard.ZstdDecompressor().decompress(w["blob"]), "<u4")) for w in words]
+    none = [np.zeros(0, np.uint32)]
+    code = np.concatenate(none + [np.cumsum(x[:n]) for n, x in found]).astype(np.int64)
+    return code, np.concatenate(none + [x[n : 2 * n] for n, x in found]).astype(np.int64), np.concatenate(none + [x[2 * n :] for n, x in found])
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids, ids_crc32, round_trip) of every row of docs(doc_id, text).
 
@@ -150,10 +195,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     name = f"newsmill_packs_{uuid.uuid4().hex}"
     pack(docs, path).write.bucketBy(parts, "pack").option("path", new_path(spark, "packs")).option("compression", "zstd").saveAsTable(name)
     packs = spark.table(name)
-    # each distinct word of a pack, by word: the lattice and the join both use this exchange
+    # each distinct word of a pack, by word: the lattice and the join use one exchange, if both read the same columns
     used = packs.select("pack", F.posexplode("words").alias("code", "word")).repartition(parts, "word")
-    found = lattice(used.select("word").groupBy("word").agg(F.lit(1).alias("one")).select("word"), path)
-    mapped = used.join(found, "word").groupBy("pack").agg(F.collect_list(F.struct("code", "ids")).alias("words"))
+    distinct = used.groupBy("word").agg(F.max(F.xxhash64("pack", "code")).alias("any")).where("any IS NOT NULL").select("word")
+    blobs = used.join(lattice(distinct, path), "word").select("pack", "code", "ids").mapInArrow(gather, "pack long, n long, blob binary")
+    mapped = blobs.groupBy("pack").agg(F.collect_list(F.struct("n", "blob")).alias("words"))
     joined = packs.select("pack", "doc_ids", "crcs", "counts", "codes").join(mapped, "pack", "left").drop("pack")
     decoded = vocabulary(path)[2]
 
@@ -163,14 +209,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for r in range(b.num_rows):
                 one = b.slice(r, 1)
                 doc_ids, crcs, counts = (one.column(i).to_pylist()[0] for i in range(3))
-                words = one.column(4).flatten()
-                code, ids = (words.field(i) for i in (0, 1)) if len(words) else (pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32())))
+                code, lengths_of, ids = spread(one.column(4).to_pylist()[0] or [])
                 lengths = np.zeros(len(code), np.int64)
-                lengths[code.to_numpy()] = np.diff(ids.offsets.to_numpy())
-                by_code = np.argsort(code.to_numpy())
-                values = ids.take(pa.array(by_code)).flatten().to_numpy().astype(np.uint32)
-                starts = np.cumsum(lengths) - lengths
-                codes = np.frombuffer(unpack.decompress(one.column(3).to_pylist()[0]), "<u4")
+                lengths[code] = lengths_of
+                starts = np.zeros(len(code), np.int64)
+                starts[code] = np.cumsum(lengths_of) - lengths_of
+                values = ids
+                planes = np.frombuffer(unpack.decompress(one.column(3).to_pylist()[0]), np.uint8).reshape(3, -1).astype(np.uint32)
+                codes = planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16)
                 at = 0
                 for i in range(0, len(doc_ids), 200):
                     n = np.array(counts[i : i + 200], np.int64)
