@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import by_key, prepare, table, written
 
 LENGTH, KGRAM, SHALLOW = 200, 32, 32
+#: An anchor in more different segments than this (a passage that very many texts quote) would fill one sorting task;
+#: equal strings of its segments are found by their 128-bit hashes instead, which any number of tasks can share.
+CROWDED = 2000
 #: Bytes joined for one pass of hashing; a longer text is a pass of its own.
 PASS_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -207,13 +210,16 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     alike = alike.unionByName(mixed.join(classes.where("n > 1").select("ah", "sh"), ["ah", "sh"]).select("key", "loc"))
     unpacked = (F.shiftrightunsigned("loc", 32).alias("lo"), F.shiftrightunsigned("loc", 24).bitwiseAND(F.lit(0xFF)).alias("n"), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("th"))
     whole = alike.select("key", *unpacked)
+    # anchors with very many classes are split further, by their strings' own hashes
+    crowded = classes.groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("ah", F.lit(True).alias("crowded"))
     # the bytes of one segment of each class, from its text
-    wanted = classes.select("ah", F.col("one.key").alias("key"), F.col("one.loc").alias("loc")).select("ah", "key", *unpacked)
-    wanted = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("ah", "lo", "n")).alias("wanted"))
+    wanted = classes.join(crowded, "ah", "left").select("ah", F.col("one.key").alias("key"), F.col("one.loc").alias("loc"), F.coalesce("crowded", F.lit(False)).alias("crowded")).select("ah", "key", "crowded", *unpacked)
+    wanted = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("ah", "lo", "n", "crowded")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, th, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, th, text, every in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                want = [w for w in every if not w["crowded"]]
                 raw = text.encode("utf-8", "surrogatepass")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w["ah"] for w in want], pa.int64()), pa.array([key] * len(want), pa.int64()), pa.array([th] * len(want), pa.int64()), pa.array([w["lo"] for w in want], pa.int64()), pa.array([w["n"] for w in want], pa.int64()), pa.array([raw[w["lo"] : w["lo"] + w["n"] + length - 1] for w in want], pa.binary())],
@@ -230,11 +236,24 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
             at = row[first]
             yield pa.RecordBatch.from_arrays([pa.array(t.column("key").to_numpy()[at]), pa.array(t.column("lo").to_numpy()[at] + offset[first]), pa.array(n), pa.array(t.column("th").to_numpy()[at])], ["key", "lo", "n", "th"])
 
+    def strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, th, text, every in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = memoryview(text.encode("utf-8", "surrogatepass"))
+                at = [i for w in every if w["crowded"] for i in range(w["lo"], w["lo"] + w["n"])]
+                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + length]) for i in at]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([th] * len(at), pa.int64())], ["h", "i", "key", "lo", "th"])
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # repeated rows give their segments twice; which of them serves is all one
-    content = keyed.select("key", "th", "text").join(wanted.hint("shuffle_hash"), ["key", "th"]).select("key", "th", "text", "wanted").mapInArrow(cut, "ah long, key long, th long, lo long, n long, content binary")
+    texts = keyed.select("key", "th", "text").join(wanted.hint("shuffle_hash"), ["key", "th"]).select("key", "th", "text", "wanted")
+    content = texts.mapInArrow(cut, "ah long, key long, th long, lo long, n long, content binary")
     ends = content.repartition(parts, "ah").sortWithinPartitions("ah").mapInArrow(sort, "key long, lo long, n long, th long")
-    all_spans = whole.unionByName(ends).select("key", "th", F.struct("lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi")).alias("span"))
+    # in the same plan as the sort, so that the texts are dealt out once for both
+    single = texts.mapInArrow(strings_of, "h long, i long, key long, lo long, th long")
+    twice = single.groupBy("h", "i").agg(F.count("*").alias("times")).where("times > 1").select("h", "i")
+    crowd = single.join(twice, ["h", "i"]).select("key", "lo", F.lit(1).cast("long").alias("n"), "th")
+    all_spans = whole.unionByName(ends).unionByName(crowd).select("key", "th", F.struct("lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi")).alias("span"))
     return keyed, all_spans.groupBy("key", "th").agg(F.collect_list("span").alias("spans"))
 
 
