@@ -106,9 +106,10 @@ def resample(docs: DataFrame, good_ids: DataFrame, fraction: float = FRACTION, s
     prepare(docs.sparkSession)
     good = good_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TARGET).withColumn("good", F.lit(True))
     raw, target = model_counts(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select(F.col("text").cast("string").alias("text"), F.coalesce("good", F.lit(False)).alias("good")))
-    out = ranked(weigh(docs, log_ratio(raw, target), seed))
-    n = docs.count()
-    return out.withColumn("selected", F.col("rank") <= math.ceil(fraction * n))
+    # written first: finding the ranges reads the rows once more, and must not weigh them again
+    weights = written(weigh(docs, log_ratio(raw, target), seed), "weights")
+    n = weights.count()
+    return ranked(weights).withColumn("selected", F.col("rank") <= math.ceil(fraction * n))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
