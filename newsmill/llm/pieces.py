@@ -30,6 +30,8 @@ BYTE_SCORE = -1e5
 #: Longer words are cut into words of this many characters.
 MOST_CHARS = 256
 PACK_WORDS, PACK_BYTES = 300_000, 24 << 20
+#: Words whose codes a task keeps at hand.
+CACHED = 60_000
 
 
 @memo
@@ -75,7 +77,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
         def fresh():
             index: dict[str, int] = {}
-            return index, WordCache(lambda w: np.array([index.setdefault(x, len(index)) for x in cut(SPACE + w)], "<u4").tobytes(), PACK_WORDS), [], [], [], []
+            return index, WordCache(lambda w: np.array([index.setdefault(x, len(index)) for x in cut(SPACE + w)], "<u4").tobytes(), CACHED), [], [], [], []
 
         index, codes, doc_ids, crcs, counts, parts = fresh()
         size = 0
@@ -84,6 +86,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
             number = int.from_bytes(os.urandom(8), "little", signed=True)
             # codes by falling frequency, their bytes apart: high bytes are nearly all zero
             flat = np.frombuffer(b"".join(parts), "<u4")
+            parts.clear()
             by = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
             rank = np.empty(len(by), "<u4")
             rank[by] = np.arange(len(by))
@@ -105,6 +108,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
                 if len(index) >= PACK_WORDS or size >= PACK_BYTES:
                     yield out()
                     index, codes, doc_ids, crcs, counts, parts = fresh()
+                    pa.default_memory_pool().release_unused()
                     size = 0
         if doc_ids:
             yield out()
