@@ -56,14 +56,6 @@ def test_against_brute_force(spark):
         assert any(r[1] for r in found.values()) and any(r[0] > r[1] > 0 for r in found.values())
 
 
-def test_crowded_anchors_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "CROWDED", 2)
-    texts = passages(random.Random(7), 60)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs, 30).collect()}
-    assert found == dict(enumerate(brute(texts, 30)))
-
-
 def test_odd_rows(spark):
     found = suffix.remove_repeats(odd(spark), 20).collect()
     want = brute([r[1] for r in ODD], 20)
