@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fingerprints of five-word shingles, linked where texts share a band and few bits differ; the least doc_id of each group stays."""
+    """Texts are linked where four fifths of their five-word shingles are shared; the least doc_id of each group stays."""
     return simhash.one_of_each(docs)
 
 

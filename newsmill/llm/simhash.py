@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import by_key, components, prepare, strings, table, written
 
 SEED, BLOCKS, MOST_RADIUS = 42, 8, 3
-#: Bits and buckets by which near copies are looked for in the pipeline.
+#: Bits at which a similarity of 0.8 lies on average, and buckets by which near copies are looked for in the pipeline.
 NEAR, BANDS = 10, 8
+#: Bits within which two texts of a bucket may be near copies, and the similarity (4 of 5) that makes them so.
+CANDIDATES, ALIKE = 22, (4, 5)
 _ORDERS = [xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(2 * BANDS)]
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -198,10 +200,10 @@ def edges_of(keyed: DataFrame, radius: int) -> DataFrame:
     return keyed.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
-def _roots(own: DataFrame, radius: int, keyed: DataFrame | None = None) -> DataFrame:
-    """(fp, root) of every distinct fingerprint in own(fp); links are looked for in the buckets of keyed(fp, k), or else everywhere."""
+def _roots(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint in own(fp)."""
     distinct = written(own.select("fp").distinct(), "distinct-fingerprints")
-    found = components(edges(distinct, radius) if keyed is None else edges_of(keyed.distinct(), radius))
+    found = components(edges(distinct, radius))
     return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -234,11 +236,68 @@ def bands(texts: list[str], width: int) -> list[list[int]]:
     return out.view(np.int64).tolist()
 
 
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = NEAR) -> DataFrame:
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Sorted hashes of the text's shingles, each once."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of the sets the number of the first of its component; sets of a Jaccard similarity of 0.8 are linked.
+
+    Searches outwards from a root as link_large, every set reached against all not yet reached.
+    """
+    out, left = np.arange(len(sets)), np.arange(len(sets))
+    ids, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(ids) + 1, np.int64)
+    while len(left):
+        root, frontier, left = left[0], [left[0]], left[1:]
+        rest, n = np.concatenate([flat[:0], *(own[i] for i in left)]), sizes[left]
+        while frontier and len(left):
+            one = frontier.pop()
+            mark[own[one]] = 1
+            # sums between the ends, for a set may be empty
+            both = np.diff(np.concatenate(([0], np.cumsum(mark[rest])))[np.concatenate(([0], np.cumsum(n)))])
+            mark[own[one]] = 0
+            hit = both * ALIKE[1] >= (n + sizes[one] - both) * ALIKE[0]
+            if hit.any():
+                out[left[hit]] = root
+                frontier += left[hit].tolist()
+                rest, left, n = rest[np.repeat(~hit, n)], left[~hit], n[~hit]
+    return out
+
+
+def _verified(keyed: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(cls, first): the components of classes(cls, one, root) by the similarity of their shingle sets, within each root."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    wanted = classes.join(several, "root").select("root", "cls", F.col("one.key").alias("_key"), F.col("one.hash").alias("_hash"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingle_set(t, width).tobytes() for t in strings(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.binary())], ["root", "cls", "own"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, "root", 2_000):
+            root, cls, own = t.column("root").to_numpy(), t.column("cls").to_pylist(), t.column("own")
+            starts = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(root)]
+            for s, e in zip(starts, starts[1:], strict=False):
+                first = alike([np.frombuffer(x.as_py(), np.uint64) for x in own[s:e]])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[s:e], pa.binary()), pa.array([cls[s + i] for i in first.tolist()], pa.binary())], ["cls", "first"])
+
+    texts = keyed.select("_key", "_hash", F.col("text").cast("string").alias("text")).join(wanted, ["_key", "_hash"]).select("root", "cls", "text").dropDuplicates(["cls"])  # repeated rows are alike
+    members = texts.mapInArrow(sets, "root long, cls binary, own binary")
+    return members.repartition(parts, "root").sortWithinPartitions("root", "cls").mapInArrow(link, "cls binary, first binary")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = CANDIDATES) -> DataFrame:
     """One row of docs, with its columns, for each group: that of the least doc_id (a null one last), the least hash of ties.
 
-    Fingerprints are compared in the buckets of `bands`, in which a radius of NEAR bits is no more work than a small
-    one: a similarity of 0.8 lies at 9.7 bits on average, so most such pairs are linked, not all (see the README).
+    Groups are the components of the texts whose shingle sets have a Jaccard similarity of 0.8 or more. Fingerprints within
+    `radius` in the buckets of `bands` only make groups of candidates; within each, all sets are compared. Texts of equal
+    sets are one class, of which one set is compared.
     """
     names = docs.columns
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(*[F.col(f"`{n}`") for n in names]).alias("_hash"))
@@ -246,12 +305,20 @@ def one_of_each(docs: DataFrame, width: int = 5, radius: int = NEAR) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = strings(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(texts, width).view(np.int64)), pa.array(bands(texts, width), pa.list_(pa.int64()))], ["key", "hash", "fp", "bands"])
+            cls = [xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in texts]
+            cells = (pa.array(fingerprints(texts, width).view(np.int64)), pa.array(bands(texts, width), pa.list_(pa.int64())), pa.array(cls, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["key", "hash", "fp", "bands", "cls"])
 
     prepare(docs.sparkSession)
-    own = written(keyed.select("_key", "_hash", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, hash long, fp long, bands array<long>"), "fingerprints")
-    first = own.groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("one"))
-    kept = first.join(_roots(own, radius, own.select("fp", F.explode("bands").alias("k"))), "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.key").alias("_key"), F.col("one.hash").alias("_hash"))
+    own = written(keyed.select("_key", "_hash", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, hash long, fp long, bands array<long>, cls binary"), "fingerprints")
+    classes = written(own.groupBy("cls").agg(F.min("fp").alias("fp"), F.min(F.struct("key", "hash")).alias("one")), "classes")
+    # a class has several fingerprints where its shingles are repeated differently
+    same = own.select("cls", F.col("fp").alias("a")).join(classes.select("cls", F.col("fp").alias("b")), "cls").where("a <> b").select("a", "b")
+    links = edges_of(own.select("fp", F.explode("bands").alias("k")).distinct(), radius).unionByName(same)
+    found = components(links).withColumnRenamed("node", "fp")
+    classes = written(classes.join(found, "fp", "left").select("cls", "one", F.coalesce("root", "fp").alias("root")), "candidates")
+    first = written(_verified(keyed, classes, width), "verified")
+    kept = classes.join(first, "cls", "left").groupBy(F.coalesce("first", "cls").alias("first")).agg(F.min("one").alias("one")).select(F.col("one.key").alias("_key"), F.col("one.hash").alias("_hash"))
     # repeated rows are alike in both: one of them stays
     return keyed.join(written(kept, "kept"), ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*[F.col(f"`{n}`") for n in names])
 
