@@ -167,9 +167,9 @@ def repeated(contents: list[bytes], counts: np.ndarray, length: int) -> tuple[np
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A row is known by its doc_id and 24 bits of its text's hash: rows of one doc_id may differ, repeated rows are alike."""
+    """A row is known by its doc_id and 64 bits of its text's hash: rows of one doc_id may differ, repeated rows are alike."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), (F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF))).alias("th"), "doc_id", "text")
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("th"), "doc_id", "text")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -191,24 +191,23 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
                     to += 1
                 doc, lo, n, ah, sh = segments(b"".join(texts[at:to]), np.array([len(x) for x in texts[at:to]]), length, k)
                 if len(doc):
-                    # first string in 32 bits, strings in 8, text hash in 24; a longer run of one anchor can't be, strings being `length` long
-                    where = (lo << 32) | (n << 24) | th[at:to][doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(ah), pa.array(sh), pa.array(key[at:to][doc]), pa.array(where)], ["ah", "sh", "key", "loc"])
+                    # first string, and strings in 8 bits; a longer run of one anchor can't be, strings being `length` long
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah, sh, key[at:to][doc], th[at:to][doc], (lo << 8) | n)], ["ah", "sh", "key", "th", "loc"])
                 at = to
 
-    own = keyed.select("key", "th", "text").mapInArrow(find, "ah long, sh long, key long, loc long")
+    own = keyed.select("key", "th", "text").mapInArrow(find, "ah long, sh long, key long, th long, loc long")
     # sums by anchor: combined before the shuffle, so a common passage costs a row a task
     shared = own.groupBy("ah").agg(F.count("*").alias("n"), F.min("sh").alias("least"), F.max("sh").alias("most")).where("n > 1").select("ah", (F.col("least") != F.col("most")).alias("mixed"))
     shared = written(shared, "shared-anchors")
     members = written(own.join(shared, "ah"), "shared-segments")
-    alike = members.where("not mixed").select("key", "loc")
-    mixed = members.where("mixed").select("ah", "sh", "key", "loc")
-    classes = written(mixed.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "loc")).alias("one")), "classes")
-    alike = alike.unionByName(mixed.join(classes.where("n > 1").select("ah", "sh"), ["ah", "sh"]).select("key", "loc"))
-    unpacked = (F.shiftrightunsigned("loc", 32).alias("lo"), F.shiftrightunsigned("loc", 24).bitwiseAND(F.lit(0xFF)).alias("n"), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("th"))
-    whole = alike.select("key", *unpacked)
+    alike = members.where("not mixed").select("key", "th", "loc")
+    mixed = members.where("mixed").select("ah", "sh", "key", "th", "loc")
+    classes = written(mixed.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "loc")).alias("one")), "classes")
+    alike = alike.unionByName(mixed.join(classes.where("n > 1").select("ah", "sh"), ["ah", "sh"]).select("key", "th", "loc"))
+    unpacked = (F.shiftrightunsigned("loc", 8).alias("lo"), F.col("loc").bitwiseAND(F.lit(0xFF)).alias("n"))
+    whole = alike.select("key", *unpacked, "th")
     # the bytes of one segment of each class, from its text
-    wanted = classes.select("ah", F.col("one.key").alias("key"), F.col("one.loc").alias("loc")).select("ah", "key", *unpacked)
+    wanted = classes.select("ah", "one.key", "one.th", "one.loc").select("ah", "key", "th", *unpacked)
     wanted = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("ah", "lo", "n")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +280,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed, found = spans(docs, length)
     names = docs.columns
     at = names.index("text")
-    both = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).alias("_th"))
+    both = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"))
     joined = both.join(found.select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).hint("shuffle_hash"), ["_key", "_th"], "left").select(*[F.col(f"`{n}`") for n in names], "_spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
