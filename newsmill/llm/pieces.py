@@ -27,7 +27,7 @@ SPACE = "▁"
 LEAST_SCORE = -1e6
 #: A character that is no piece goes by its UTF-8 bytes at this score.
 BYTE_SCORE = -1e5
-#: Longer words are cut into words of this many characters.
+#: Longer words are segmented one by one where they are found, not in the lattice of Spark.
 MOST_CHARS = 256
 PACK_WORDS, PACK_BYTES = 300_000, 24 << 20
 #: Words whose codes a task keeps at hand.
@@ -56,20 +56,51 @@ def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], dict[int, int],
 
 
 def cutter(pairs: frozenset[str]):
-    """Cuts a word where no piece goes on, and into MOST_CHARS characters."""
+    """Cuts a word where no piece goes on."""
 
     def cut(word: str) -> list[str]:
         if len(word) <= MOST_CHARS and word[1:].isalpha():
             return [word]  # hardly ever could it be cut between letters, and it need not be
         at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
-        return [word[i : min(i + MOST_CHARS, b)] for a, b in zip(at, at[1:], strict=False) for i in range(a, b, MOST_CHARS)]
+        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     return cut
 
 
+def best_path(word: str, known: dict[str, tuple[int, float]], of_byte: dict[int, int], longest: int) -> list[int]:
+    """The ids of `lattice` for a word of any length: scores and last pieces by place, followed back from the end."""
+    best, begin = [0.0], [0]
+    for e in range(1, len(word) + 1):
+        top, at = -np.inf, e - 1
+        for b in range(max(0, e - longest), e):
+            piece = known.get(word[b:e])
+            if piece or e - b == 1:
+                score = best[b] + (piece[1] if piece else BYTE_SCORE)
+                if score > top:  # of equal scores the longer piece
+                    top, at = score, b
+        best.append(top)
+        begin.append(at)
+    out, e = [], len(word)
+    while e:
+        piece = known.get(word[begin[e] : e])
+        out += [piece[0]] if piece else [of_byte[x] for x in reversed(word[begin[e] : e].encode())]
+        e = begin[e]
+    return out[::-1]
+
+
+def blob(code: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted codes by their steps, numbers of ids and ids, compressed."""
+    raw = np.diff(code.astype(np.int64), prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes() + ids.astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
 def pack(docs: DataFrame, path: str) -> DataFrame:
-    """Packs of docs(doc_id, text): doc_ids, crcs of the texts, words a document, codes of those words, and the pack's words."""
+    """Packs of docs(doc_id, text): doc_ids, crcs of the texts, words a document, codes of those words, and the pack's words.
+
+    longs has the ids of the words over MOST_CHARS as `gather` gives those of the others; they are null among the words.
+    """
     pairs = frozenset(p[i : i + 2] for p, _, _ in vocabulary(path)[0] for i in range(len(p) - 1))
+    shared = docs.sparkSession.sparkContext.broadcast(({p: (i, s) for p, i, s in vocabulary(path)[0]}, vocabulary(path)[1], max(len(p) for p, _, _ in vocabulary(path)[0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(pairs)
@@ -91,10 +122,16 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
             rank = np.empty(len(by), "<u4")
             rank[by] = np.arange(len(by))
             listed = list(index)
+            listed = [listed[i] for i in by.tolist()]
+            long = [i for i, w in enumerate(listed) if len(w) > MOST_CHARS]
+            paths = [best_path(listed[i], *shared.value) for i in long]
+            longs = {"n": len(long), "blob": blob(np.array(long), np.array([len(x) for x in paths]), np.concatenate(paths))} if long else None
+            for i in long:
+                listed[i] = None
             planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
-            cells = ([number], [doc_ids], [crcs], [counts], [squeeze.compress(planes)], [[listed[i] for i in by.tolist()]])
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["pack", "doc_ids", "crcs", "counts", "codes", "words"])
+            cells = ([number], [doc_ids], [crcs], [counts], [squeeze.compress(planes)], [listed], [longs])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.struct([("n", pa.int64()), ("blob", pa.binary())]))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["pack", "doc_ids", "crcs", "counts", "codes", "words", "longs"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
@@ -113,7 +150,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
         if doc_ids:
             yield out()
 
-    schema = "pack long, doc_ids array<long>, crcs array<long>, counts array<long>, codes binary, words array<string>"
+    schema = "pack long, doc_ids array<long>, crcs array<long>, counts array<long>, codes binary, words array<string>, longs struct<n:long,blob:binary>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -152,7 +189,6 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pack, n, blob) of (pack, code, ids): n words of a pack, their codes, numbers of ids and ids, compressed. A few rows a
     pack and task, so that words come back to their packs in a tenth of the bytes."""
-    squeeze = zstandard.ZstdCompressor(level=3)
 
     def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         packs, code = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype("<u4")
@@ -162,10 +198,8 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(packs == p)
             at = at[np.argsort(code[at])]
             own = lists.take(pa.array(at))
-            # sorted codes by their steps
-            steps = np.diff(code[at].astype(np.int64), prepend=0).astype("<u4")
-            raw = steps.tobytes() + np.diff(own.offsets.to_numpy()).astype("<u4").tobytes() + own.flatten().to_numpy().astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([squeeze.compress(raw)], pa.binary())], ["pack", "n", "blob"])
+            cell = blob(code[at], np.diff(own.offsets.to_numpy()), own.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([cell], pa.binary())], ["pack", "n", "blob"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -200,11 +234,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     pack(docs, path).write.bucketBy(parts, "pack").option("path", new_path(spark, "packs")).option("compression", "zstd").saveAsTable(name)
     packs = spark.table(name)
     # each distinct word of a pack, by word: the lattice and the join use one exchange, if both read the same columns
-    used = packs.select("pack", F.posexplode("words").alias("code", "word")).repartition(parts, "word")
+    used = packs.select("pack", F.posexplode("words").alias("code", "word")).where("word IS NOT NULL").repartition(parts, "word")
     distinct = used.groupBy("word").agg(F.max(F.xxhash64("pack", "code")).alias("any")).where("any IS NOT NULL").select("word")
     blobs = used.join(lattice(distinct, path), "word").select("pack", "code", "ids").mapInArrow(gather, "pack long, n long, blob binary")
     mapped = blobs.groupBy("pack").agg(F.collect_list(F.struct("n", "blob")).alias("words"))
-    joined = packs.select("pack", "doc_ids", "crcs", "counts", "codes").join(mapped, "pack", "left").drop("pack")
+    joined = packs.select("pack", "doc_ids", "crcs", "counts", "codes", "longs").join(mapped, "pack", "left").drop("pack")
     decoded = vocabulary(path)[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +247,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for r in range(b.num_rows):
                 one = b.slice(r, 1)
                 doc_ids, crcs, counts = (one.column(i).to_pylist()[0] for i in range(3))
-                code, lengths_of, ids = spread(one.column(4).to_pylist()[0] or [])
+                longs, words = (one.column(i).to_pylist()[0] for i in (4, 5))
+                code, lengths_of, ids = spread((words or []) + ([longs] if longs else []))
                 lengths = np.zeros(len(code), np.int64)
                 lengths[code] = lengths_of
                 starts = np.zeros(len(code), np.int64)

@@ -1,0 +1,20 @@
+import random
+
+from newsmill.llm import pieces
+
+from .test_pieces import PATH, viterbi
+
+
+def uncut(text):
+    known, of_byte, _ = pieces.vocabulary(PATH)
+    table = {p: (i, s) for p, i, s in known}
+    return viterbi(pieces.SPACE + text.replace(" ", pieces.SPACE), table, of_byte, max(map(len, table)))
+
+
+def test_long_words_are_not_cut(spark):
+    rng = random.Random(3)
+    rows = ["".join(rng.choice(["international", "information", "the", "er", "q", "ß", "🙂"]) for _ in range(n)) for n in (60, 90, 150)]
+    rows = [*rows, "ab" * 300, "abc" * 400, f"{rows[0]} and {rows[1]} and {rows[0]}", "y" * 255, "y" * 256, "y" * 257]
+    found = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), PATH).collect()}
+    assert len(found) == len(rows) and all(r.round_trip for r in found.values())
+    assert [found[i].ids for i in range(len(rows))] == [uncut(t) for t in rows]
