@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: documents of 100 KB keep a batch near 50 MB.
+#: Rows of an Arrow batch at most; Spark bounds its bytes too (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
 BATCH_ROWS = 500
+#: What this process has written in the shared folder: paths and tables.
+_made: list[str] = []
+_tables: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +32,35 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a local session may be without; it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="newsmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_table(spark: SparkSession, name: str) -> str:
+    """The name, noted for `clean_up`."""
+    _tables.append(name)
+    return name
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Drops the tables and deletes the folders that operators of this process have written; frames that read them are of no use then."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

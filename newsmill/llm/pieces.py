@@ -3,44 +3,81 @@
 Pieces never hold certain neighbouring characters (a letter before a space mark, say), so a text falls apart into words
 between which every segmentation has a boundary. Spark joins do the segmentation once for each distinct word: its
 substrings of at most the longest piece's length are exploded and equi-joined to the piece table, the edges are
-grouped by word, and a higher-order aggregate folds them into the best path (Viterbi). Texts wait meanwhile as codes of
-their words, in packs of some megabytes; a pack's words are joined with their ids and the codes replaced by ids.
+grouped by word, and a higher-order aggregate folds them (Viterbi). Texts wait meanwhile as codes of their words, in
+packs of some megabytes; a pack's words are joined with their ids and the codes replaced by ids.
+
+The scores of a BPE model are ranks of merges, so a sum of them says nothing. The fold weighs an edge by whether merging
+would leave its piece beside the one before it: no piece may join the right end of the one to the left end of the
+other before both ends are merged into their own. Of the edges to a place exactly one is so; the path is the model's own
+encoding.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache as memo
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, crc, new_path, prepare, strings, table, tokenizer_path
+from .common import WordCache, crc, made_table, new_path, prepare, strings, table, tokenizer_path
 
 SPACE = "▁"
-#: Longer pieces scored below this (runs of spaces) are out of reach of any path and left out.
-LEAST_SCORE = -1e6
-#: A character that is no piece goes by its UTF-8 bytes at this score.
-BYTE_SCORE = -1e5
-#: Longer words are segmented one by one where they are found, not in the lattice of Spark.
+#: Longer words are segmented one by one where they are found, by the same rule, not in the lattice of Spark.
 MOST_CHARS = 256
-PACK_WORDS, PACK_BYTES = 300_000, 24 << 20
+PACK_WORDS, PACK_BYTES = 250_000, 20 << 20
 #: Words whose codes a task keeps at hand.
 CACHED = 60_000
+#: An edge is one number: end, begin, id of the piece, BITS bits each. An end of a piece: piece, rank of the merge that takes it.
+BITS = 20
+NEVER = (1 << BITS) - 1
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """ids: of the pieces that merging can make; of_byte: ids of bytes; decoded: the bytes of each id; pairs: neighbours
+    that stand in any piece; right, left: by id, the pieces that are its ends while it is merged, itself first, each with
+    the rank of the merge that takes it; joins: (left piece, right piece) -> rank of their merge."""
+
+    ids: dict[str, int]
+    of_byte: dict[int, int]
+    decoded: list[bytes]
+    pairs: frozenset[str]
+    longest: int
+    right: list[list[tuple[int, int]]]
+    left: list[list[tuple[int, int]]]
+    joins: dict[tuple[int, int], int]
+
+
+def last_join(piece: str, score: dict[str, float]) -> int:
+    """Where the last merge of a piece joins its two parts: neighbours of the best score are merged first, the leftmost of equals. 0: merging never makes it."""
+    parts, at = list(piece), 0
+    while len(parts) > 1:
+        joined = [(score[x], -i) for i, x in enumerate(map("".join, zip(parts, parts[1:], strict=False))) if x in score]
+        if not joined:
+            return 0
+        i = -max(joined)[1]
+        at = len(parts[0])
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return at
 
 
 @memo
-def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], dict[int, int], list[bytes]]:
-    """(piece, id, score) of the normal pieces; ids of bytes; the bytes that each id decodes to."""
+def vocabulary(path: str) -> Vocabulary:
+    """Of a BPE model's file."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces, of_byte, decoded = [], {}, []
+    score, ids, of_byte, decoded = {}, {}, {}, []
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
         if sp.is_byte(i):
@@ -50,9 +87,21 @@ def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], dict[int, int],
             decoded.append(b"")
         else:
             decoded.append(piece.replace(SPACE, " ").encode())
-            if len(piece) == 1 or sp.get_score(i) > LEAST_SCORE:
-                pieces.append((piece, i, max(sp.get_score(i), BYTE_SCORE)))
-    return pieces, of_byte, decoded
+            ids[piece], score[piece] = i, sp.get_score(i)
+    pairs = frozenset(p[i : i + 2] for p in ids for i in range(len(p) - 1))
+    at = {p: last_join(p, score) for p in ids if len(p) > 1}
+    ids = {p: i for p, i in ids.items() if len(p) == 1 or at[p]}
+    place = {s: n for n, s in enumerate(sorted({score[p] for p in ids if len(p) > 1}, reverse=True))}
+    right, left = [[] for _ in decoded], [[] for _ in decoded]
+    for piece, i in ids.items():
+        for ends, part in ((right, lambda p: p[at[p] :]), (left, lambda p: p[: at[p]])):
+            p, rank = piece, NEVER
+            ends[i].append((i, rank))
+            while len(p) > 1:
+                p, rank = part(p), place[score[p]]
+                ends[i].append((ids[p], rank))
+    joins = {(ids[p[: at[p]]], ids[p[at[p] :]]): place[score[p]] for p in ids if len(p) > 1}
+    return Vocabulary(ids, of_byte, decoded, pairs, max(map(len, ids)), right, left, joins)
 
 
 def cutter(pairs: frozenset[str]):
@@ -67,23 +116,26 @@ def cutter(pairs: frozenset[str]):
     return cut
 
 
-def best_path(word: str, known: dict[str, tuple[int, float]], of_byte: dict[int, int], longest: int) -> list[int]:
-    """The ids of `lattice` for a word of any length: scores and last pieces by place, followed back from the end."""
-    best, begin = [0.0], [0]
+def words_of(text: str) -> list[str]:
+    """The text's words, each with the spaces before it; the first stands for one more."""
+    if "  " in text or text[0] == " ":
+        return _WORD.findall(SPACE + text.replace(" ", SPACE))
+    return [SPACE + w for w in text.split(" ")]
+
+
+def best_path(word: str, v: Vocabulary) -> list[int]:
+    """The ids that `lattice` gives, for a word of any length: the last piece by place, followed back from the end."""
+    last, begin = [-1], [0]
     for e in range(1, len(word) + 1):
-        top, at = -np.inf, e - 1
-        for b in range(max(0, e - longest), e):
-            piece = known.get(word[b:e])
-            if piece or e - b == 1:
-                score = best[b] + (piece[1] if piece else BYTE_SCORE)
-                if score > top:  # of equal scores the longer piece
-                    top, at = score, b
-        best.append(top)
-        begin.append(at)
+        for b in range(max(0, e - v.longest), e):
+            own = v.ids.get(word[b:e], -1)
+            if (own >= 0 or e - b == 1) and not (own >= 0 and last[b] >= 0 and any(v.joins.get((r, x), NEVER) < min(m, n + 1) for r, m in v.right[last[b]] for x, n in v.left[own])):
+                last.append(own)
+                begin.append(b)
+                break
     out, e = [], len(word)
     while e:
-        piece = known.get(word[begin[e] : e])
-        out += [piece[0]] if piece else [of_byte[x] for x in reversed(word[begin[e] : e].encode())]
+        out += [last[e]] if last[e] >= 0 else [v.of_byte[x] for x in reversed(word[begin[e] : e].encode())]
         e = begin[e]
     return out[::-1]
 
@@ -99,8 +151,8 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
     longs has the ids of the words over MOST_CHARS as `gather` gives those of the others; they are null among the words.
     """
-    pairs = frozenset(p[i : i + 2] for p, _, _ in vocabulary(path)[0] for i in range(len(p) - 1))
-    shared = docs.sparkSession.sparkContext.broadcast(({p: (i, s) for p, i, s in vocabulary(path)[0]}, vocabulary(path)[1], max(len(p) for p, _, _ in vocabulary(path)[0])))
+    pairs = vocabulary(path).pairs
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # looked at where a long word is found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(pairs)
@@ -108,7 +160,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
         def fresh():
             index: dict[str, int] = {}
-            return index, WordCache(lambda w: np.array([index.setdefault(x, len(index)) for x in cut(SPACE + w)], "<u4").tobytes(), CACHED), [], [], [], []
+            return index, WordCache(lambda w: np.array([index.setdefault(x, len(index)) for x in cut(w)], "<u4").tobytes(), CACHED), [], [], [], []
 
         index, codes, doc_ids, crcs, counts, parts = fresh()
         size = 0
@@ -124,7 +176,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
             listed = list(index)
             listed = [listed[i] for i in by.tolist()]
             long = [i for i, w in enumerate(listed) if len(w) > MOST_CHARS]
-            paths = [best_path(listed[i], *shared.value) for i in long]
+            paths = [best_path(listed[i], shared.value) for i in long]
             longs = {"n": len(long), "blob": blob(np.array(long), np.array([len(x) for x in paths]), np.concatenate(paths))} if long else None
             for i in long:
                 listed[i] = None
@@ -136,7 +188,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 text = text.replace(SPACE, " ")
-                own = b"".join(map(codes.__getitem__, text.split(" "))) if text else b""
+                own = b"".join(map(codes.__getitem__, words_of(text))) if text else b""
                 doc_ids.append(doc_id)
                 crcs.append(crc(text.encode("utf-8", "surrogatepass")))
                 counts.append(len(own) // 4)
@@ -154,36 +206,71 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(NEVER))
+
+
+def _high(x: Column) -> Column:
+    return F.shiftright(x, BITS)
+
+
+def constant(rows: list[list[int]]) -> Column:
+    """A list of lists as one literal, of the vocabulary's size."""
+    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), "array<array<bigint>>")
+
+
+def joined_before(v: Vocabulary):
+    """The condition on two edges, one behind the other, that a piece would join an end of the one to an end of the other."""
+    slots = 1 << 16
+    ends = [constant([[i << BITS | m for i, m in own] for own in side]) for side in (v.right, v.left)]
+    filed: list[list[int]] = [[] for _ in range(slots)]
+    for (r, x), m in v.joins.items():
+        filed[(r * 31 + x * 17) % slots].append((r << BITS | x) << BITS | m)
+    joins = constant(filed)
+
+    def found(r: Column, x: Column) -> Column:
+        pair = F.shiftleft(_high(r), BITS).bitwiseOR(_high(x))
+        slot = (_high(r) * 31 + _high(x) * 17).bitwiseAND(F.lit(slots - 1)).cast("int")
+        return F.exists(F.get(joins, slot), lambda j: (_high(j) == pair) & (_low(j) < _low(r)) & (_low(j) <= _low(x)))
+
+    return lambda before, edge: F.exists(F.get(ends[0], _low(before).cast("int")), lambda r: F.exists(F.get(ends[1], _low(edge).cast("int")), lambda x: found(r, x)))
+
+
 def lattice(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): the path of the highest score through the pieces of each distinct word; of equal scores, the one whose last differing piece is longer."""
-    spark = words.sparkSession
-    pieces, of_byte, _ = vocabulary(path)
-    longest = max(len(p) for p, _, _ in pieces)
-    known = spark.createDataFrame(pieces, "piece string, id int, score double")
-    sub = words.select("word", F.length("word").alias("n")).where("n > 0")
-    sub = sub.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"))
-    sub = sub.select("word", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("b")))).alias("l"))
-    sub = sub.select("word", "b", "l", F.substring("word", F.col("b") + 1, F.col("l")).alias("piece"))
-    # the piece table is the vocabulary, of one size whatever the corpus
-    edge = sub.join(F.broadcast(known), "piece", "left").where("id IS NOT NULL OR l = 1")
-    byte_ids = F.array(*[F.lit(of_byte[b]) for b in range(256)])
-    raw = F.hex(F.encode("piece", "UTF-8"))
-    by_bytes = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.element_at(byte_ids, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + 1))
-    edge = edge.select("word", F.struct((F.col("b") + F.col("l")).alias("e"), "b", F.coalesce("score", F.lit(BYTE_SCORE)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(by_bytes).alias("ids")).alias("edge"))
-    grouped = edge.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    node = "struct<score:double,ids:array<int>>"
-    # done: the best path to each place passed; best: to the place now reached. Edges come by their end.
-    zero = F.expr(f"named_struct('done', cast(array() as array<{node}>), 'e', 0, 'best', named_struct('score', 0D, 'ids', cast(array() as array<int>)))")
-
-    def step(acc, x):
-        done = F.when(x["e"] > acc["e"], F.array_append(acc["done"], acc["best"])).otherwise(acc["done"])
-        at = F.get(acc["done"], x["b"])
-        start = F.when(x["b"] == acc["e"], acc["best"]).otherwise(at)
-        score = start["score"] + x["score"]
-        better = (x["e"] > acc["e"]) | (score > acc["best"]["score"])
-        return F.struct(done.alias("done"), x["e"].alias("e"), F.when(better, F.struct(score.alias("score"), F.concat(start["ids"], x["ids"]).alias("ids"))).otherwise(acc["best"]).alias("best"))
-
-    return grouped.select("word", F.aggregate("edges", zero, step)["best"]["ids"].alias("ids"))
+    """(word, ids) of each distinct word: the one path on which merging would leave every two neighbours apart."""
+    spark, v = words.sparkSession, vocabulary(path)
+    known = spark.createDataFrame(list(v.ids.items()), "known string, id int").select(F.xxhash64("known").alias("hash"), "known", "id")
+    # a number of its own spares the sort by word; it lives and dies in one stage
+    sub = words.select("word", F.length("word").alias("n"), F.monotonically_increasing_id().alias("at")).where("n > 0")
+    sub = sub.select("at", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"))
+    sub = sub.select("at", "word", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.col("n") - F.col("b")))).alias("l"))
+    sub = sub.select("at", "word", "b", "l", F.substring("word", F.col("b") + 1, F.col("l")).alias("piece")).withColumn("hash", F.xxhash64("piece"))
+    # the piece table is the vocabulary, of one size whatever the corpus; a character that is no piece has id 0
+    edge = sub.join(F.broadcast(known), "hash", "left").where("piece = known OR l = 1")
+    end, begin = (F.shiftleft(x.cast("long"), n * BITS) for x, n in ((F.col("b") + F.col("l"), 2), (F.col("b"), 1)))
+    edge = edge.select("at", "word", end.bitwiseOR(begin).bitwiseOR(F.when(F.col("piece") == F.col("known"), F.col("id")).otherwise(0).cast("long")).alias("edge"))
+    grouped = edge.groupBy("at", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    joined = joined_before(v)
+
+    def step(last: Column, edge: Column) -> Column:
+        """last: the edge to each place, for places below the first that is open."""
+        begin = _low(_high(edge)).cast("int")
+        settled = F.size(last) > _high(_high(edge))
+        return F.when(settled, last).when((begin > 0) & joined(F.get(last, begin), edge), last).otherwise(F.array_append(last, edge))
+
+    def follow(acc: Column, edge: Column) -> Column:
+        on_path = _high(_high(edge)) == acc["at"]
+        return F.when(on_path, F.struct(_low(_high(edge)).alias("at"), F.array_append(acc["path"], edge).alias("path"))).otherwise(acc)
+
+    zero = F.struct(F.length("word").cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("path"))
+    found = grouped.select("word", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("last"))
+    behind = F.reverse(F.slice("last", 2, F.length("word")))
+    found = found.select("word", F.reverse(F.aggregate(behind, zero, follow)["path"]).alias("path")).withColumn("ids", F.transform("path", lambda e: _low(e).cast("int")))
+    byte_ids = F.array(*[F.lit(v.of_byte[b]) for b in range(256)])
+    raw = lambda e: F.hex(F.encode(F.substring(F.col("word"), (_low(_high(e)) + 1).cast("int"), F.lit(1)), "UTF-8"))
+    in_bytes = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.element_at(byte_ids, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + 1))
+    by_bytes = F.flatten(F.transform("path", lambda e: F.when(_low(e) == 0, in_bytes(raw(e))).otherwise(F.array(_low(e).cast("int")))))
+    return found.select("word", F.when(F.array_contains("ids", 0), by_bytes).otherwise(F.col("ids")).alias("ids"))
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +291,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for b in batches:
         held.append(b)
-        if sum(x.num_rows for x in held) >= 400_000:
+        if sum(x.num_rows for x in held) >= 150_000:
             yield from out(pa.Table.from_batches(held))
             held = []
     if held:
@@ -222,7 +309,8 @@ def spread(words: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids, ids_crc32, round_trip) of every row of docs(doc_id, text).
 
-    The text is taken as it is, a space mark put before it and for each space. Null and empty texts have no ids.
+    The ids are those that the model's own library gives. The text is taken as it is, a space mark put before it and for
+    each space. Null and empty texts have no ids.
     ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip: the ids decode to the text, a space
     mark in it read as a space. Repeated rows and null doc_ids stay.
     """
@@ -231,7 +319,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # bucketed by pack, so that the codes stay where they are when the ids come to them
     name = f"newsmill_packs_{uuid.uuid4().hex}"
-    pack(docs, path).write.bucketBy(parts, "pack").option("path", new_path(spark, "packs")).option("compression", "zstd").saveAsTable(name)
+    pack(docs, path).write.bucketBy(parts, "pack").option("path", new_path(spark, "packs")).option("compression", "zstd").saveAsTable(made_table(spark, name))
     packs = spark.table(name)
     # each distinct word of a pack, by word: the lattice and the join use one exchange, if both read the same columns
     used = packs.select("pack", F.posexplode("words").alias("code", "word")).where("word IS NOT NULL").repartition(parts, "word")
@@ -239,7 +327,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     blobs = used.join(lattice(distinct, path), "word").select("pack", "code", "ids").mapInArrow(gather, "pack long, n long, blob binary")
     mapped = blobs.groupBy("pack").agg(F.collect_list(F.struct("n", "blob")).alias("words"))
     joined = packs.select("pack", "doc_ids", "crcs", "counts", "codes", "longs").join(mapped, "pack", "left").drop("pack")
-    decoded = vocabulary(path)[2]
+    decoded = vocabulary(path).decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -279,6 +367,28 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, round_trip boolean")
 
 
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) of every row of encoded(doc_id, ids).
+
+    The text of the ids without the space mark that encoding put first; bytes that are no UTF-8 become U+FFFD. Null and empty
+    ids: an empty text. Ids outside the vocabulary raise. Repeated rows and null doc_ids stay.
+    """
+    prepare(encoded.sparkSession)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(path).decoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for b in batches:
+            raw = []
+            for ids in b.column(1).to_pylist():
+                if ids and not 0 <= min(ids) <= max(ids) < len(of):
+                    raise ValueError("an id is outside the vocabulary")
+                raw.append(b"".join(map(of.__getitem__, ids or [])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.removeprefix(b" ").decode("utf-8", "replace") for x in raw], pa.string())], ["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: pieces of every document."""
     return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))

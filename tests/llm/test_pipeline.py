@@ -5,13 +5,23 @@ from newsmill.llm.common import tokenizer_path
 from .helpers import empty, folder, odd
 from .test_decontaminate import brute_tiles
 from .test_pieces import brute as brute_pieces
-from .test_simhash import brute_fp, brute_roots
 from .test_suffix import brute as brute_repeats
 
 LABELS = "doc_id long, quality int, toxic int"
 ITEMS = "item_id long, text string"
 
 
+def brute_near(sets):
+    """The first of each set's component, sets of a Jaccard similarity of 0.8 being linked."""
+    roots = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 5 >= len(a | sets[j]) * 4 and roots[i] != roots[j]:
+                least, most = sorted((roots[i], roots[j]))
+                roots = [least if r == most else r for r in roots]
+    return roots
+
+
 def test_stages_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -23,8 +33,7 @@ def test_stages_against_brute_force(spark):
     rows = [sorted(s.collect(), key=lambda r: r.doc_id) for s in steps]
     model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
     assert [r.doc_id for r in rows[1]] == [r.doc_id for r in rows[0] if 1 - model.grades([r.text])[0][0] <= toxicity.CUT]
-    fps, keys = [brute_fp(r.text, 5) for r in rows[1]], [set(b) for b in simhash.bands([r.text for r in rows[1]], 5)]
-    roots = brute_roots(fps, simhash.NEAR, keys)
+    roots = brute_near([set(simhash.shingle_hashes(r.text, 5)) for r in rows[1]])
     assert [r.doc_id for r in rows[2]] == [r.doc_id for i, r in enumerate(rows[1]) if roots[i] == i]
     cut = brute_repeats([r.text for r in rows[2]], 200)
     left = {r.doc_id: (n, gone) for r, (n, gone, _, _) in zip(rows[2], cut, strict=True)}
@@ -62,9 +71,7 @@ def test_near_copies_go_and_others_stay(spark):
     kept = {r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect()}
     own = {r.doc_id: set(simhash.shingle_hashes(r.text, 5)) for r in docs.collect()}
     like = lambda a, b: len(own[a] & own[b]) / max(1, len(own[a] | own[b])) if own[a] or own[b] else 1.0
-    gone, missed = set(own) - kept, 0
-    for d in gone:  # each has a near copy
-        assert max(like(d, o) for o in own if o != d) > 0.6
-    pairs = [(a, b) for a in kept for b in kept if a < b and own[a] & own[b] and like(a, b) >= 0.8]
-    missed = len(pairs)
-    assert len(gone) > 70 and missed <= 2
+    gone = set(own) - kept
+    assert all(max(like(d, o) for o in own if o != d) >= 0.8 for d in gone)
+    assert not [(a, b) for a in kept for b in kept if a < b and own[a] & own[b] and like(a, b) >= 0.8]
+    assert len(gone) > 70
