@@ -28,18 +28,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, crc, made_table, new_path, prepare, strings, table, tokenizer_path
+from .common import crc, made_table, new_path, prepare, strings, table, tokenizer_path
 
 SPACE = "▁"
 #: Longer words are segmented one by one where they are found, by the same rule, not in the lattice of Spark.
 MOST_CHARS = 256
-PACK_WORDS, PACK_BYTES = 250_000, 20 << 20
+PACK_WORDS, PACK_BYTES = 400_000, 32 << 20
 #: Words whose codes a task keeps at hand.
-CACHED = 60_000
+CACHED = 150_000
 #: An edge is one number: end, begin, id of the piece, BITS bits each. An end of a piece: piece, rank of the merge that takes it.
 BITS = 20
 NEVER = (1 << BITS) - 1
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+_WORD = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)")
 
 
 @dataclass(frozen=True)
@@ -104,23 +104,35 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ids, of_byte, decoded, pairs, max(map(len, ids)), right, left, joins)
 
 
-def cutter(pairs: frozenset[str]):
-    """Cuts a word where no piece goes on."""
+class Codes(dict):
+    """word without its first space mark -> the codes of its cells, 4 bytes each; cells: cell -> code, in order.
 
-    def cut(word: str) -> list[str]:
-        if len(word) <= MOST_CHARS and word[1:].isalpha():
-            return [word]  # hardly ever could it be cut between letters, and it need not be
-        at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+    A word is cut into cells where no piece goes on; words of letters alone hardly ever could be, and need not be.
+    """
+
+    def __init__(self, pairs: frozenset[str]):
+        super().__init__()
+        self.pairs, self.cells = pairs, {}
 
-    return cut
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        cells, own = self.cells, SPACE + word
+        if word.isalpha() and len(own) <= MOST_CHARS:
+            value = cells.setdefault(own, len(cells)).to_bytes(4, "little")
+        else:
+            pairs = self.pairs
+            at = [0, *[i for i in range(1, len(own)) if own[i - 1 : i + 1] not in pairs], len(own)]
+            value = b"".join([cells.setdefault(own[a:b], len(cells)).to_bytes(4, "little") for a, b in zip(at, at[1:], strict=False)])
+        self[word] = value
+        return value
 
 
 def words_of(text: str) -> list[str]:
-    """The text's words, each with the spaces before it; the first stands for one more."""
+    """The text's words behind the first of the space marks before each; the text has one before it."""
     if "  " in text or text[0] == " ":
         return _WORD.findall(SPACE + text.replace(" ", SPACE))
-    return [SPACE + w for w in text.split(" ")]
+    return text.split(" ")
 
 
 def best_path(word: str, v: Vocabulary) -> list[int]:
@@ -155,14 +167,8 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # looked at where a long word is found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter(pairs)
         squeeze = zstandard.ZstdCompressor(level=3)
-
-        def fresh():
-            index: dict[str, int] = {}
-            return index, WordCache(lambda w: np.array([index.setdefault(x, len(index)) for x in cut(w)], "<u4").tobytes(), CACHED), [], [], [], []
-
-        index, codes, doc_ids, crcs, counts, parts = fresh()
+        codes, doc_ids, crcs, counts, parts = Codes(pairs), [], [], [], []
         size = 0
 
         def out() -> pa.RecordBatch:
@@ -170,10 +176,10 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
             # codes by falling frequency, their bytes apart: high bytes are nearly all zero
             flat = np.frombuffer(b"".join(parts), "<u4")
             parts.clear()
-            by = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+            by = np.argsort(-np.bincount(flat, minlength=len(codes.cells)), kind="stable")
             rank = np.empty(len(by), "<u4")
             rank[by] = np.arange(len(by))
-            listed = list(index)
+            listed = list(codes.cells)
             listed = [listed[i] for i in by.tolist()]
             long = [i for i, w in enumerate(listed) if len(w) > MOST_CHARS]
             paths = [best_path(listed[i], shared.value) for i in long]
@@ -194,9 +200,9 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
                 counts.append(len(own) // 4)
                 parts.append(own)
                 size += len(text)
-                if len(index) >= PACK_WORDS or size >= PACK_BYTES:
+                if len(codes.cells) >= PACK_WORDS or size >= PACK_BYTES:
                     yield out()
-                    index, codes, doc_ids, crcs, counts, parts = fresh()
+                    codes, doc_ids, crcs, counts, parts = Codes(pairs), [], [], [], []
                     pa.default_memory_pool().release_unused()
                     size = 0
         if doc_ids:
