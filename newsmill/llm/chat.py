@@ -67,18 +67,20 @@ def format_chats(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, n_turns, loss_spans, attachments, expanded_tokens) of messages(conv_id, turn, role, parts array<PART>).
 
     loss_spans: (start, length) in code points of each assistant content; attachments: (type, ref, tokens) in order.
-    Rows go by turn, null first, then by role and content; repeated rows are turns of their own. A null conv_id is
+    Rows go by turn, null first, then by role and parts as they are; repeated rows are turns of their own. A null conv_id is
     a conversation, a null role an empty one, null parts none. A part of null type is text.
     """
     parts = F.coalesce("parts", F.expr(f"cast(array() as array<{PART}>)"))
-    role = F.coalesce("role", F.lit(""))
-    rows = messages.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), F.concat(F.lit("### "), role_header(role), F.lit(": ")).alias("head"),
-        F.array_join(F.transform(parts, visited), "").alias("body"),
-        F.transform(F.filter(parts, lambda p: p["type"].isNotNull() & (p["type"] != "text")), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens_of(p).alias("tokens"))).alias("attached"),
-    )
-    one = F.struct("turn", "role", "body", "attached", "head", (F.length("head") + F.length("body") + len(END)).cast("long").alias("size"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    said = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+    chats = messages.select("conv_id", said.alias("said")).groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    written_out = lambda t: F.struct(
+        t["role"].alias("role"),
+        F.concat(F.lit("### "), role_header(t["role"]), F.lit(": ")).alias("head"),
+        F.array_join(F.transform(t["parts"], visited), "").alias("body"),
+        F.transform(F.filter(t["parts"], lambda p: p["type"].isNotNull() & (p["type"] != "text")), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens_of(p).alias("tokens"))).alias("attached"),
+    )
+    sized = lambda t: F.struct(*(t[x].alias(x) for x in ("role", "head", "body", "attached")), (F.length(t["head"]) + F.length(t["body"]) + len(END)).cast("long").alias("size"))
+    chats = chats.select("conv_id", F.transform("said", written_out).alias("turns")).select("conv_id", F.transform("turns", sized).alias("turns"))
     # a fold keeps the place at which each content begins
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:long,length:long>>)").alias("spans"))
     step = lambda acc, t: F.struct(
@@ -97,13 +99,14 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """(conv_id, turns array<struct<role, text>>, loss_text, formatted) read back from formatted and loss_spans alone."""
+    """(conv_id, turns array<struct<role, text>>, loss_text, formatted, attachments, expanded_tokens); turns and loss_text are read back from formatted and loss_spans alone."""
     pieces = F.split("formatted", END)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    pattern = r"(?s)^### ((?:[^:\\]|\\.)*): (.*)$"
+    # possessive: no way back is kept a character, so a header may be of any length
+    pattern = r"(?s)^### ((?:[^:\\]++|\\.)*+): (.*+)$"
     turns = F.transform(pieces, lambda p: F.struct(role_of(F.regexp_extract(p, pattern, 1)).alias("role"), unescaped(F.regexp_extract(p, pattern, 2)).alias("text")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
+    return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted", "attachments", "expanded_tokens")
 
 
 def text_messages(rows: DataFrame) -> DataFrame:
@@ -128,6 +131,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.col("expanded_tokens"),
     )
 
 
@@ -140,6 +145,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(14 + length(role) + length(replace(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/'), '<|', '<\|')))::BIGINT AS formatted_chars
+  sum(14 + length(role) + length(replace(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/'), '<|', '<\|')))::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM said GROUP BY conv_id
 """

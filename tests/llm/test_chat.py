@@ -54,3 +54,22 @@ def test_parts(spark):
     assert row.formatted == "### User: see <\\|image|><|image|><|audio|><|document|><|file|></turn>\n"
     assert [tuple(a) for a in row.attachments] == [("image", "a.png", 4), ("audio", "b.wav", 38), ("document", "c.pdf", 512), ("video", "d", 1)]
     assert row.expanded_tokens == 555 and row.loss_spans == []
+
+
+def test_long_roles_and_texts_and_ties(spark, tmp_path):
+    rows = [
+        (1, 0, "r" * 1_000_000, "t" * 2_000_000, None), (2, 0, "\\:#</<|" * 100_000, "\\#</turn>\n<|x|>" * 100_000, None), (3, 0, "assistant", "#b", None), (3, 0, "assistant", "$a", None), (3, 0, "assistant", "[", None),
+        (3, 0, "assistant", "\\", None), (3, 0, "assistant", "<|", None), (3, 0, "assistant", "<}", None),
+    ]
+    d = folder(tmp_path, conversations=spark.createDataFrame(rows, ROWS))
+    found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.query(spark, d).collect()}
+    assert found == brute([r[:4] for r in rows])
+
+
+def test_attachments_of_parts_are_read_back(spark):
+    image = "named_struct('type','image','text',null,'ref',concat('p', id),'width',28,'height',56,'seconds',null,'pages',null)"
+    text = "named_struct('type','text','text','# look: ','ref',null,'width',null,'height',null,'seconds',null,'pages',null)"
+    rows = spark.range(3).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.expr(f"array({text}, {image}, {image})").cast(f"array<{chat.PART}>").alias("parts"))
+    row = chat.read_chats(chat.format_chats(rows)).first()
+    assert [a.ref for a in row.attachments] == ["p0", "p0", "p1", "p1", "p2", "p2"] and row.expanded_tokens == 12
+    assert row.formatted.count("<|image|>") == 6 and row.loss_text == "# look: <|image|><|image|>" * 3
