@@ -84,14 +84,15 @@ class Encoder:
     """Whole texts to ids as little-endian bytes.
 
     A text is cut into pre-tokens as the vocabulary's pattern cuts it, the library's model turns each into ids.
-    Pre-tokens repeat, so their ids are kept.
+    Pre-tokens repeat, so their ids are kept. A text that holds the string of an added token (`<|endoftext|>`) is
+    given to the library whole, which makes it that token's id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.tokens = WordCache(self.token, 600_000)
@@ -104,7 +105,10 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         get = self.tokens.__getitem__
-        return [b"".join(map(get, pretokens(t))) + self.end for t in texts]
+        return [(self.whole(t) if any(a in t for a in self.added) else b"".join(map(get, pretokens(t)))) + self.end for t in texts]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -121,7 +125,8 @@ def encoder(path: str) -> Encoder:
 def train_dictionary(docs: DataFrame, path: str) -> tuple[bytes, int]:
     """(dictionary, width of an id). Trained on the TRAIN_DOCS rows whose ids hash lowest; empty for few or tiny documents."""
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    some = docs.join(F.broadcast(ids.distinct()), "doc_id").select("text").coalesce(1)
+    # the scan stays parallel; the limit brings what it found into one task, rows of a repeated id included
+    some = docs.join(F.broadcast(ids.distinct()), "doc_id").select("text").limit(TRAIN_DOCS)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, samples, size = encoder(path), [], 0

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -11,7 +12,6 @@ from .helpers import ODD, empty, folder, odd
 
 def brute(rows):
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -22,8 +22,7 @@ def brute(rows):
 
 def test_tokens_encode_as_the_whole():
     own, t = tokenbin.Encoder(tokenizer_path("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["a b", "a\n b", "a \n b", "a\t b \n\n c", " lead", "x  y", "it's 12 3.5, (ok) -- no", "trail ", "two  spaces", "a \n", "\0 z", "\n\n x\n y", "é 🙂 ü", "<|endoftext|>", "don't ''S", "\x1c\x85\u2028 a\u00a0 b", "漢字 ½²x_y"]
+    texts = ["a b", "a\n b", "a \n b", "a\t b \n\n c", " lead", "x  y", "it's 12 3.5, (ok) -- no", "trail ", "two  spaces", "a \n", "\0 z", "\n\n x\n y", "é 🙂 ü", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y <|endoftext", "don't ''S", "\x1c\x85\u2028 a\u00a0 b", "漢字 ½²x_y"]
     for text in texts:
         assert np.frombuffer(own.batch([text])[0], "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], repr(text)
 
@@ -50,3 +49,23 @@ def test_driver_rows(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted(map(tuple, tokenbin.query(spark, d).collect()), key=lambda r: r[1]) == brute(rows)
+
+
+def test_every_script_and_class_of_character():
+    own, t = tokenbin.Encoder(tokenizer_path("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(chr(c) if not 0xD800 <= (c := rng.choice([rng.randrange(128), rng.randrange(0x3000), rng.randrange(0x110000)])) < 0xE000 else " '" for _ in range(rng.randrange(12)))
+        assert np.frombuffer(own.batch([text])[0], "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
+def test_the_sample_is_scanned_in_parallel(spark):
+    rows = [(i % 50, f"text {i}") for i in range(3000)]
+    path = new_path(spark, "d")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(path)
+    before = {s for s in range(10_000) if spark.sparkContext.statusTracker().getStageInfo(s)}
+    spark.conf.set("spark.sql.files.openCostInBytes", 64 << 20)
+    tokenbin.train_dictionary(spark.read.parquet(path), tokenizer_path("byte_bpe_50k.json"))
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    stages = [i for s in range(10_000) if s not in before and (i := spark.sparkContext.statusTracker().getStageInfo(s))]
+    assert sum(i.numTasks > 1 for i in stages) >= 2  # the ids and the texts
