@@ -2,9 +2,10 @@
 
 A text's bytes, padded with zeros to a multiple of UNIT, are the samples of an 8-bit mono WAV file, which is the stored
 form. A rolling gear hash cuts the file into chunks of about 1 KB; Spark joins find the chunks that more than one place
-holds. The store has two Parquet tables under one folder: kind=0, a row a document with its ordered list of chunk
-digests and the bytes of the chunks that stand nowhere else; kind=1, every chunk that is shared, once. A file is
-rebuilt from its list, each chunk is held against its digest and the file against its SHA-256.
+holds. The store is a folder of two Parquet tables. `dictionary` has one row, the dictionary of all frames and its hash.
+`media` has two kinds of rows: kind=0, a row a document with its ordered list of chunk digests and the bytes of the chunks
+that stand nowhere else; kind=1, every chunk that is shared, once. A file is rebuilt from its list, each chunk is held
+against its digest and the file against its SHA-256; a chunk that is not there raises.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import crc, new_path, prepare, table, written
 
 UNIT, RATE = 64, 8000
 LEAST, MOST, BITS, WINDOW = 256, 4096, 10, 32
-LEVEL, TRAIN_DOCS, DICT_BYTES = 9, 800, 112 << 10
+LEVEL, TRAIN_DOCS, DICT_BYTES = 15, 800, 112 << 10
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 5) for b in range(256)], np.uint32)
 
 
@@ -105,19 +106,21 @@ def train(docs: DataFrame) -> bytes:
             made = b""
         yield pa.RecordBatch.from_pydict({"d": [made]})
 
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("text").coalesce(1).mapInArrow(run, "d binary").collect()
+    # the scan stays parallel; the limit brings what it found into one task, rows of a repeated id included
+    rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("text").limit(TRAIN_DOCS).mapInArrow(run, "d binary").collect()
     return bytes(rows[0][0]) if rows else b""
 
 
 MEDIA = "kind int, key long, th long, doc_id long, n_bytes long, sha256 string, digests array<binary>, sizes array<int>, shared array<boolean>, data binary"
 
 
-def store(docs: DataFrame, path: str) -> bytes:
-    """Writes the store of docs(doc_id, text) to path and returns the dictionary of its frames."""
+def store(docs: DataFrame, path: str) -> str:
+    """Writes the store of docs(doc_id, text) to path. Null text: empty. Repeated rows, null doc_ids and rows that share one are rows of their own."""
     spark = docs.sparkSession
     prepare(spark)
     keyed = _keyed(docs)
     trained = train(docs.select("doc_id", "text"))
+    spark.createDataFrame([(xxhash.xxh64_hexdigest(trained), trained)], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,23 +159,27 @@ def store(docs: DataFrame, path: str) -> bytes:
     frames = keyed.mapInArrow(squeeze, "key long, th long, doc_id long, frame binary")
     rows = frames.join(marks.hint("shuffle_hash"), ["key", "th"], "left").mapInArrow(build, MEDIA)
     # frames are compressed already
-    rows.write.partitionBy("kind").option("compression", "none").parquet(path)
-    return trained
+    rows.write.partitionBy("kind").option("compression", "none").parquet(f"{path}/media")
+    return path
 
 
-def rebuilt(spark: SparkSession, path: str, trained: bytes) -> DataFrame:
-    """(doc_id, n_bytes, media) of every row of the store; raises where a chunk or a file is not what its digest says."""
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, n_bytes, media) of every row of the store; raises where a chunk is missing or a chunk or a file is not what its digest says."""
     prepare(spark)
-    rows = spark.read.schema(MEDIA).parquet(path)
+    row = spark.read.parquet(f"{path}/dictionary").first()
+    trained = bytes(row["dictionary"])
+    if xxhash.xxh64_hexdigest(trained) != row["dict_hash"]:
+        raise ValueError("the dictionary does not match its hash")
+    rows = spark.read.schema(MEDIA).parquet(f"{path}/media")
     media = rows.where("kind = 0").select("key", "th", "doc_id", "n_bytes", "sha256", "digests", "sizes", "shared", "data")
     has = F.exists("shared", lambda x: x)
     # a repeated row owns its chunks twice
     chunk = rows.where("kind = 1").groupBy(F.get("digests", F.lit(0)).alias("digest")).agg(F.min("data").alias("data"))
     wanted = media.where(has).select("key", "th", F.posexplode(F.arrays_zip("digests", "shared")).alias("seq", "c")).where("c.shared").select("key", "th", "seq", F.col("c.digests").alias("digest")).distinct()
-    fetched = wanted.join(chunk, "digest").groupBy("key", "th").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
+    fetched = wanted.join(chunk, "digest", "left").groupBy("key", "th").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
     columns = ["doc_id", "n_bytes", "sha256", "digests", "sizes", "shared", "data", "fetched"]
     nothing = F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("fetched")
-    ready = media.where(~has).select(*columns[:-1], nothing).unionByName(media.where(has).join(fetched, ["key", "th"]).select(columns))
+    ready = media.where(~has).select(*columns[:-1], nothing).unionByName(media.where(has).join(fetched, ["key", "th"], "left").select(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=dictionary(trained))
@@ -183,6 +190,8 @@ def rebuilt(spark: SparkSession, path: str, trained: bytes) -> DataFrame:
                 fetched = {f["seq"]: f["data"] for f in r["fetched"] or []}
                 for i, (d, n, shared) in enumerate(zip(r["digests"], r["sizes"], r["shared"], strict=True)):
                     if shared:
+                        if fetched.get(i) is None:
+                            raise ValueError(f"chunk {i} of document {r['doc_id']} is missing")
                         part = unpack.decompress(fetched[i])
                     else:
                         part, at = inline[at : at + n], at + n
@@ -218,6 +227,4 @@ def features(media: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document stored, rebuilt and measured. Null text: empty. Repeated rows and null doc_ids stay."""
-    path = new_path(spark, "media")
-    trained = store(table(spark, sf_dir, "documents"), path)
-    return features(rebuilt(spark, path, trained))
+    return features(rebuilt(spark, store(table(spark, sf_dir, "documents"), new_path(spark, "media"))))
