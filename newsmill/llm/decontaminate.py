@@ -13,7 +13,6 @@ item is a block of its own); only one block's tokens are sent to the executors f
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,60 +51,73 @@ class Hashes:
         return (self.sums[starts + length] - self.sums[starts]) * self.inverse[starts]
 
 
-def tile(item: list[int], doc: list[int], seeds: list[int], least: int, item_hashes: Hashes, doc_hashes: Hashes) -> list[tuple[int, int, int]]:
+def free_starts(marks: bytearray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Those of starts behind which `length` tokens are free."""
+    sums = np.concatenate(([0], np.cumsum(np.frombuffer(marks, np.uint8), dtype=np.int64)))
+    starts = starts[starts + length <= len(marks)]
+    return starts[sums[starts + length] == sums[starts]]
+
+
+def tile(item: np.ndarray, doc: np.ndarray, seeds: np.ndarray, least: int, item_hashes: Hashes, doc_hashes: Hashes) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item start, document start, length) of tiles of at least `least` tokens.
 
-    seeds: starts in the document where `least` tokens stand in the item too. Equal lengths go by item start, then
-    by document start.
+    seeds: starts in the document, rising, where `least` tokens stand in the item too. Equal lengths go by item start, then
+    by document start. The longest length at which free stretches still agree is found by halving; all tiles of that length
+    are laid in one pass, in which a stretch once covered is never looked at again. Lengths fall, so there are at most as
+    many passes as tiles of different lengths fit into the item.
     """
-    in_item, in_doc = [False] * len(item), set()
+    first = int(seeds[0])
+    of_item, of_doc = bytearray(len(item)), bytearray(min(len(doc), int(seeds[-1]) + len(item)) - first)
+    every, places = np.arange(len(item)), seeds - first
     tiles: list[tuple[int, int, int]] = []
-    search = max(least, len(item) // 2)
-    while True:
-        starts = np.array([i for i in range(len(item) - search + 1) if not any(in_item[i : i + search])], np.int64)
-        places = np.array([j for j in seeds if j + search <= len(doc) and j not in in_doc], np.int64)
-        where = defaultdict(list)
-        if len(starts) and len(places):
-            for i, h in zip(starts.tolist(), item_hashes.at(starts, search).tolist(), strict=True):
-                where[h].append(i)
-        matches: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for j, h in zip(places.tolist(), doc_hashes.at(places, search).tolist(), strict=True) if where else ():
-            for i in where.get(h, ()):
-                k = 0
-                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not in_item[i + k] and (j + k) not in in_doc:
-                    k += 1
-                if k >= search:
-                    matches[k].append((i, j))
-        longest = max(matches, default=0)
-        if longest > 2 * search:
-            search = longest
-            continue
-        while matches:
-            k = max(matches)
-            for i, j in sorted(matches.pop(k)):
-                free = 0
-                while free < k and not in_item[i + free] and (j + free) not in in_doc:
-                    free += 1
-                if free == k:
-                    tiles.append((i, j, k))
-                    in_item[i : i + k] = [True] * k
-                    in_doc.update(range(j, j + k))
-                elif free >= search:
-                    matches[free].append((i, j))
-        if search == least or all(in_item):
-            return tiles
-        search = max(least, search // 2)
+
+    def agreeing(length: int) -> tuple[np.ndarray, ...]:
+        """(starts in the item, their hashes, starts in the document, their hashes) of free stretches with an equal hash."""
+        i, j = free_starts(of_item, every, length), free_starts(of_doc, places, length)
+        hi, hj = item_hashes.at(i, length), doc_hashes.at(j + first, length)
+        of_i, of_j = np.isin(hi, hj), np.isin(hj, hi)
+        return i[of_i], hi[of_i], j[of_j], hj[of_j]
+
+    most = min(len(item), len(of_doc))
+    while most >= least:
+        lo, hi = least - 1, most
+        while lo < hi:
+            middle = (lo + hi + 1) // 2
+            lo, hi = (middle, hi) if len(agreeing(middle)[0]) else (lo, middle - 1)
+        if lo < least:
+            break
+        at_item, h_item, at_doc, h_doc = agreeing(lo)
+        by = np.lexsort((at_doc, h_doc))
+        at_doc, h_doc = at_doc[by].tolist(), h_doc[by]
+        begin, end = np.searchsorted(h_doc, h_item, "left").tolist(), np.searchsorted(h_doc, h_item, "right").tolist()
+        passed: dict[int, int] = {}
+        for i, a, z in zip(at_item.tolist(), begin, end, strict=True):
+            if of_item.find(1, i, i + lo) >= 0:
+                continue
+            p = passed.get(a, a)
+            while p < z and of_doc.find(1, at_doc[p], at_doc[p] + lo) >= 0:
+                p += 1
+            passed[a] = p
+            for q in range(p, z):  # more than one only where hashes agree and tokens do not
+                j = at_doc[q]
+                if of_doc.find(1, j, j + lo) < 0 and np.array_equal(item[i : i + lo], doc[j + first : j + first + lo]):
+                    tiles.append((i, j + first, lo))
+                    of_item[i : i + lo] = of_doc[j : j + lo] = b"\1" * lo
+                    break
+        most = lo - 1
+    return tiles
 
 
 class Block:
     """Items ready to be looked for: token numbers, hashes, and the items of each seed."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], least: int):
+    def __init__(self, items: list[tuple[int | None, str | None, int]], least: int):
         self.least, self.vocabulary = least, {}
-        self.ids = [i for i, _ in items]
-        self.items = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(t)] for _, t in items]
-        self.hashes = [Hashes(np.array(x, np.int64)) for x in self.items]
-        found = [h.at(np.arange(len(x) - least + 1), least) if len(x) >= least else np.zeros(0, np.uint64) for x, h in zip(self.items, self.hashes, strict=True)]
+        self.ids = [[i] * n for i, _, n in items]
+        self.items = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(t)] for _, t, _ in items]
+        self.items = [np.array(x, np.int64) for x in self.items]
+        self.hashes = [Hashes(x) for x in self.items]
+        found = [np.unique(h.at(np.arange(len(x) - least + 1), least) if len(x) >= least else np.zeros(0, np.uint64)) for x, h in zip(self.items, self.hashes, strict=True)]
         every = np.concatenate([*found, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
         by = np.argsort(every, kind="stable")
@@ -113,8 +125,8 @@ class Block:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.seeds >> np.uint64(42)] = True
 
-    def search(self, text: str | None, threshold: float) -> Iterator[tuple[int | None, int, int, int, float]]:
-        """(item_id, item tokens, covered tokens, tiles, coverage) of the items that cover enough."""
+    def search(self, text: str | None, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+        """(item, item tokens, covered tokens, tiles, coverage) of the items that cover enough."""
         words = tokens(text)
         if len(words) < self.least or not len(self.seeds):
             return
@@ -129,19 +141,21 @@ class Block:
         maybe = self.bits[h >> np.uint64(42)]
         at, h = at[maybe], h[maybe]
         lo, hi = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        met: dict[int, list[int]] = defaultdict(list)
-        for j, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for item in dict.fromkeys(self.owner[a:b].tolist()):
-                met[item].append(j)
-        doc = ids.tolist() if met else []
-        for item, seeds in met.items():
+        # (item, place) of all seeds, an item's together, places rising
+        n = hi - lo
+        places = np.repeat(at, n)
+        owner = self.owner[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        by = np.argsort(owner, kind="stable")
+        owner, places = owner[by], places[by]
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else by
+        for item, seeds in zip(owner[starts].tolist(), np.split(places, starts[1:]), strict=False):
             size = len(self.items[item])
             if min(size, len(seeds) * self.least) < threshold * size:
                 continue  # these seeds cannot cover enough
-            tiles = tile(self.items[item], doc, seeds, self.least, self.hashes[item], own)
+            tiles = tile(self.items[item], ids, seeds, self.least, self.hashes[item], own)
             covered = sum(k for _, _, k in tiles)
             if covered >= threshold * size:
-                yield self.ids[item], size, covered, len(tiles), covered / size
+                yield item, size, covered, len(tiles), covered / size
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, threshold: float = THRESHOLD) -> DataFrame:
@@ -158,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, threshol
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = Block(shared.value, least)
             for batch in batches:
-                found = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True) for x in block.search(t, threshold)]
+                found = [(d, item_id, *x) for d, t in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True) for i, *x in block.search(t, threshold) for item_id in block.ids[i]]
                 if found:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "item_tokens", "matched_tokens", "tiles", "coverage"])
@@ -184,9 +198,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, threshol
 
 
 def blocks(benchmark: DataFrame) -> Iterator:
-    """Broadcasts of the items, BLOCK_CHARS characters or so in each."""
+    """Broadcasts of (item_id, text, repeats), BLOCK_CHARS characters or so in each: different items are dealt out by hash."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).agg(F.count("*").alias("n"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS) or 1
     for b in range(n):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -37,8 +38,9 @@ def test_tiles_match_brute_force():
         for _ in range(3):
             i = rng.randrange(len(item))
             doc[rng.randrange(len(doc)) : 0] = item[i : i + rng.randrange(3, 15)]
-        seeds = [j for j in range(len(doc) - 2) if any(item[i : i + 3] == doc[j : j + 3] for i in range(len(item) - 2))]
-        got = d.tile(item, doc, seeds, 3, d.Hashes(np.array(item)), d.Hashes(np.array(doc)))
+        seeds = np.array([j for j in range(len(doc) - 2) if any(item[i : i + 3] == doc[j : j + 3] for i in range(len(item) - 2))], np.int64)
+        item, doc = np.array(item), np.array(doc)
+        got = d.tile(item, doc, seeds, 3, d.Hashes(item), d.Hashes(doc)) if len(seeds) else []
         want = brute_tiles(item, doc, 3)
         assert sum(k for *_, k in got) == sum(k for *_, k in want)
         assert sorted(got) == sorted(want)
@@ -69,3 +71,17 @@ def test_blocks_give_the_same(spark, monkeypatch):
     one = sorted(map(tuple, d.leaks(docs, bench).collect()))
     monkeypatch.setattr(d, "BLOCK_CHARS", 2000)
     assert sorted(map(tuple, d.leaks(docs, bench).collect())) == one and one
+
+
+def test_repeated_tokens_do_not_stall():
+    start = time.perf_counter()
+    for text, item in (("la " * 20_000, "la " * 2_000), ("la la lu " * 7_000, "lu la la la " * 500), (" ".join(f"w{i % 7} w{i % 11}" for i in range(10_000)), " ".join(f"w{i % 11} w{i % 7}" for i in range(1_000)))):
+        found = list(d.Block([(1, item, 1)], 5).search(text, 0.5))
+        assert [f[0] for f in found] == [0]
+    assert time.perf_counter() - start < 6
+
+
+def test_repeated_items_give_repeated_pairs(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "two three four five six"), (7, "two three four five six"), (8, "two three four five six"), (None, None), (None, None)], ITEMS)
+    assert sorted(r.item_id for r in d.leaks(docs, bench).collect()) == [7, 7, 8]
