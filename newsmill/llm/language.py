@@ -6,7 +6,8 @@ ones, and the first length of which some language knows any decides by the mean
 language of least mean cost over its words.
 
 Counts are learned from MOST_TRAIN texts at most, those whose ids hash lowest; a language keeps its MOST_WORDS most
-frequent words and MOST_GRAMS n-grams. So the model has a bound; prediction reads whole texts.
+frequent words and MOST_GRAMS n-grams. These are defaults of parameters of `fit`; None keeps all. So the model has a bound;
+prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, prepare, strings, table
+from .common import WordCache, prepare, strings, table, written
 
 MOST_TRAIN, MOST_WORDS, MOST_GRAMS, N, PENALTY = 20_000, 20_000, 20_000, 4, 7.0
 UNKNOWN = "und"
@@ -39,22 +42,26 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """costs: of words, and under None of words that nothing in the model resembles."""
+    """words and grams: {number of a language: cost} for those languages that know them."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, dict[int, float]]
+    grams: dict[str, dict[int, float]]
     n: int = N
 
+    def full(self, known: dict[int, float]) -> np.ndarray:
+        out = np.full(len(self.languages), PENALTY)
+        out[[*known]] = [*known.values()]
+        return out
+
     def cost(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        if word in self.words:
+            return self.full(self.words[word])
         for n in range(self.n, 0, -1):
-            known = [self.grams[g] for g in grams(word, n) if g in self.grams]
+            known = [self.full(self.grams[g]) for g in grams(word, n) if g in self.grams]
             if known:
                 return np.mean(known, axis=0)
-        return np.full(len(self.languages), PENALTY)
+        return self.full({})
 
     def predict(self, texts: list[str], cache: WordCache) -> tuple[list[str], list[float]]:
         """Languages and their shares of 10 ** -(mean cost) (0 to 1). Ties go to the first language by name."""
@@ -74,12 +81,16 @@ class Model:
         return langs, scores
 
 
-def fit(train: DataFrame) -> Model:
-    """Of train(doc_id, text, lang), rows with a language and a text."""
+def fit(train: DataFrame, most_train: int = MOST_TRAIN, most_words: int | None = MOST_WORDS, most_grams: int | None = MOST_GRAMS) -> Model:
+    """Of train(doc_id, text, lang), rows with an id, a language and a text.
+
+    Rows with equal id, text and language count once; words of equal frequency go by name. Without such rows the model has no
+    language and every text is `und`.
+    """
     prepare(train.sparkSession)
     train = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    ids = train.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRAIN)
-    some = train.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").select("text", "lang")
+    ids = train.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_train)
+    some = train.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates().select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(own: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +114,15 @@ def fit(train: DataFrame) -> Model:
         yield from out(own)
 
     counts = some.mapInArrow(count, "lang string, kind long, size long, item string, n long").groupBy("lang", "kind", "size", "item").agg(F.sum("n").alias("n"))
-    kept = None
-    from .common import written
-
     counts = written(counts, "word-counts")
     totals = {(r["lang"], r["kind"], r["size"]): r["n"] for r in counts.groupBy("lang", "kind", "size").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({k[0] for k in totals})
-    for lang in languages:
-        for kind, most in ((0, MOST_WORDS), (1, MOST_GRAMS)):
-            top = counts.where((F.col("lang") == lang) & (F.col("kind") == kind)).orderBy(F.desc("n"), "item").limit(most)
-            kept = top if kept is None else kept.unionByName(top)
-    tables: tuple[dict[str, np.ndarray], ...] = ({}, {})
-    for r in kept.collect() if kept is not None else ():
-        cost = tables[r["kind"]].setdefault(r["item"], np.full(len(languages), PENALTY))
-        cost[languages.index(r["lang"])] = -np.log10(r["n"] / totals[r["lang"], r["kind"], r["size"]])
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
+    within = [(F.col("kind") == kind) & (place <= most) for kind, most in ((0, most_words), (1, most_grams)) if most is not None]
+    unbounded = [F.col("kind") == kind for kind, most in ((0, most_words), (1, most_grams)) if most is None]
+    tables: tuple[dict[str, dict[int, float]], ...] = ({}, {})
+    for r in counts.withColumn("stays", reduce(or_, within + unbounded)).where("stays").select("lang", "kind", "size", "item", "n").collect():
+        tables[r["kind"]].setdefault(r["item"], {})[languages.index(r["lang"])] = -np.log10(r["n"] / totals[r["lang"], r["kind"], r["size"]])
     return Model(languages, *tables)
 
 
@@ -125,7 +131,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of docs(doc_id, text). `und` with score 0 where a text has no letter."""
+    """(doc_id, lang_pred, score) of every row of docs(doc_id, text). `und` with score 0 where a text is null or has no letter.
+
+    Repeated rows and null doc_ids stay; of languages of equal cost the first by name is taken.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

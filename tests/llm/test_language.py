@@ -1,3 +1,10 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
 from newsmill.llm import language
 from newsmill.llm.common import WordCache
 
@@ -5,9 +12,7 @@ from .helpers import empty, folder, odd
 
 
 def test_words_come_before_grams():
-    import numpy as np
-
-    model = language.Model(["a", "b"], {"cat": np.array([1.0, 7.0])}, {"ca": np.array([7.0, 1.0]), "d": np.array([2.0, 3.0])}, 2)
+    model = language.Model(["a", "b"], {"cat": {0: 1.0}}, {"ca": {1: 1.0}, "d": {0: 2.0, 1: 3.0}}, 2)
     assert model.cost("cat").tolist() == [1.0, 7.0]
     assert model.cost("car").tolist() == [7.0, 1.0]
     assert model.cost("dx").tolist() == [2.0, 3.0]
@@ -36,6 +41,62 @@ def test_held_out_accuracy_and_counts(spark):
     rows = docs.where(~language.held_out(docs.doc_id)).collect()
     model = language.fit(docs.where(~language.held_out(docs.doc_id)))
     en = [w for r in rows if r.lang == "en" for w in language.words(r.text)]
-    import math
-
     assert math.isclose(model.words["the"][model.languages.index("en")], -math.log10(en.count("the") / len(en)))
+
+
+def brute(rows, most):
+    """doc_id -> (language, score), from rows(doc_id, text, lang) by the rules alone."""
+    found = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    cut = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = {}
+    for d, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(d).encode()) % 5:
+            for w in found(text):
+                counts.setdefault((lang, 0), Counter())[w] += 1
+                for n in (1, 2, 3, 4):
+                    counts.setdefault((lang, n), Counter()).update(cut(w, n))
+    langs = sorted({lang for lang, _ in counts})
+    sizes = {k: sum(c.values()) for k, c in counts.items()}
+    kept = {}
+    for lang in langs:
+        some = sorted(((-n, g, k) for k in (1, 2, 3, 4) for g, n in counts[lang, k].items()))[:most]
+        kept[lang] = {w for _, w in sorted((-n, w) for w, n in counts[lang, 0].items())[:most]}, {g for _, g, _ in some}
+
+    def costs(w):
+        if any(w in kept[g][0] for g in langs):
+            return [-math.log10(counts[g, 0][w] / sizes[g, 0]) if w in kept[g][0] else 7.0 for g in langs]
+        for n in (4, 3, 2, 1):
+            own = [x for x in cut(w, n) if any(x in kept[g][1] for g in langs)]
+            if own:
+                return [sum(-math.log10(counts[g, n][x] / sizes[g, n]) if x in kept[g][1] else 7.0 for x in own) / len(own) for g in langs]
+        return [7.0] * len(langs)
+
+    memo, out = {}, {}
+    for d, text, _ in rows:
+        own = found(text or "")
+        each = [memo.get(w) or memo.setdefault(w, costs(w)) for w in own]
+        if not own:
+            out[d] = "und", 0.0
+            continue
+        mean = [sum(c[i] for c in each) / len(each) for i in range(len(langs))]
+        share = [10.0 ** (min(mean) - m) for m in mean]
+        out[d] = langs[mean.index(min(mean))], max(share) / sum(share)
+    return out
+
+
+@pytest.mark.parametrize("most", [60, 20_000])
+def test_against_brute_force(spark, most):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    want = brute([tuple(r) for r in docs.collect()], most)
+    model = language.fit(docs.where(~language.held_out(docs.doc_id)), most_words=most, most_grams=most)
+    found = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    assert found.keys() == want.keys()
+    for d, (lang, score) in want.items():
+        assert found[d].lang_pred == lang and math.isclose(found[d].score, score, abs_tol=1e-9)
+
+
+def test_no_bound_keeps_all_and_repeated_rows_count_once(spark):
+    rows = [(1, "one two two", "en"), (1, "one two two", "en"), (2, "eins zwei", "de"), (None, "never seen", "en"), (3, None, "fr"), (4, "neither", None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_words=None, most_grams=None)
+    assert model.languages == ["de", "en"] and model.words.keys() == {"one", "two", "eins", "zwei"}
+    assert math.isclose(model.words["two"][1], -math.log10(2 / 3))
