@@ -4,7 +4,8 @@ Grades: 0 for documents labelled clean; toxic ones get 1, or 2 where they hold m
 document. One weight a feature is shared by all thresholds: P(grade <= k) = logistic(threshold_k - weights . counts).
 Features are words, beginnings of words (`^stem`, PREFIXES letters, for insults that inflect or compound) and
 beginnings that a text has at least twice (`^^stem`). The model is fitted on MOST_LABELS labelled documents at most,
-those whose ids hash lowest; its features are the MOST_WORDS most telling of that sample. All documents are scored whole.
+those whose ids hash lowest; its features are the MOST_WORDS most telling of that sample. Both are defaults of parameters of
+`fit`; None keeps all telling features. All documents are scored whole.
 """
 
 from __future__ import annotations
@@ -108,12 +109,16 @@ def fit_ordinal(rows: list[list[tuple[int, int]]], grade: np.ndarray, n_words: i
     return theta[:n_words], theta[n_words] + np.concatenate(([0], np.cumsum(np.exp(theta[n_words + 1 :]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Without labels, or with those of one kind only, no word has a weight and every document is clean."""
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most_words: int | None = MOST_WORDS) -> Model:
+    """Of the documents that labels(doc_id, toxic) knows; of several labels of an id the greatest holds.
+
+    Rows with equal id and text count once; null ids and labels do not. Features of equal weight go by name. Without labels, or
+    with those of one kind only, no word has a weight and every document is clean.
+    """
     prepare(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
-    sample = written(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic"), "labelled")
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
+    sample = written(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Counter(), Counter()
@@ -129,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
     z = odds / F.sqrt(1 / a + 1 / b)
     counts = sample.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    told = counts.where("clean + toxic >= 5").select("word", z.alias("z"), odds.alias("odds")).where(F.abs("z") >= TELLING).orderBy(F.abs("z").desc(), "word").limit(MOST_WORDS).collect() if n0 and n1 else []
+    telling = counts.where("clean + toxic >= 5").select("word", z.alias("z"), odds.alias("odds")).where(F.abs("z") >= TELLING).orderBy(F.abs("z").desc(), "word")
+    told = (telling if most_words is None else telling.limit(most_words)).collect() if n0 and n1 else []
     index, toxic_words = {r["word"]: i for i, r in enumerate(told)}, frozenset(i for i, r in enumerate(told) if r["odds"] > 0)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             own = [known.of(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array([[j for j, _ in r] for r in own], pa.list_(pa.int64())), pa.array([[n for _, n in r] for r in own], pa.list_(pa.int64()))], ["toxic", "word", "n"])
 
-    # at most MOST_LABELS rows of at most MOST_WORDS numbers, in an order of their own
+    # at most most_labels ids' rows of at most most_words numbers, in an order of their own
     rows = sorted((r["toxic"], list(zip(r["word"], r["n"], strict=True))) for r in sample.mapInArrow(pick, "toxic long, word array<long>, n array<long>").collect()) if told else []
     held = np.array([sum(n for j, n in r if j in toxic_words) for _, r in rows])
     toxic = np.array([t > 0 for t, _ in rows], bool)

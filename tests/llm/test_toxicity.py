@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 
 from newsmill.llm import toxicity
@@ -49,3 +53,43 @@ def test_held_out_accuracy(spark):
     toxic = [r for r in found if r.toxic]
     assert sum(r.is_toxic for r in clean) <= 0.01 * len(clean)
     assert sum(r.is_toxic for r in toxic) >= 0.8 * len(toxic)
+
+
+def brute_features(text):
+    own = re.findall(r"[^\W\d_]+", (text or "").lower())
+    out = Counter(own)
+    for n in (5, 6, 7):
+        out.update("^" + w[:n] for w in own if len(w) > n)
+    out.update({"^" + k: 1 for k, c in list(out.items()) if k[0] == "^" and c > 1})
+    return out
+
+
+def test_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels, most_words=None)
+    toxic = {r.doc_id: r.toxic > 0 for r in labels.collect() if r.toxic is not None}
+    rows = {r.doc_id: brute_features(r.text) for r in docs.collect()}
+    held = [Counter(k for i, f in rows.items() if toxic.get(i) is side for k in f) for side in (False, True)]
+    n = [sum(toxic.get(i) is side for i in rows) for side in (False, True)]
+    telling = set()
+    for w in held[0].keys() | held[1].keys():
+        b, a = held[0][w] + 0.5, held[1][w] + 0.5
+        z = (math.log(a / (n[1] + 1 - a)) - math.log(b / (n[0] + 1 - b))) / math.sqrt(1 / a + 1 / b)
+        if held[0][w] + held[1][w] >= 5 and abs(z) >= toxicity.TELLING:
+            telling.add(w)
+    assert model.index.keys() == telling and len(telling) > 5
+    for r in toxicity.score(docs, model).collect():
+        s = sum(model.weights[model.index[k]] * math.log1p(c) for k, c in rows[r.doc_id].items() if k in model.index)
+        below = [1 / (1 + math.exp(min(50, max(-50, s - t)))) for t in model.thresholds]
+        p = [below[0], below[1] - below[0], 1 - below[1]]
+        assert math.isclose(r.severity, p[1] + 2 * p[2], abs_tol=1e-9) and math.isclose(r.p_toxic, 1 - p[0], abs_tol=1e-9)
+        assert r.is_toxic == (1 - p[0] > 0.5) and r.grade == p.index(max(p))
+
+
+def test_empty_tables(spark, tmp_path):
+    some = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], LABELS)
+    for name, docs, labels in (("a", empty(spark), some), ("b", odd(spark), some.limit(0)), ("c", empty(spark), some.limit(0))):
+        (tmp_path / name).mkdir()
+        found = toxicity.query(spark, folder(tmp_path / name, documents=docs, labels=labels)).collect()
+        assert len(found) == docs.count() and not any(r.is_toxic for r in found)
