@@ -70,6 +70,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with as many underscores behind as it takes to differ from the columns', case apart."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def strings(column: pa.Array) -> list[str]:
     """Null: empty."""
     return [x or "" for x in column.to_pylist()]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, components, prepare, strings, table, written
+from .common import by_key, components, free_names, prepare, strings, table, written
 
 SEED, BLOCKS, MOST_RADIUS = 42, 8, 3
 #: Bits at which a similarity of 0.8 lies on average, and buckets by which near copies are looked for in the pipeline.
@@ -268,11 +268,11 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(keyed: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+def _verified(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(cls, first): the components of classes(cls, one, root) by the similarity of their shingle sets, within each root."""
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    wanted = classes.join(several, "root").select("root", "cls", F.col("one.key").alias("_key"), F.col("one.hash").alias("_hash"))
+    wanted = classes.join(several, "root").select("root", "cls", "one.key", "one.hash")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,8 +287,8 @@ def _verified(keyed: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                 first = alike([np.frombuffer(x.as_py(), np.uint64) for x in own[s:e]])
                 yield pa.RecordBatch.from_arrays([pa.array(cls[s:e], pa.binary()), pa.array([cls[s + i] for i in first.tolist()], pa.binary())], ["cls", "first"])
 
-    texts = keyed.select("_key", "_hash", F.col("text").cast("string").alias("text")).join(wanted, ["_key", "_hash"]).select("root", "cls", "text").dropDuplicates(["cls"])  # repeated rows are alike
-    members = texts.mapInArrow(sets, "root long, cls binary, own binary")
+    own = texts.join(wanted, ["key", "hash"]).select("root", "cls", "text").dropDuplicates(["cls"])  # repeated rows are alike
+    members = own.mapInArrow(sets, "root long, cls binary, own binary")
     return members.repartition(parts, "root").sortWithinPartitions("root", "cls").mapInArrow(link, "cls binary, first binary")
 
 
@@ -300,7 +300,9 @@ def one_of_each(docs: DataFrame, width: int = 5, radius: int = CANDIDATES) -> Da
     sets are one class, of which one set is compared.
     """
     names = docs.columns
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(*[F.col(f"`{n}`") for n in names]).alias("_hash"))
+    key, row = free_names(names, "key", "row")
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(key), F.xxhash64(*[F.col(f"`{n}`") for n in names]).alias(row))
+    texts = keyed.select(F.col(key).alias("key"), F.col(row).alias("hash"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,17 +312,17 @@ def one_of_each(docs: DataFrame, width: int = 5, radius: int = CANDIDATES) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["key", "hash", "fp", "bands", "cls"])
 
     prepare(docs.sparkSession)
-    own = written(keyed.select("_key", "_hash", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, hash long, fp long, bands array<long>, cls binary"), "fingerprints")
+    own = written(texts.mapInArrow(run, "key long, hash long, fp long, bands array<long>, cls binary"), "fingerprints")
     classes = written(own.groupBy("cls").agg(F.min("fp").alias("fp"), F.min(F.struct("key", "hash")).alias("one")), "classes")
     # a class has several fingerprints where its shingles are repeated differently
     same = own.select("cls", F.col("fp").alias("a")).join(classes.select("cls", F.col("fp").alias("b")), "cls").where("a <> b").select("a", "b")
     links = edges_of(own.select("fp", F.explode("bands").alias("k")).distinct(), radius).unionByName(same)
     found = components(links).withColumnRenamed("node", "fp")
     classes = written(classes.join(found, "fp", "left").select("cls", "one", F.coalesce("root", "fp").alias("root")), "candidates")
-    first = written(_verified(keyed, classes, width), "verified")
-    kept = classes.join(first, "cls", "left").groupBy(F.coalesce("first", "cls").alias("first")).agg(F.min("one").alias("one")).select(F.col("one.key").alias("_key"), F.col("one.hash").alias("_hash"))
+    first = written(_verified(texts, classes, width), "verified")
+    kept = classes.join(first, "cls", "left").groupBy(F.coalesce("first", "cls").alias("first")).agg(F.min("one").alias("one")).select(F.col("one.key").alias(key), F.col("one.hash").alias(row))
     # repeated rows are alike in both: one of them stays
-    return keyed.join(written(kept, "kept"), ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*[F.col(f"`{n}`") for n in names])
+    return keyed.join(written(kept, "kept"), [key, row], "left_semi").dropDuplicates([key, row]).select(*[F.col(f"`{n}`") for n in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, prepare, table, written
+from .common import by_key, free_names, prepare, table, written
 
 LENGTH, KGRAM, SHALLOW = 200, 32, 32
 #: Bytes joined for one pass of hashing; a longer text is a pass of its own.
@@ -280,8 +280,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed, found = spans(docs, length)
     names = docs.columns
     at = names.index("text")
-    both = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"))
-    joined = both.join(found.select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).hint("shuffle_hash"), ["_key", "_th"], "left").select(*[F.col(f"`{n}`") for n in names], "_spans")
+    key, th, own = free_names(names, "key", "th", "spans")
+    both = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(key), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(th))
+    joined = both.join(found.toDF(key, th, own).hint("shuffle_hash"), [key, th], "left").select(*[F.col(f"`{n}`") for n in names], own)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 from newsmill.llm import resample
 
@@ -46,3 +47,26 @@ def test_good_documents_rank_higher(spark):
     found = resample.resample(spark.read.parquet(f"{d}/documents.parquet"), learned.select("doc_id"))
     share = {r.quality: r.s for r in found.join(held, "doc_id").groupBy("quality").agg({"selected": "max", "rank": "avg"}).withColumnRenamed("avg(rank)", "s").collect()}
     assert share[1] < share[0]
+
+
+def test_top_k_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.quality == 1}
+    keys = []
+    for (doc_id, _), w in zip(rows, brute(rows, good), strict=True):
+        u = (xxhash.xxh64_intdigest(str(doc_id), resample.SEED) + 0.5) / 2**64
+        keys.append((-(w - math.log(-math.log(u))), doc_id))
+    keys.sort()
+    found = {r.doc_id: r for r in resample.query(spark, d).collect()}
+    assert [found[i]["rank"] for _, i in keys] == list(range(1, len(rows) + 1))
+    assert {i for i, r in found.items() if r.selected} == {i for _, i in keys[: math.ceil(len(rows) / 2)]}
+
+
+def test_noise_draws_in_proportion_to_the_weights(spark):
+    # of pairs of a weight twice as great, two thirds come first
+    docs = spark.createDataFrame([(i, "heavy" if i % 2 else "light") for i in range(6000)], "doc_id long, text string")
+    ratio = np.zeros(1 << 10)
+    ratio[resample.buckets("heavy", resample.word_cache(), 1 << 10)] = math.log(2)
+    found = {r.doc_id: r.sort_key for r in resample.weigh(docs, ratio).collect()}
+    assert abs(sum(found[i] > found[i - 1] for i in range(1, 6000, 2)) / 3000 - 2 / 3) < 0.03
