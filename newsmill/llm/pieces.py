@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc, made_table, new_path, prepare, strings, table, tokenizer_path
+from .common import crc, give_back, made_table, new_path, prepare, strings, table, tokenizer_path
 
 SPACE = "▁"
 #: Longer words are segmented one by one where they are found, by the same rule, not in the lattice of Spark.
@@ -203,10 +203,12 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
                 if len(codes.cells) >= PACK_WORDS or size >= PACK_BYTES:
                     yield out()
                     codes, doc_ids, crcs, counts, parts = Codes(pairs), [], [], [], []
-                    pa.default_memory_pool().release_unused()
+                    give_back()
                     size = 0
         if doc_ids:
             yield out()
+        del codes, doc_ids, crcs, counts, parts
+        give_back()
 
     schema = "pack long, doc_ids array<long>, crcs array<long>, counts array<long>, codes binary, words array<string>, longs struct<n:long,blob:binary>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -302,6 +304,8 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = []
     if held:
         yield from out(pa.Table.from_batches(held))
+    del held
+    give_back()
 
 
 def spread(words: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -348,12 +352,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 starts = np.zeros(len(code), np.int64)
                 starts[code] = np.cumsum(lengths_of) - lengths_of
                 values = ids
-                planes = np.frombuffer(unpack.decompress(one.column(3).to_pylist()[0]), np.uint8).reshape(3, -1).astype(np.uint32)
-                codes = planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16)
+                planes = np.frombuffer(unpack.decompress(one.column(3).to_pylist()[0]), np.uint8).reshape(3, -1)
                 at = 0
                 for i in range(0, len(doc_ids), 200):
                     n = np.array(counts[i : i + 200], np.int64)
-                    mine = codes[at : at + n.sum()]
+                    low, middle, high = planes[:, at : at + n.sum()].astype(np.uint32)
+                    mine = low | middle << np.uint32(8) | high << np.uint32(16)
                     at += len(mine)
                     size = lengths[mine]
                     ends = np.cumsum(size)
@@ -369,6 +373,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                         ],
                         ["doc_id", "n_pieces", "ids", "ids_crc32", "round_trip"],
                     )
+                give_back()
 
     return joined.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, round_trip boolean")
 

@@ -23,7 +23,7 @@ from .common import by_key, free_names, prepare, table, written
 
 LENGTH, KGRAM, SHALLOW = 200, 32, 32
 #: Bytes joined for one pass of hashing; a longer text is a pass of its own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
@@ -35,17 +35,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_tables: list[np.ndarray] = [_powers(_BASE, 1), _powers(_INVERSE, 1)]
+#: Powers for a pass of PASS_BYTES, kept by a worker; those for a longer text are made for it alone.
+_tables: list[np.ndarray] = []
+
+
+def power_tables(n: int) -> list[np.ndarray]:
+    if n > PASS_BYTES:
+        return [_powers(_BASE, n), _powers(_INVERSE, n)]
+    if not _tables:
+        _tables[:] = _powers(_BASE, PASS_BYTES), _powers(_INVERSE, PASS_BYTES)
+    return _tables
 
 
 def kgram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of every k bytes: differences of prefix sums of a polynomial, divided by their first power and mixed."""
-    if len(_tables[0]) < len(buf):
-        n = 1 << len(buf).bit_length()
-        _tables[:] = _powers(_BASE, n), _powers(_INVERSE, n)
+    powers, inverses = power_tables(len(buf))
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * _tables[0][: len(buf)], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * _tables[1][: len(buf) - k + 1]
+    np.cumsum(_BYTES[buf] * powers[: len(buf)], out=sums[1:])
+    h = (sums[k:] - sums[:-k]) * inverses[: len(buf) - k + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
