@@ -25,6 +25,7 @@ PROMO_TEXT, PROMO_URL = "Підпишись на канал", "https://t.me/chan
 _VOID = frozenset(("br", "img", "hr", "input", "meta", "link"))
 _PAIRS = (("**", "b"), ("__", "b"), ("*", "i"), ("_", "i"), ("`", "code"))
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
+_MARKED = re.compile(r"[*_`\[]")
 _PIECE = re.compile(r"<[^>]*>|&[^;]*;|.", re.S)
 
 
@@ -51,7 +52,8 @@ def _mark(s: str, i: int) -> tuple[str, int] | None:
 def inline(s: str) -> str:
     """Bold, italic, code and links; a mark that nothing closes stays as it is, and so do underscores inside words."""
     out, plain, i = [], 0, 0
-    while i < len(s):
+    while m := _MARKED.search(s, i):
+        i = m.start()
         if found := _mark(s, i):
             out += [html.escape(s[plain:i], quote=False), found[0]]
             i = plain = found[1]
@@ -169,9 +171,13 @@ def with_variants(posts: DataFrame, title: Column, review_md: Column, link_url:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(n + i).to_pylist() for i in range(4)), strict=True))
+            rows = list(zip(*(c.to_pylist() for c in b.column(n).flatten()), strict=True))
             made = [pa.array([fitted(*row, promo, most) for row in rows], pa.string()) for most in kinds]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *made], [*b.schema.names[:n], "with_image", "without_image"])
 
-    parts = posts.select("*", header.alias("_header"), F.coalesce(review, F.lit("")).alias("_review"), link.alias("_link"), T.escape_html(T.strip(tags)).alias("_tags"))
+    # named by place, so that the posts' own columns may have any names
+    given = F.struct(header.alias("header"), F.coalesce(review, F.lit("")).alias("review"), link.alias("link"), T.escape_html(T.strip(tags)).alias("tags"))
+    taken = {c.lower() for c in posts.columns}
+    name = next(x for x in ("parts" + "_" * i for i in range(len(taken) + 1)) if x not in taken)
+    parts = posts.select("*", given.alias(name))
     return parts.mapInArrow(run, StructType([*kept.fields, StructField("with_image", StringType()), StructField("without_image", StringType())]))

@@ -23,8 +23,11 @@ PROMO_MD = "[**Підпишись на канал**](https://t.me/channel)"
 DISCLAIMER = "Матеріал має інформативний характер і не є податковою/юридичною консультацією."
 MOST_REWRITE, MOST_ARTICLE = 3800, 4000
 SENTENCE_ENDS = (".", "!", "?", "…")
+#: Unicode's white space, which \s finds under (?U).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _UA_DATE = rf"(?U)\b\d{{1,2}}\s+({'|'.join(MONTHS_GENITIVE)})\s+\d{{4}}\b"
+_LABELLED = "(?iu)" + "|".join(sorted({label.split()[0] for label in SECTION_LABELS}))
 _CLASS = "".join("\\" + c if c in "[]\\^-&" else c for c in MARKERS)
 
 
@@ -34,7 +37,11 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
+
+
+def strip_end(x: Column) -> Column:
+    return F.rtrim(x, F.lit(SPACES))
 
 
 def blank(x: Column) -> Column:
@@ -44,7 +51,7 @@ def blank(x: Column) -> Column:
 
 def non_blank(x: Column) -> Column:
     """The stripped text, null where nothing is left."""
-    return F.nullif(strip(x), F.lit(""))
+    return let(strip(x), lambda own: F.when(own != "", own))
 
 
 def collapse(x: Column) -> Column:
@@ -69,7 +76,7 @@ def contains_any(x: Column, phrases: tuple[str, ...]) -> Column:
 def normalize_paragraphs(x: Column) -> Column:
     """Blank lines part paragraphs; a paragraph's lines are joined by spaces; null where nothing is left."""
     parts = F.transform(F.split(x, r"(?U)(?:\r\n|\n|\r)\s*(?:\r\n|\n|\r)"), collapse)
-    return F.nullif(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n"), F.lit(""))
+    return let(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n"), lambda own: F.when(own != "", own))
 
 
 def title_key(x: Column) -> Column:
@@ -99,7 +106,9 @@ def strip_preamble(x: Column, title: Column) -> Column:
 
     def kept(both: Column) -> Column:
         own = both["lines"]
-        first = F.array_position(F.transform(own, lambda line: ~skipped(line, both["key"])), True).cast("int")
+        # once a line is kept the others are not looked at
+        step = lambda acc, line: F.when(acc["at"] > 0, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), F.when(skipped(line, both["key"]), 0).otherwise(acc["n"] + 1).alias("at")))
+        first = F.aggregate(own, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), step)["at"]
         return let(first, lambda at: F.when(at > 0, strip(join_lines(F.slice(own, at, F.greatest(F.size(own), F.lit(1)))))).otherwise(""))
 
     given = F.struct(F.transform(lines(x), strip).alias("lines"), F.coalesce(title_key(title), F.lit("")).alias("key"))
@@ -108,15 +117,25 @@ def strip_preamble(x: Column, title: Column) -> Column:
 
 def rebuild_body(body: Column, title: Column, promo: str = PROMO_MD) -> Column:
     """The body with one bold title line at its head, no repeated heading lines, and the promo at its end if it was there."""
-    text, name = F.coalesce(strip(body), F.lit("")), F.coalesce(strip(title), F.lit(""))
-    head = F.when(name == "", "").otherwise(F.concat(F.lit("**"), name, F.lit("**")))
-    rest = F.when((head != "") & F.startswith(text, head), F.regexp_replace(F.substr(text, F.length(head) + 1), r"^[\n ]+", "")).otherwise(text)
     own = promo.strip()
-    has = F.endswith(rest, F.lit(own)) if own else F.lit(False)
-    rest = F.when(has, F.regexp_replace(F.substr(rest, F.lit(1), F.length(rest) - len(own)), r"(?U)\s+$", "")).otherwise(rest)
-    core = F.coalesce(strip_preamble(rest, F.coalesce(title, F.lit(""))), F.lit(""))
-    parts = F.filter(F.array(head, core, F.when(has, F.lit(own)).otherwise("")), lambda p: p != "")
-    return F.when(text == "", "").otherwise(strip(F.array_join(parts, "\n\n")))
+    name = strip(F.coalesce(title, F.lit("")))
+    head = let(name, lambda n: F.when(n == "", "").otherwise(F.concat(F.lit("**"), n, F.lit("**"))))
+    given = F.struct(strip(F.coalesce(body, F.lit(""))).alias("text"), head.alias("head"))
+
+    def beheaded(g: Column) -> Column:
+        repeats = (g["head"] != "") & F.startswith(g["text"], g["head"])
+        return F.when(repeats, F.regexp_replace(F.substr(g["text"], F.length(g["head"]) + 1), r"^[\n ]+", "")).otherwise(g["text"])
+
+    def whole(g: Column, rest: Column) -> Column:
+        has = F.endswith(rest, F.lit(own)) if own else F.lit(False)
+        return let(has, lambda h: joined(g, h, F.when(h, strip_end(F.substr(rest, F.lit(1), F.length(rest) - len(own)))).otherwise(rest)))
+
+    def joined(g: Column, has: Column, rest: Column) -> Column:
+        core = F.coalesce(strip_preamble(rest, F.coalesce(title, F.lit(""))), F.lit(""))
+        parts = F.filter(F.array(g["head"], core, F.when(has, F.lit(own)).otherwise("")), lambda p: p != "")
+        return strip(F.array_join(parts, "\n\n"))
+
+    return let(given, lambda g: F.when(g["text"] == "", "").otherwise(let(beheaded(g), lambda rest: whole(g, rest))))
 
 
 def clean_lines(found: Column) -> Column:
@@ -167,7 +186,13 @@ def post_sections(x: Column) -> Column:
         both = F.struct(clean_lines(F.coalesce(under("long"), before)).alias("long"), clean_lines(under("short")).alias("short"))
         return let(both, lambda b: F.struct(F.when((b["long"] == "") & (F.coalesce(b["short"], F.lit("")) != ""), b["short"]).otherwise(b["long"]).alias("long"), b["short"].alias("short")))
 
-    return let(F.aggregate(F.transform(lines(F.coalesce(x, F.lit(""))), parsed), zero, step), chosen)
+    labelled = lambda own: F.rlike(own, F.lit(_LABELLED))
+    nothing = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("rest"))
+    line_of = lambda line: F.struct(F.when(labelled(line), parsed(line)["head"]).otherwise(nothing).alias("head"), line.alias("line"))
+    sections = lambda own: let(F.aggregate(F.transform(lines(own), line_of), zero, step), chosen)
+    # a text without a label is its own long part
+    plain = lambda own: F.struct(clean_lines(lines(own)).alias("long"), F.lit(None).cast("string").alias("short"))
+    return let(F.coalesce(x, F.lit("")), lambda own: F.when(labelled(own), sections(own)).otherwise(plain(own)))
 
 
 def tags_of(x: Column, default: str = BASE_TAGS) -> Column:
@@ -243,7 +268,7 @@ def smart_trim(x: Column, limit: Column | int) -> Column:
             found.append(_upto(cut, end, more, limit * least))
         return let(F.regexp_replace(F.coalesce(*found, strip(cut)), "[-•]+$", ""), ended)
 
-    trimmed = lambda own: F.when(F.length(own) <= limit, own).otherwise(let(F.regexp_replace(F.substr(own, F.lit(1), limit), r"(?U)\s+$", ""), best))
+    trimmed = lambda own: F.when(F.length(own) <= limit, own).otherwise(let(strip_end(F.substr(own, F.lit(1), limit)), best))
     return F.when(limit <= 0, F.when(x.isNotNull(), F.lit(""))).otherwise(let(strip(x), trimmed))
 
 
@@ -266,7 +291,8 @@ def drop_leading_title(x: Column, title: Column) -> Column:
 
     def told(line: Column, key: Column) -> Column:
         """0 for a blank line, 1 for the title, 2 for any other."""
-        return F.when(line == "", 0).when(F.lower(collapse(plain_heading(line))) == key, 1).otherwise(2)
+        near = F.contains(F.lower(line), F.substring_index(key, " ", 1))
+        return F.when(line == "", 0).when(near & (F.lower(collapse(plain_heading(line))) == key), 1).otherwise(2)
 
     def kept(both: Column) -> Column:
         own, kinds = both["lines"], both["kinds"]

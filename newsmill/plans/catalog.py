@@ -69,8 +69,8 @@ def latest_items(t):
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")
 def dedup_keep_first(t):
-    first = F.row_number().over(Window.partitionBy("text").orderBy("doc_id"))
-    return t("documents").select("doc_id", "text", first.alias("rn")).where("rn = 1").select("doc_id", F.md5("text").alias("text_md5"))
+    # by digest: partial minima and 32 characters a text cross the shuffle, not the texts
+    return t("documents").groupBy(F.md5("text").alias("text_md5")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text_md5")
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -86,9 +86,9 @@ def known_only(t):
 @query("""WITH n AS (SELECT text, count(*) AS n FROM documents GROUP BY text)
 SELECT doc_id, n - 1 AS n_known, CASE WHEN n - 1 = 1 THEN 'duplicate' WHEN n - 1 > 1 THEN 'error' END AS status FROM documents JOIN n USING (text)""")
 def duplicate_probe_status(t):
-    docs = t("documents").select("doc_id", "text")
-    counts = docs.groupBy("text").agg((F.count("*") - 1).alias("n_known"))
-    return docs.join(counts, "text").select("doc_id", "n_known", R.probe_status(F.col("n_known")).alias("status"))
+    docs = t("documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    counts = docs.groupBy("digest").agg((F.count("*") - 1).alias("n_known"))
+    return docs.join(counts, "digest").select("doc_id", "n_known", R.probe_status(F.col("n_known")).alias("status"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages")
@@ -216,9 +216,9 @@ def drafts_with_articles(t):
     return both.select(F.col("d.id").alias("draft_id"), "a.lang")
 
 
-@query("SELECT conv_id AS draft_id, max(text) FILTER (turn = 0) AS first_text, max(text) FILTER (turn = 1) AS second_text FROM conversations WHERE turn < 2 GROUP BY conv_id")
+@query("SELECT conv_id AS draft_id, max(text) FILTER (turn = 0) AS first_text, max(text) FILTER (turn = 1) AS second_text FROM conversations GROUP BY conv_id")
 def previews_by_kind(t):
-    rows = t("conversations").where("turn < 2").select(F.col("conv_id").alias("draft_id"), F.col("turn").cast("string").alias("kind"), F.col("text").alias("text_md"), F.col("turn").alias("id"))
+    rows = t("conversations").select(F.col("conv_id").alias("draft_id"), F.col("turn").cast("string").alias("kind"), F.col("text").alias("text_md"), F.col("turn").alias("id"))
     kinds = R.previews_by_kind(rows)
     return kinds.select("draft_id", F.try_element_at("kinds", F.lit("0")).alias("first_text"), F.try_element_at("kinds", F.lit("1")).alias("second_text"))
 
@@ -289,9 +289,13 @@ def preview_html(t):
     return shown.select("doc_id", "with_image", "without_image")
 
 
-@query()
+_TIDY = r"trim(regexp_replace(array_to_string(list_transform(regexp_split_to_array({0}, '\r\n|[\n\r\x0b\x0c]'), lambda l: trim(l, ws)), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ws)"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS ws FROM conversations)
+SELECT conv_id, turn, {_TIDY.format("text")} AS long, {_TIDY.format("text || chr(10) || 'Теги: #a, #b #a'")} AS short, '#a #b' AS tags FROM c""")
 def post_sections(t):
-    raw = F.concat(F.lit("Довгий пост: "), F.col("text"), F.lit("\nКороткий пост:\n"), F.substring("text", 1, 100), F.lit("\nТеги: #a, #b #a"))
+    raw = F.concat(F.lit("Довгий пост: "), F.col("text"), F.lit("\nКороткий пост:\n"), F.col("text"), F.lit("\nТеги: #a, #b #a"))
     own = t("conversations").select("conv_id", "turn", T.post_sections(raw).alias("s"), T.tags_of(raw).alias("tags"))
     return own.select("conv_id", "turn", "s.long", "s.short", "tags")
 
@@ -302,11 +306,15 @@ def draft_body(t):
     return t("documents").select("doc_id", T.draft_body(F.col("text"), title).alias("body_md"), T.rebuild_body(F.concat(F.lit("**"), title, F.lit("**\n"), F.col("text"), F.lit("\n\n" + T.PROMO_MD)), title).alias("rebuilt"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
+p AS (SELECT conv_id, k, 0 AS message, text FROM l WHERE k = 1 UNION ALL
+ SELECT l.conv_id, l.k, CASE WHEN length(p.text) + 1 + length(l.text) <= 200 THEN p.message ELSE p.message + 1 END,
+  CASE WHEN length(p.text) + 1 + length(l.text) <= 200 THEN p.text || chr(10) || l.text ELSE l.text END FROM p JOIN l ON l.conv_id = p.conv_id AND l.k = p.k + 1)
+SELECT conv_id, message::INT AS message, arg_max(text, k) AS text FROM p GROUP BY conv_id, message""")
 def line_packing(t):
-    """The newest articles' lines in messages of 4000 characters at most."""
+    """A conversation's lines in messages of 200 characters at most, so that most take several."""
     lines = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("lines"))
-    return lines.select("conv_id", F.posexplode(T.pack_lines(F.col("lines"), 4000)).alias("message", "text"))
+    return lines.select("conv_id", F.posexplode(T.pack_lines(F.col("lines"), 200)).alias("message", "text"))
 
 
 @query()
