@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import relational as R
 from ..operators import reports
+from ..sources import listing
 from . import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,8 +318,58 @@ def line_packing(t):
     return lines.select("conv_id", F.posexplode(T.pack_lines(F.col("lines"), 200)).alias("message", "text"))
 
 
-@query()
+_KYIV = "timezone('UTC', timezone('Europe/Kyiv', {0}))"
+
+
+@query(f"""WITH s AS (SELECT event_id, ts, {list(T.MONTHS_GENITIVE)} AS months FROM events)
+SELECT event_id, day(ts) || ' ' || months[month(ts)] || ' ' || year(ts) || ' року о ' || strftime(ts, '%H:%M') AS said, {_KYIV.format("date_trunc('minute', ts)")} AS published FROM s""")
 def ukrainian_dates(t):
     months = F.array(*[F.lit(m) for m in T.MONTHS_GENITIVE])
     said = F.concat(F.dayofmonth("ts").cast("string"), F.lit(" "), F.get(months, F.month("ts") - 1), F.lit(" "), F.year("ts").cast("string"), F.lit(" року о "), F.date_format("ts", "HH:mm"))
     return t("events").select("event_id", said.alias("said"), D.parse_ukrainian(said, F.lit(NOW).cast("timestamp")).alias("published"))
+
+
+_NEWS = "https://tax.gov.ua/media-tsentr/novini/"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, '{_NEWS}' || (page_id + 1000) || '.html' AS own, '{_NEWS}print-' || (page_id + 1000) || '.html' AS print FROM pages),
+known AS (SELECT own AS url FROM p WHERE page_id % 5 IN (0, 1) UNION ALL SELECT print FROM p WHERE page_id % 5 IN (1, 2) UNION ALL SELECT own || '?x=' || page_id FROM p WHERE page_id % 5 = 3),
+n AS (SELECT page_id, count(known.url) AS n_known FROM p LEFT JOIN known ON known.url IN (own, print, own || '?x=' || page_id) GROUP BY page_id)
+SELECT page_id, n_known, CASE WHEN n_known = 1 THEN 'duplicate' WHEN n_known > 1 THEN 'error' END AS status FROM n""")
+def duplicate_probe(t):
+    """Known articles under a link's own form, its canonical form and its print page."""
+    pages = t("pages").select("page_id", F.concat(F.lit(_NEWS), (F.col("page_id") + 1000).cast("string"), F.lit(".html")).alias("own"))
+    asked = F.concat("own", F.lit("?x="), F.col("page_id").cast("string"))
+    rest = F.col("page_id") % 5
+    forms = F.array(F.when(rest.isin(0, 1), F.col("own")), F.when(rest.isin(1, 2), F.replace(F.col("own"), F.lit("novini/"), F.lit("novini/print-"))), F.when(rest == 3, asked))
+    known = pages.select("page_id", F.posexplode(F.array_compact(forms)).alias("k", "url")).select((F.col("page_id") * 3 + F.col("k")).alias("id"), "url")
+    found = R.probe(pages.select(F.col("page_id").alias("item"), asked.alias("url")), known)
+    return found.select(F.col("item").alias("page_id"), "n_known", R.probe_status(F.col("n_known")).alias("status"))
+
+
+@query(f"""WITH e AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://elsewhere.example/' || page_id ELSE '{_NEWS}' || (page_id + 1000) || '.html' END AS link FROM pages)
+SELECT page_id, link, CASE WHEN page_id % 5 = 0 THEN 'skipped_no_date' WHEN page_id % 7 = 0 THEN 'skipped_old' WHEN page_id % 4 = 0 THEN 'skipped_level1' WHEN page_id % 3 = 0 THEN 'duplicate'
+ WHEN page_id % 2 = 0 THEN 'skipped_no_body' ELSE 'created' END AS status FROM e""")
+def ingest_cycle(t):
+    """A cycle over an entry a page: no date, old, untrusted, known, without a body, new."""
+    page = F.col("page_id")
+    link = F.when(page % 4 == 0, F.concat(F.lit("https://elsewhere.example/"), page.cast("string"))).otherwise(F.concat(F.lit(_NEWS), (page + 1000).cast("string"), F.lit(".html")))
+    now = F.lit(NOW).cast("timestamp")
+    published = F.when(page % 5 == 0, None).when(page % 7 == 0, now - F.expr("INTERVAL 10 DAYS")).otherwise(now - F.expr("INTERVAL 1 DAY"))
+    own = t("pages").select("page_id", "html", link.alias("link"), published.alias("published"))
+    entries = own.select(F.col("page_id").cast("string").alias("source"), F.lit(0).alias("pos"), "link", F.concat(F.lit("News "), page.cast("string")).alias("title"), F.when(page % 2 == 1, F.concat(F.lit("What was said "), page.cast("string"))).alias("summary"), "published")
+    landed = own.select(F.col("link").alias("url"), "html", F.lit(404).alias("status"))
+    articles = own.where("page_id % 3 = 0").select(F.col("page_id").alias("id"), F.col("link").alias("url"))
+    _, statuses = ingest.cycle(entries, landed, articles, now)
+    return statuses.select(F.col("source").cast("long").alias("page_id"), "link", "status")
+
+
+@query(f"""SELECT page_id, 1 AS pos, 'Новина номер ' || page_id AS title, '{_NEWS}' || (page_id + 1000) || '.html' AS url, {_KYIV.format("TIMESTAMP '2024-01-15 10:20:00'")} AS published, 'Про що мова.' AS summary FROM pages
+UNION ALL SELECT page_id, 0, 'Друга новина ' || page_id, '{_NEWS}' || (page_id + 5000) || '.html', {_KYIV.format("TIMESTAMP '2024-01-16 11:30:00'")}, 'Зі скрипта' FROM pages""")
+def tax_listing(t):
+    """A listing page for each page: an article in JSON-LD, which comes first, and a card in the markup."""
+    number = lambda n: (F.col("page_id") + n).cast("string")
+    ld = ['<script type="application/ld+json">{"@type": "NewsArticle", "headline": "Друга новина ', number(0), '", "url": "/media-tsentr/novini/', number(5000), '.html", "datePublished": "2024-01-16T11:30:00", "description": "Зі скрипта"}</script>']
+    card = ['<div class="news-card"><a href="/media-tsentr/novini/', number(1000), '.html">Новина номер ', number(0), "</a><time>15.01.2024 10:20</time><p>Про що мова.</p></div>"]
+    html = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in ("<html><body>", *ld, *card, "</body></html>")])
+    return listing.items(t("pages").select("page_id", html.alias("html"), F.lit(NOW).cast("timestamp").alias("now")), listing.TAX)
