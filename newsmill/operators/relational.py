@@ -65,9 +65,24 @@ def previews_by_kind(previews: DataFrame) -> DataFrame:
     return newest.groupBy("draft_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "text_md")))).alias("kinds"))
 
 
-def numbered(rows: DataFrame, after: int, *order: str) -> DataFrame:
-    """rows with ids that go on from `after` in the given total order. For the few rows of one cycle."""
-    return rows.withColumn("id", F.lit(after) + F.row_number().over(Window.orderBy(*order)))
+def numbered(rows: DataFrame, after: int, *order: str, bucket: Column | None = None) -> DataFrame:
+    """rows with ids that go on from `after` in the given total order.
+
+    `bucket` grows with the order (the hour of a time, a range of ids); without one all rows are one bucket. Every bucket
+    is sorted by itself; only the buckets' sizes meet in one task. rows is read twice and must not change between.
+    """
+    own = rows.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    sizes = own.groupBy(F.col("_bucket").alias("_of")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    found = own.withColumn("_place", place).join(before, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return found.withColumn("id", F.lit(after) + F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_of", "_before")
+
+
+def taken(articles: DataFrame, drafts: DataFrame) -> DataFrame:
+    """articles, those with a draft marked as taken."""
+    made = drafts.select(F.col("article_id").alias("_drafted")).distinct().withColumn("_made", F.lit(True))
+    return articles.join(made, F.col("id") == F.col("_drafted"), "left").withColumn("taken", F.coalesce("_made", "taken")).select(*articles.columns)
 
 
 def ensure_previews(previews: DataFrame, computed: DataFrame) -> DataFrame:

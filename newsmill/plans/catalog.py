@@ -1,7 +1,7 @@
 """Queries by name, each with the DuckDB statement that must give the same rows.
 
-Where a rule works on text that SQL's regular expressions handle otherwise (Cyrillic, HTML trees), the query has no
-statement here and the tests hold it against plain Python.
+statements.py, rules.py and sites.py add theirs. Where a rule works on text that SQL handles otherwise (whole HTML trees,
+rendered previews), the query has no statement and the tests hold it against plain Python.
 """
 
 from __future__ import annotations

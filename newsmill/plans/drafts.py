@@ -11,6 +11,9 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import relational as R
 
+#: Articles numbered in one task.
+ID_RANGE = 100_000
+
 
 def upgraded_images(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """articles with image_url read again from their landed page where it is a preview or missing and the page is the tax service's."""
@@ -36,6 +39,32 @@ def make(articles: DataFrame, rewrites: DataFrame) -> tuple[DataFrame, DataFrame
     return drafts.drop("link"), by_kind(shown, "article_id")
 
 
+def write_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Appends rows to a table kept by batch; a batch that is written again replaces what it left."""
+    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def store(articles: DataFrame, rewrites: DataFrame, last: tuple[int, int], now: Column, drafts: str, previews: str, batch: int, by: int | None = None) -> DataFrame:
+    """Writes the drafts of articles not yet taken and their previews under the ids after last(draft, preview); returns
+    articles with those taken marked, which the caller writes last.
+
+    There is no transaction over two tables: previews go first, so no draft ever lacks its own, and a batch that failed
+    halfway is run again under its number and replaces what it left. Nothing is taken before both are there.
+    """
+    spark = articles.sparkSession
+    made, shown = make(articles.where(R.not_set(F.col("taken"))), rewrites)
+    own = R.numbered(made, last[0], "article_id", bucket=F.floor(F.col("article_id") / ID_RANGE))
+    own = own.withColumns({"approved": F.lit(False), "created_by": F.lit(by).cast("long"), "created_at": now})
+    numbers = own.select("article_id", F.col("id").alias("draft_id"))
+    pairs = shown.join(numbers, "article_id")
+    # two previews a draft: their ids follow from the draft's
+    place = (F.col("draft_id") - last[0] - 1) * len(R.KINDS) + F.array_position(F.array(*map(F.lit, R.KINDS)), F.col("kind"))
+    pairs = pairs.select((F.lit(last[1]) + place).alias("id"), "draft_id", "kind", "text_md", now.alias("created_at"))
+    write_batch(pairs, previews, batch)
+    write_batch(own.select(*[c.split()[0] for c in R.DRAFTS.split(", ")]), drafts, batch)
+    return R.taken(articles, spark.read.parquet(drafts).where(F.col("batch") == batch))
+
+
 def by_kind(shown: DataFrame, key: str) -> DataFrame:
     """(key, kind, text_md), two rows a post."""
     return shown.select(key, F.explode(F.create_map(*[x for k in R.KINDS for x in (F.lit(k), F.col(k))])).alias("kind", "text_md"))

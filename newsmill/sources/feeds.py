@@ -6,7 +6,9 @@ Fetching itself is outside the engine. A landed feed is (source, status, final_h
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import escape, unescape
 from urllib.parse import quote_plus
 from xml.etree import ElementTree
 
@@ -45,6 +47,11 @@ FIRST_ENTRIES = 20
 ENTRIES = ArrayType(StructType([StructField(n, StringType()) for n in ("link", "title", "summary", "published", "updated")]))
 
 
+_BARE = re.compile(r"&(?!#\d+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)")
+_ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
+_XML_NAMES = {"amp", "lt", "gt", "quot", "apos"}
+
+
 def topic_feeds(spark: SparkSession, pattern: str, topics: dict[str, str] = TOPICS, enabled: bool = True) -> DataFrame:
     """(topic, url) of a search feed for each topic; `pattern` holds {query}. None where the toggle is off."""
     rows = [(k, pattern.replace("{query}", quote_plus(q))) for k, q in topics.items()] if enabled else []
@@ -55,14 +62,25 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1].lower()
 
 
-def _entries(body: str | None) -> list[dict]:
-    """RSS items or Atom entries in order; of broken XML nothing."""
+def _items(body: str) -> list[ElementTree.Element]:
+    """Items or entries in order. Of a feed that is not well-formed, those that are whole: bare ampersands and names of
+    HTML's entities are mended first, then the items before the first fault count."""
+    mended = _ENTITY.sub(lambda m: m[0] if m[1] in _XML_NAMES else escape(unescape(m[0])), _BARE.sub("&amp;", body.strip()))
+    reader, found = ElementTree.XMLPullParser(["end"]), []
     try:
-        root = ElementTree.fromstring((body or "").strip())
+        reader.feed(mended)
+        for _, x in reader.read_events():  # raises at the fault, behind what was whole
+            if _local(x.tag) in ("item", "entry"):
+                found.append(x)
     except (ElementTree.ParseError, ValueError):
-        return []
+        pass
+    return found
+
+
+def _entries(body: str | None) -> list[dict]:
+    """RSS items or Atom entries in order, whole ones only."""
     out = []
-    for item in (x for x in root.iter() if _local(x.tag) in ("item", "entry")):
+    for item in _items(body or ""):
         own: dict[str, str | None] = {}
         for x in item:
             own.setdefault(_local(x.tag), (x.text or x.attrib.get("href") or "").strip() or None)

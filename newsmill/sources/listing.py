@@ -174,8 +174,8 @@ def items(pages: DataFrame, site: str) -> DataFrame:
     return kept.select("page_id", place.alias("pos"), "title", "url", "published", "summary")
 
 
-def merged(found: DataFrame, order: list) -> DataFrame:
-    """Items of several listing pages read in the given order of page_id: of one URL the first stays."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("page_id"))
+def merged(found: DataFrame, order: list | None = None) -> DataFrame:
+    """Items of several listing pages read in the given order of page_id (ascending without one): of one URL the first stays."""
+    rank = F.col("page_id") if order is None else F.array_position(F.array(*[F.lit(x) for x in order]), F.col("page_id"))
     first = F.row_number().over(Window.partitionBy("url").orderBy(rank, "pos"))
     return found.withColumn("rn", first).where("rn = 1").drop("rn")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import urls as U
 from ..operators import relational as R
 from ..plans import ingest
+from ..plans.drafts import write_batch
 
 ENTRIES = "source string, pos int, link string, title string, summary string, published timestamp"
 
@@ -37,9 +38,11 @@ def run(entries: DataFrame, pages: str, articles: str, statuses: str, checkpoint
         before = known.where(F.col("batch") < number)
         made, found = ingest.cycle(batch, spark.read.parquet(pages), before, at)
         last = before.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        made = R.numbered(made, last, "published_at", "url").select(*[c.split()[0] for c in R.ARTICLES.split(", ")])
-        for rows, path in ((made, articles), (found, statuses)):
-            rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        made = made.persist()  # numbering reads it twice; pages are parsed once
+        rows = R.numbered(made, last, "published_at", "url", bucket=F.date_trunc("hour", "published_at")).select(*[c.split()[0] for c in R.ARTICLES.split(", ")])
+        write_batch(rows, articles, number)
+        write_batch(found, statuses, number)
+        made.unpersist()
 
     return entries.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

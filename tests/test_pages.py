@@ -122,6 +122,15 @@ def test_feeds(spark):
     assert feeds.staged(pages).select("html", "fetch_url").first() == ("two", "https://www.tax.gov.ua/x?y")
 
 
+def test_faulty_feeds(spark):
+    item = lambda n, title: f"<item><link>https://a.org/{n}</link><title>{title}</title></item>"
+    whole = "<rss><channel>" + item(1, "a & b &amp; c&nbsp;d &#8211; R&D; &copy;") + item(2, "x")
+    df = spark.createDataFrame([("cut", whole + "<item><link>https"), ("crossed", whole + "<item></channel>" + item(3, "y")), ("empty", ""), ("none", None)], "source string, body string")
+    got = feeds.entries(df.selectExpr("source", "200 AS status", "'h' AS final_host", "cast(null AS string) AS error", "body")).collect()
+    assert sorted((r.source, r.pos, r.link[-1]) for r in got) == [(s, p, str(p + 1)) for s in ("crossed", "cut") for p in (0, 1)]
+    assert {r.title for r in got} == {"a & b & c\xa0d – R&D; ©", "x"}
+
+
 def test_merged_listings(spark):
     rows = [(2, 0, "u1", "late"), (1, 0, "u1", "first"), (1, 1, "u2", "x")]
     df = spark.createDataFrame(rows, "page_id int, pos int, url string, title string")

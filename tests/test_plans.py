@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsmill.operators import relational as R
 from newsmill.operators import reports
 from newsmill.plans import catalog, drafts, ingest
+from newsmill.sources import tables
 from newsmill.streaming import ingest as stream
 
 NOW = dt.datetime(2024, 3, 20, 12)
@@ -130,6 +131,33 @@ def test_drafts_and_clean_up(spark):
     assert (counts.drafts_updated, counts.previews_refreshed) == (2, 4)
 
 
+def test_store(spark, tmp_path):
+    arts = table(spark, R.ARTICLES, {"id": 5, "title": "A", "url": "https://a.org", "summary": "s", "level1_ok": True, "source_domain": "a.org"}, {"id": 3, "title": "B", "url": "https://b.org", "summary": "s2", "level1_ok": True, "source_domain": "b.org", "taken": False}, {"id": 4, "title": "C", "url": "https://c.org", "summary": "s3", "level1_ok": True, "source_domain": "c.org", "taken": True}, {"id": 6, "title": "D", "url": "https://d.org", "summary": "s4", "level1_ok": False, "source_domain": "d.org"})
+    raw, where = spark.createDataFrame([], "article_id long, raw string"), [str(tmp_path / n) for n in ("drafts", "previews")]
+    for _ in range(2):  # a batch run again replaces what it left
+        after = drafts.store(arts, raw, (10, 20), F.lit(NOW), *where, 0, 7)
+        assert {r.id: r.taken for r in after.collect()} == {5: True, 3: True, 4: True, 6: None}
+        assert [(r.id, r.article_id, r.created_by) for r in spark.read.parquet(where[0]).orderBy("id").collect()] == [(11, 3, 7), (12, 5, 7)]
+        assert [(r.id, r.draft_id, r.kind) for r in spark.read.parquet(where[1]).orderBy("id").collect()] == [(21, 11, "with_image"), (22, 11, "without_image"), (23, 12, "with_image"), (24, 12, "without_image")]
+
+
+def test_numbered(spark):
+    rows = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), F.lit(None).cast("int").alias("x"))
+    got = R.numbered(rows, 5, "k", bucket=F.floor(F.col("k") / 7)).collect()
+    assert sorted((r.id, r.k) for r in got) == [(k + 6, k) for k in range(100)]
+
+
+def test_tables(spark, tmp_path):
+    assert tables.connection(None) is None and tables.connection("./warehouse") is None and tables.connection("sqlite:///./app.db") is None
+    found = {"url": "jdbc:postgresql://h:5433/db?sslmode=require", "driver": "org.postgresql.Driver", "user": "u", "password": "p@ss"}
+    for scheme in ("postgres", "postgresql", "postgresql+asyncpg"):
+        assert tables.connection(f"{scheme}://u:p%40ss@h:5433/db?sslmode=require") == found
+    assert tables.connection("postgres://h/db") == {"url": "jdbc:postgresql://h/db", "driver": "org.postgresql.Driver"}
+    tables.write(spark.range(3), str(tmp_path), "t")
+    tables.write(spark.range(2), str(tmp_path) + "/", "t")
+    assert tables.read(spark, str(tmp_path), "t").count() == 5
+
+
 def test_stream(spark, tmp_path):
     p = {n: str(tmp_path / n) for n in ("in", "pages", "articles", "statuses", "cp")}
     entries(spark).coalesce(1).write.json(p["in"])
