@@ -276,8 +276,10 @@ def regulator_article(t):
     return own.select("page_id", H.regulator_article(F.col("page"), H.find(F.col("page.nodes"), "h1")["text"]).alias("body"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">.*?</a>')) AS a FROM pages)
+SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_extract(a, 'href="(/[^"]*)"', 1) AS link, trim(regexp_replace(a, '<[^>]*>', '', 'g')) AS label FROM a""")
 def page_links(t):
+    """Links of the pages as absolute ones; those of the tables all start at the root."""
     own = t("pages").select("page_id", "url", H.parse_page("html").alias("page"))
     links = own.select("page_id", "url", F.explode(F.filter("page.nodes", lambda n: n["tag"] == "a")).alias("n"))
     return links.select("page_id", U.absolute(F.coalesce(H.attr(F.col("n"), "href"), F.lit("")), F.col("url")).alias("link"), F.col("n.text").alias("label"))
