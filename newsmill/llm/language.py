@@ -49,19 +49,26 @@ class Model:
     grams: dict[str, dict[int, float]]
     n: int = N
 
-    def full(self, known: dict[int, float]) -> np.ndarray:
-        out = np.full(len(self.languages), PENALTY)
-        out[[*known]] = [*known.values()]
-        return out
-
     def cost(self, word: str) -> np.ndarray:
+        """By language; of n-grams the mean of those known. Only the languages that know one are added up."""
+        out = np.full(len(self.languages), PENALTY)
         if word in self.words:
-            return self.full(self.words[word])
-        for n in range(self.n, 0, -1):
-            known = [self.full(self.grams[g]) for g in grams(word, n) if g in self.grams]
-            if known:
-                return np.mean(known, axis=0)
-        return self.full({})
+            found = self.words[word]
+        else:
+            found, known = {}, 0
+            for n in range(self.n, 0, -1):
+                for g in grams(word, n):
+                    costs = self.grams.get(g)
+                    if costs is not None:
+                        known += 1
+                        for lang, cost in costs.items():
+                            found[lang] = found.get(lang, 0.0) + cost - PENALTY
+                if known:
+                    found = {lang: PENALTY + sum_ / known for lang, sum_ in found.items()}
+                    break
+        for lang, cost in found.items():
+            out[lang] = cost
+        return out
 
     def predict(self, texts: list[str], cache: WordCache) -> tuple[list[str], list[float]]:
         """Languages and their shares of 10 ** -(mean cost) (0 to 1). Ties go to the first language by name."""
