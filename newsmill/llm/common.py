@@ -109,15 +109,22 @@ class WordCache(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
+        value = self.old.get(word)
+        return self.put(word, self.make(word) if value is None else value)
+
+    def put(self, word, value):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        value = self.old.get(word)
-        if value is None:
-            value = self.make(word)
         self[word] = value
         return value
 
+    def fill(self, words, make) -> None:
+        """Puts the values that make(list) gives to those of the words that are not held."""
+        new = [w for w in words if w not in self and w not in self.old]
+        for word, value in zip(new, make(new), strict=True):
+            self.put(word, value)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, root), root being the least node of the component.

@@ -16,7 +16,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import chain, repeat
 from operator import or_
 
 import numpy as np
@@ -40,6 +41,26 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Costs:
+    """{key: {number of a language: cost}} as arrays: the languages and costs of a key are those from start to start + size."""
+
+    def __init__(self, known: dict[str, dict[int, float]]):
+        self.row = {key: i for i, key in enumerate(known)}
+        self.size = np.fromiter(map(len, known.values()), np.int64, len(known))
+        self.start = np.cumsum(self.size) - self.size
+        self.lang = np.fromiter(chain.from_iterable(known.values()), np.int64, self.size.sum())
+        self.cost = np.fromiter(chain.from_iterable(found.values() for found in known.values()), np.float64, self.size.sum())
+
+    def sums(self, keys: list[str], of: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """By word, of[i] being that of keys[i]: how many of its keys are known, and by language the sum of what each is under PENALTY."""
+        row = np.fromiter(map(self.row.get, keys, repeat(-1)), np.int64, len(keys))
+        row, of = row[row >= 0], of[row >= 0]
+        size = self.size[row]
+        entry = np.repeat(self.start[row] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sums = np.bincount(np.repeat(of, size) * shape[1] + self.lang[entry], self.cost[entry] - PENALTY, shape[0] * shape[1])
+        return np.bincount(of, minlength=shape[0]), sums.reshape(shape)
+
+
 @dataclass
 class Model:
     """words and grams: {number of a language: cost} for those languages that know them."""
@@ -49,38 +70,47 @@ class Model:
     grams: dict[str, dict[int, float]]
     n: int = N
 
-    def cost(self, word: str) -> np.ndarray:
-        """By language; of n-grams the mean of those known. Only the languages that know one are added up."""
-        out = np.full(len(self.languages), PENALTY)
-        if word in self.words:
-            found = self.words[word]
-        else:
-            found, known = {}, 0
-            for n in range(self.n, 0, -1):
-                for g in grams(word, n):
-                    costs = self.grams.get(g)
-                    if costs is not None:
-                        known += 1
-                        for lang, cost in costs.items():
-                            found[lang] = found.get(lang, 0.0) + cost - PENALTY
-                if known:
-                    found = {lang: PENALTY + sum_ / known for lang, sum_ in found.items()}
-                    break
-        for lang, cost in found.items():
-            out[lang] = cost
+    @cached_property
+    def tables(self) -> tuple[Costs, Costs]:
+        return Costs(self.words), Costs(self.grams)
+
+    @cached_property
+    def cache(self) -> WordCache:
+        """Costs by word, kept from task to task by a worker that holds the model; about 100 MB at most."""
+        return WordCache(self.cost, 50_000_000 // (8 * len(self.languages) + 200))
+
+    def costs(self, words: list[str]) -> np.ndarray:
+        """By word and language; of n-grams the mean of those known. Only the languages that know one are added up."""
+        of_words, of_grams = self.tables
+        shape = len(words), len(self.languages)
+        out = np.full(shape, PENALTY)
+        known, sums = of_words.sums(words, np.arange(len(words)), shape)
+        out += sums
+        left = np.flatnonzero(known == 0)
+        for n in range(self.n, 0, -1):
+            own = [grams(words[i], n) for i in left]
+            of = np.repeat(np.arange(len(left)), np.fromiter(map(len, own), np.int64, len(own)))
+            known, sums = of_grams.sums([*chain.from_iterable(own)], of, (len(left), shape[1]))
+            out[left] += sums / np.maximum(known, 1)[:, None]
+            left = left[known == 0]
         return out
 
+    def cost(self, word: str) -> np.ndarray:
+        return self.costs([word])[0]
+
     def predict(self, texts: list[str], cache: WordCache) -> tuple[list[str], list[float]]:
         """Languages and their shares of 10 ** -(mean cost) (0 to 1). Ties go to the first language by name."""
         langs, scores = [], []
-        for text in texts:
-            own = Counter(words(text)) if any(map(str.isalpha, text)) else None
+        counts = [Counter(words(text)) if any(map(str.isalpha, text)) else Counter() for text in texts]
+        if self.languages:
+            cache.fill(set().union(*counts), lambda new: map(np.ndarray.tobytes, self.costs(new)))
+        for own in counts:
             if not own or not self.languages:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
             n = np.fromiter(own.values(), np.float64, len(own))
-            mean = n @ np.array([cache[w] for w in own]) / n.sum()
+            mean = n @ np.frombuffer(b"".join(map(cache.__getitem__, own))).reshape(len(own), -1) / n.sum()
             share = 10.0 ** (mean.min() - mean)
             best = int(mean.argmin())
             langs.append(self.languages[best])
@@ -146,9 +176,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(shared.value.cost, 200_000)
+        model = shared.value
         for b in batches:
-            langs, scores = shared.value.predict(strings(b.column(1)), cache)
+            langs, scores = model.predict(strings(b.column(1)), model.cache)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

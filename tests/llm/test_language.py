@@ -100,3 +100,13 @@ def test_no_bound_keeps_all_and_repeated_rows_count_once(spark):
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_words=None, most_grams=None)
     assert model.languages == ["de", "en"] and model.words.keys() == {"one", "two", "eins", "zwei"}
     assert math.isclose(model.words["two"][1], -math.log10(2 / 3))
+
+
+def test_a_small_cache_and_many_words_at_once_change_nothing():
+    model = language.Model(["a", "b"], {"cat": {0: 1.0}}, {"ca": {1: 1.0}, "d": {0: 2.0, 1: 3.0}}, 2)
+    texts = ["cat car dx zz", "dx dx cat", "car zz " * 3, "zz", "½ cat"]
+    alone = [model.predict([t], WordCache(model.cost)) for t in texts]
+    for most in (1, 2, 100):
+        langs, scores = model.predict(texts, WordCache(model.cost, most))
+        assert langs == [x[0] for x, _ in alone] and scores == [y[0] for _, y in alone]
+    assert model.costs([]).shape == (0, 2)
