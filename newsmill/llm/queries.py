@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, media, pieces, resample, simhash, suffix, tokenbin, toxicity
+from . import chat, decontaminate, exact, language, media, pieces, resample, simhash, suffix, tokenbin, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": simhash.query,
         "op9_media_columns": media.query,
         "op10_sentencepiece": pieces.query,
+        "op13_exact_dedup": exact.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the operator; the tests hold the others against brute force."""
-    return {"op5_chat_format": chat.SQL}
+    return {"op5_chat_format": chat.SQL, "op13_exact_dedup": exact.SQL}
