@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact, language, media, phrases, pieces, resample, simhash, suffix, tokenbin, toxicity
+from . import audit, chat, decontaminate, exact, language, media, phrases, pieces, resample, simhash, suffix, tokenbin, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": simhash.query,
         "op9_media_columns": media.query,
         "op10_sentencepiece": pieces.query,
+        "op11_filter_audit": audit.query,
         "op12_phrase_collocations": phrases.query,
         "op13_exact_dedup": exact.query,
     }
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the operator; the tests hold the others against brute force."""
-    return {"op5_chat_format": chat.SQL, "op12_phrase_collocations": phrases.SQL, "op13_exact_dedup": exact.SQL}
+    return {"op5_chat_format": chat.SQL, "op11_filter_audit": audit.SQL, "op12_phrase_collocations": phrases.SQL, "op13_exact_dedup": exact.SQL}
