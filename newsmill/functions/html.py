@@ -1,26 +1,37 @@
-"""Pages as arrays of nodes, and what articles hold as column expressions over them.
-
-A small parser turns a page into its nodes in document order: each has its place `id`, `parent`, `stop` (the place behind
-its last descendant), tag, attributes and visible text; text runs are nodes of tag `-text`. All extraction rules then are
-higher-order functions over that array, so they run inside Spark's plan without another pass over the HTML.
+"""Pages as arrays of nodes over one text, and what articles hold as column expressions over them.
+
+A small parser turns a page into one text (its visible runs, a space between two) and its nodes in document order. A node
+has its place `id`, `parent`, `depth`, `stop` (the place behind its last descendant), `kids` (places of its children), tag and
+attributes; its text is the stretch `start`, `size` (bytes) of the page's text, `chars` characters long, so nested text is stored
+once. `prose`, `lists` and `boxes` are the characters that the content tags inside a node hold. Text runs are nodes of tag
+`-text`. What stands inside a node is a slice of the array, its children and ancestors are looked up by place. All
+extraction rules are higher-order functions over that array, so they run inside Spark's plan without another pass over the HTML.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StringType, StructField, StructType
 
 from . import text as T
 from . import urls as U
 
-NODE = StructType([StructField("id", IntegerType()), StructField("parent", IntegerType()), StructField("stop", IntegerType()), StructField("tag", StringType()), StructField("attrs", MapType(StringType(), StringType())), StructField("text", StringType())])
-PAGE = StructType([StructField("nodes", ArrayType(NODE)), StructField("ld", ArrayType(StringType()))])
+NODE = StructType([
+    *[StructField(n, IntegerType()) for n in ("id", "parent", "depth", "stop")], StructField("kids", ArrayType(IntegerType())), StructField("tag", StringType()), StructField("attrs", MapType(StringType(), StringType())),
+    *[StructField(n, IntegerType()) for n in ("start", "size", "chars", "prose", "lists", "boxes")],
+])
+PAGE = StructType([StructField("text", BinaryType()), StructField("nodes", ArrayType(NODE)), StructField("ld", ArrayType(StringType()))])
+#: Tags whose text counts as prose, as a list of points, as a box.
+_COUNTED = {"prose": frozenset(("p", "h2", "h3", "li", "blockquote")), "lists": frozenset(("ul", "ol")), "boxes": frozenset(("td", "div"))}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SILENT = frozenset(("script", "style", "noscript", "template"))
@@ -42,35 +53,41 @@ BETTER_IMAGE_ATTRS = ("data-src", "data-original", "data-lazy-src", "data-lazy",
 
 
 class _Builder(HTMLParser):
+    """`open` holds the places of open elements, `at` for each tag where in `open` its elements stand: nothing is searched for."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.ld = [], [], []
-
-    def add(self, tag: str, attrs: dict, text: str | None = None) -> int:
-        self.nodes.append([self.open[-1] if self.open else -1, len(self.nodes) + 1, tag, attrs, [] if text is None else [text]])
-        return len(self.nodes) - 1
-
-    def shut(self, at: int) -> None:
-        for i in self.open[at:]:
-            self.nodes[i][1] = len(self.nodes)
-        del self.open[at:]
+        self.nodes, self.open, self.at, self.ld, self.runs, self.silent = [], [], defaultdict(list), [], [], 0
+
+    def add(self, tag: str, attrs: dict) -> dict:
+        up = self.open[-1] if self.open else -1
+        node = {"id": len(self.nodes), "parent": up, "depth": len(self.open), "stop": len(self.nodes) + 1, "kids": [], "tag": tag, "attrs": attrs, "first": len(self.runs), "last": len(self.runs)}
+        if up >= 0:
+            self.nodes[up]["kids"].append(node["id"])
+        self.nodes.append(node)
+        return node
+
+    def shut(self, to: int) -> None:
+        while len(self.open) > to:
+            node = self.nodes[self.open.pop()]
+            node["stop"], node["last"] = len(self.nodes), len(self.runs)
+            self.at[node["tag"]].pop()
+            self.silent -= node["tag"] in _SILENT
 
     def innermost(self, tags, until=()) -> int | None:
-        for at in range(len(self.open) - 1, -1, -1):
-            own = self.nodes[self.open[at]][2]
-            if own in tags:
-                return at
-            if own in until:
-                return None
-        return None
+        last = lambda some: max((self.at[t][-1] for t in some if self.at[t]), default=-1)
+        own = last(tags)
+        return own if own > last(until) else None
 
     def handle_starttag(self, tag, attrs):
         at = self.innermost(("p",), ("td", "th", "button", "table")) if tag in _CLOSES_P else self.innermost((tag,), ("ul", "ol", "table", "dl")) if tag in ("li", "tr", "td", "th", "dt", "dd") else None
         if at is not None:
             self.shut(at)
-        i = self.add(tag, {k: v or "" for k, v in attrs})
+        node = self.add(tag, {k: v or "" for k, v in attrs})
         if tag not in _VOID:
-            self.open.append(i)
+            self.at[tag].append(len(self.open))
+            self.open.append(node["id"])
+            self.silent += tag in _SILENT
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -81,16 +98,13 @@ class _Builder(HTMLParser):
             self.shut(at)
 
     def handle_data(self, data):
-        around = [self.nodes[i] for i in self.open]
-        if around and around[-1][2] == "script" and "ld+json" in around[-1][3].get("type", ""):
+        around = self.nodes[self.open[-1]] if self.open else None
+        if around and around["tag"] == "script" and "ld+json" in around["attrs"].get("type", ""):
             self.ld.append(data)
-        if any(n[2] in _SILENT for n in around):
-            return
-        if data.strip():
-            self.add("-text", {}, data)
-            for n in around:
-                if n[2] not in _WHOLE:
-                    n[4].append(data)
+        if not self.silent and data.strip():
+            node = self.add("-text", {})
+            self.runs.append(data)
+            node["last"] = len(self.runs)
 
 
 def nodes_of(html: str | None) -> dict:
@@ -102,13 +116,39 @@ def nodes_of(html: str | None) -> dict:
     except (AssertionError, ValueError):
         pass
     own.shut(0)
-    return {"nodes": [{"id": i, "parent": p, "stop": s, "tag": t, "attrs": a, "text": " ".join(x).strip()} for i, (p, s, t, a, x) in enumerate(own.nodes)], "ld": own.ld}
+    raw = [r.encode("utf-8", "surrogatepass") for r in own.runs]
+    # where runs start in bytes and in characters, and what is space at their ends
+    bytes_at, chars_at = ([0, *accumulate(len(x) + 1 for x in some)] for some in (raw, own.runs))
+    ends = [(len(r[: len(r) - len(r.lstrip())].encode()), len(r) - len(r.lstrip()), len(r[len(r.rstrip()) :].encode()), len(r) - len(r.rstrip())) for r in own.runs]
+    sums = {k: [0] for k in _COUNTED}
+    for node in own.nodes:
+        first, last = node.pop("first"), node.pop("last")
+        if first == last or node["tag"] in _WHOLE:
+            node |= {"start": 0, "size": 0, "chars": 0}
+        else:
+            # no run is blank, so only the ends of the first and the last have to be stripped
+            start = bytes_at[first] + ends[first][0]
+            node |= {"start": start, "size": bytes_at[last] - 1 - ends[last - 1][2] - start, "chars": chars_at[last] - 1 - ends[last - 1][3] - chars_at[first] - ends[first][1]}
+        for k, tags in _COUNTED.items():
+            sums[k].append(sums[k][-1] + node["chars"] * (node["tag"] in tags))
+    for node in own.nodes:
+        node |= {k: x[node["stop"]] - x[node["id"] + 1] for k, x in sums.items()}
+    return {"text": b" ".join(raw), "nodes": own.nodes, "ld": own.ld}
+
+
+_ARROW = to_arrow_type(PAGE)
+
+
+@arrow_udf(PAGE)
+def parse_page(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for own in html:
+        # node by node, so that no more than one page stands as Python objects
+        yield pa.concat_arrays([pa.array([nodes_of(x.as_py())], _ARROW) for x in own] or [pa.array([], _ARROW)])
 
 
-@pandas_udf(PAGE)
-def parse_page(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for own in html:
-        yield pd.DataFrame([nodes_of(x) for x in own], columns=["nodes", "ld"])
+def said(page: Column, n: Column) -> Column:
+    """A node's text: bytes are cut, for to find a character's place its string would be read from the start."""
+    return F.substr(page["text"], n["start"] + 1, n["size"]).cast("string")
 
 
 def attr(node: Column, name: str) -> Column:
@@ -123,26 +163,45 @@ def _inside(node: Column, of: Column) -> Column:
     return (node["id"] > of["id"]) & (node["id"] < of["stop"])
 
 
-def _matches(nodes: Column, n: Column, place: str) -> Column:
+def within(nodes: Column, of: Column) -> Column:
+    """All that stands inside a node."""
+    return F.slice(nodes, of["id"] + 2, of["stop"] - of["id"] - 1)
+
+
+def children(nodes: Column, of: Column) -> Column:
+    return F.transform(of["kids"], lambda i: F.get(nodes, i))
+
+
+def siblings(nodes: Column, of: Column) -> Column:
+    """The children of a node's parent, itself included; at the top all nodes without a parent."""
+    return F.when(of["parent"] >= 0, children(nodes, F.get(nodes, of["parent"]))).otherwise(F.filter(nodes, lambda n: n["parent"] < 0))
+
+
+def ancestors(nodes: Column, node: Column, most: int | None = None) -> Column:
+    """From the nearest outwards, `most` of them, from parent to parent."""
+    up = node["depth"] if most is None else F.least(node["depth"], F.lit(most))
+    step = lambda ids, _: F.array_append(ids, F.get(nodes, F.element_at(ids, -1))["parent"])
+    ids = F.when(up > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(up, F.lit(2))), F.array(node["parent"]), step)).otherwise(F.slice(F.array(node["parent"]), F.lit(1), up))
+    return F.transform(ids, lambda i: F.get(nodes, i))
+
+
+def _matches(n: Column, place: str) -> Column:
     if place[0] == ".":
-        return F.array_contains(F.split(F.coalesce(attr(n, "class"), F.lit("")), r"\s+"), place[1:])
+        classes = F.coalesce(attr(n, "class"), F.lit(""))
+        return F.contains(classes, F.lit(place[1:])) & F.array_contains(F.split(classes, r"\s+"), place[1:])
     if place[0] == "[":
         name, value = place[1:-1].split("=")
         return F.coalesce(attr(n, name) == value, F.lit(False)) & ((n["tag"] == "div") | (name == "role"))
-    if " " in place:
-        outer, inner = place.split()
-        return (n["tag"] == inner) & F.exists(nodes, lambda m: (m["tag"] == outer) & _inside(n, m))
     return n["tag"] == place
 
 
 def find(nodes: Column, place: str) -> Column:
     """The first node at a place, null without one."""
-    return _first(F.filter(nodes, lambda n: _matches(nodes, n, place)))
-
-
-def ancestors(nodes: Column, node: Column) -> Column:
-    """From the nearest outwards."""
-    return F.reverse(F.filter(nodes, lambda m: _inside(node, m)))
+    if " " in place:
+        outer, inner = place.split()
+        around = F.filter(nodes, lambda m: m["tag"] == outer)
+        return T.let(around, lambda own: _first(F.filter(nodes, lambda n: (n["tag"] == inner) & F.exists(own, lambda m: _inside(n, m)))))
+    return _first(F.filter(nodes, lambda n: _matches(n, place)))
 
 
 def _until(found: Column, stops) -> Column:
@@ -153,19 +212,38 @@ def _until(found: Column, stops) -> Column:
     return T.let(found, cut)
 
 
+def _worded(page: Column, found: Column) -> Column:
+    """The nodes' tags and texts."""
+    return F.transform(found, lambda n: F.struct(n["id"].alias("id"), n["tag"].alias("tag"), said(page, n).alias("text")))
+
+
 def _texts(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda n: n["text"]))
 
 
-def blocks_after(nodes: Column, heading: Column) -> Column:
-    """Content of at least 4 characters behind a heading, to the end of the page or the first stop phrase, each text once."""
-    own = F.filter(nodes, lambda n: (n["id"] >= heading["stop"]) & n["tag"].isin(*CONTENT) & (F.length(n["text"]) >= 4))
-    stops = lambda n: n["tag"].isin("h2", "h3", "h4") & T.contains_any(n["text"], STOP_HEADINGS) | T.contains_any(n["text"], STOP_SECTIONS)
-    return _texts(_until(own, stops))
+def _pointed(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])))
+
+
+def first_yield(found: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the first element for which it has any elements; f is not worked out for those behind it."""
+    return F.aggregate(found, F.lit(None).cast("array<string>"), lambda got, x: F.when(F.coalesce(F.size(got), F.lit(0)) > 0, got).otherwise(f(x)))
 
 
-def child_blocks(nodes: Column, of: Column) -> Column:
-    own = F.filter(nodes, lambda n: (n["parent"] == of["id"]) & ~n["tag"].isin(*_SILENT) & (n["text"] != ""))
+def content_of(page: Column) -> Column:
+    """Content of at least 4 characters in order: (id, text, ends), `ends` at stop phrases."""
+    own = _worded(page, F.filter(page["nodes"], lambda n: n["tag"].isin(*CONTENT) & (n["chars"] >= 4)))
+    ends = lambda n: n["tag"].isin("h2", "h3", "h4") & T.contains_any(n["text"], STOP_HEADINGS) | T.contains_any(n["text"], STOP_SECTIONS)
+    return F.transform(own, lambda n: F.struct(n["id"].alias("id"), n["text"].alias("text"), ends(n).alias("ends")))
+
+
+def blocks_after(content: Column, heading: Column) -> Column:
+    """Content behind a heading, to the end of the page or the first stop phrase, each text once."""
+    return _texts(_until(F.filter(content, lambda n: n["id"] >= heading["stop"]), lambda n: n["ends"]))
+
+
+def child_blocks(page: Column, of: Column) -> Column:
+    own = _worded(page, F.filter(children(page["nodes"], of), lambda n: ~n["tag"].isin(*_SILENT) & (n["chars"] > 0)))
     return _texts(F.filter(_until(own, lambda n: T.contains_any(n["text"], STOP_SECTIONS)), lambda n: F.length(n["text"]) >= 4))
 
 
@@ -173,17 +251,16 @@ def article_text(page: Column) -> Column:
     """The first candidate place that yields text: behind its first heading that has content, or its children where it has
     no heading. Candidates: ARTICLE_PLACES, then what stands around each h1. Null where nothing is found."""
     nodes = page["nodes"]
-    headed = F.transform(F.filter(nodes, lambda n: n["tag"] == "h1"), lambda h: F.struct(h["id"].alias("id"), h["stop"].alias("stop"), blocks_after(nodes, h).alias("blocks")))
 
-    def found(headings: Column) -> Column:
+    def found(content: Column, headings: Column) -> Column:
         def blocks(of: Column) -> Column:
-            return T.let(F.filter(headings, lambda h: _inside(h, of)), lambda own: F.when(F.size(own) > 0, _first(F.filter(F.transform(own, lambda h: h["blocks"]), lambda b: F.size(b) > 0))).otherwise(child_blocks(nodes, of)))
+            return T.let(F.filter(headings, lambda h: _inside(h, of)), lambda own: F.when(F.size(own) > 0, first_yield(own, lambda h: blocks_after(content, h))).otherwise(child_blocks(page, of)))
 
-        around = F.flatten(F.transform(headings, lambda h: ancestors(nodes, h)))
-        places = F.concat(F.filter(F.array(*[find(nodes, p) for p in ARTICLE_PLACES]), lambda n: n.isNotNull()), around)
-        return _first(F.filter(F.transform(places, blocks), lambda b: F.coalesce(F.size(b), F.lit(0)) > 0))
+        places = F.filter(F.array(*[find(nodes, p) for p in ARTICLE_PLACES]), lambda n: n.isNotNull())
+        return F.coalesce(F.nullif(first_yield(places, blocks), F.array().cast("array<string>")), first_yield(headings, lambda h: first_yield(ancestors(nodes, h), blocks)))
 
-    return T.let(T.let(headed, found), lambda b: F.when(F.size(b) > 0, T.cap_blocks(b)))
+    headed = F.filter(nodes, lambda n: n["tag"] == "h1")
+    return T.let(T.let(content_of(page), lambda c: T.let(headed, lambda h: found(c, h))), lambda b: F.when(F.size(b) > 0, T.cap_blocks(b)))
 
 
 def bank_body(page: Column) -> Column:
@@ -191,13 +268,12 @@ def bank_body(page: Column) -> Column:
     nodes = page["nodes"]
 
     def behind(start: Column, end: Column) -> Column:
-        own = F.filter(nodes, lambda n: (n["id"] >= start) & (n["id"] < end) & n["tag"].isin("p", "h2", "h3", "li", "blockquote") & (n["text"] != ""))
-        own = _until(own, lambda n: T.contains_any(n["text"], BANK_STOPS))
-        return F.array_join(F.array_distinct(F.transform(own, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"]))), "\n\n")
+        own = F.filter(F.slice(nodes, start + 1, F.greatest(end - start, F.lit(0))), lambda n: n["tag"].isin("p", "h2", "h3", "li", "blockquote") & (n["chars"] > 0))
+        return F.array_join(_pointed(_until(_worded(page, own), lambda n: T.contains_any(n["text"], BANK_STOPS))), "\n\n")
 
     def body(h: Column) -> Column:
-        near = F.filter(nodes, lambda n: (n["parent"] == h["parent"]) & (n["id"] > h["id"]) & ~n["tag"].isin(*_SILENT) & (n["text"] != ""))
-        start = T.let(near, lambda x: F.coalesce(_first(F.filter(F.slice(x, 1, 50), lambda n: F.rlike(n["text"], F.lit(BANK_DATE)))), _first(x), h)["stop"])
+        near = F.filter(siblings(nodes, h), lambda n: (n["id"] > h["id"]) & ~n["tag"].isin(*_SILENT) & (n["chars"] > 0))
+        start = T.let(near, lambda x: F.coalesce(_first(F.filter(F.slice(x, 1, 50), lambda n: F.rlike(said(page, n), F.lit(BANK_DATE)))), _first(x), h)["stop"])
         end = F.coalesce(F.get(nodes, h["parent"])["stop"], F.size(nodes))
         return T.let(start, lambda s: T.let(end, lambda e: behind(s, e)))
 
@@ -205,32 +281,25 @@ def bank_body(page: Column) -> Column:
     return T.let(joined, lambda x: F.when(F.length(x) >= LEAST_BODY, x))
 
 
-def _score(nodes: Column, of: Column, tags: tuple[str, ...]) -> Column:
-    """Length of the text in a node's content tags, nested text counted each time."""
-    return F.aggregate(F.filter(nodes, lambda n: _inside(n, of) & n["tag"].isin(*tags)), F.lit(0), lambda a, n: a + F.length(n["text"]))
-
-
-def best_place(nodes: Column, places: Column, tags: tuple[str, ...]) -> Column:
+def best_place(places: Column, score: Callable[[Column], Column]) -> Column:
     """The first of the highest score, null if all are zero."""
-    scored = lambda own: F.transform(own, lambda n: F.struct(n.alias("node"), _score(nodes, n, tags).alias("score")))
-    none = lambda own: F.struct(_first(own).alias("node"), F.lit(0).alias("score"))
-    best = T.let(places, lambda own: F.aggregate(scored(own), none(own), lambda a, s: F.when(s["score"] > a["score"], s).otherwise(a)))
-    return T.let(best, lambda b: F.when(b["score"] > 0, b["node"]))
+    best = T.let(places, lambda own: F.aggregate(own, _first(own), lambda a, n: F.when(score(n) > score(a), n).otherwise(a)))
+    return T.let(best, lambda b: F.when(score(b) > 0, b))
 
 
 def generic_body(page: Column, least: int = LEAST_BODY, most: int = MOST_GENERIC) -> Column:
-    """The place fullest of text, cut hard at `most`; null if shorter than `least`."""
+    """The place fullest of text, nested text counted each time, cut hard at `most`; null if shorter than `least`."""
     nodes = page["nodes"]
     around = T.let(find(nodes, "h1")["parent"], lambda p: F.when(p >= 0, F.get(nodes, p)))
     own = F.filter(F.array(*[find(nodes, p) for p in ("main", "article", "[role=main]", "[itemprop=articleBody]")], around), lambda n: n.isNotNull())
     own = T.let(own, lambda x: F.when(F.size(x) > 0, x).otherwise(F.filter(nodes, lambda n: n["tag"].isin("div", "section"))))
 
     def body(best: Column) -> Column:
-        inside = F.filter(nodes, lambda n: _inside(n, best) & n["tag"].isin("p", "h2", "h3", "li", "blockquote") & (n["text"] != ""))
-        inside = _until(inside, lambda n: T.contains_any(n["text"], BANK_STOPS))
+        inside = F.filter(within(nodes, best), lambda n: n["tag"].isin("p", "h2", "h3", "li", "blockquote") & (n["chars"] > 0))
+        inside = _until(_worded(page, inside), lambda n: T.contains_any(n["text"], BANK_STOPS))
         return F.substring(T.strip(F.array_join(_texts(inside), "\n\n")), 1, most)
 
-    joined = T.let(best_place(nodes, own, ("p", "h2", "h3", "ul", "ol", "li", "blockquote")), lambda b: F.when(b.isNotNull(), body(b)))
+    joined = T.let(best_place(own, lambda n: n["prose"] + n["lists"]), lambda b: F.when(b.isNotNull(), body(b)))
     return T.let(joined, lambda x: F.when(F.length(x) >= least, x))
 
 
@@ -251,27 +320,25 @@ def regulator_article(page: Column, title: Column) -> Column:
     nodes = page["nodes"]
 
     def is_block(n: Column) -> Column:
-        kids = F.filter(nodes, lambda m: m["parent"] == n["id"])
-        direct = lambda own: F.length(T.strip(F.array_join(F.transform(F.filter(own, lambda m: m["tag"] == "-text"), lambda m: m["text"]), " ")))
+        # the runs are stripped, so their lengths and the spaces between them are the length of what they say together
+        direct = lambda own: T.let(F.filter(own, lambda m: m["tag"] == "-text"), lambda runs: F.aggregate(runs, F.size(runs) - 1, lambda a, m: a + m["chars"]))
         atomic = lambda own: ~F.exists(own, lambda m: m["tag"].isin("p", "ul", "ol", "li", "blockquote", "table", "tr", "td", "h2", "h3", "div"))
-        return n["tag"].isin("p", "h2", "h3", "li", "blockquote", "td") | (n["tag"] == "div") & T.let(kids, lambda own: atomic(own) & ((F.length(n["text"]) >= 40) | T.contains_any(n["text"], STOP_SECTIONS)) | (direct(own) >= 80))
-
-    def kept(n: Column, key: Column) -> Column:
-        return (n["text"] != "") & (key != T.title_key(n["text"])) & ~((F.length(n["text"]) < 40) & F.rlike(n["text"], F.lit(REGULATOR_DATE)))
+        filled = lambda own: atomic(own) & ((n["chars"] >= 40) | T.contains_any(said(page, n), STOP_SECTIONS)) | (direct(own) >= 80)
+        return n["tag"].isin("p", "h2", "h3", "li", "blockquote", "td") | (n["tag"] == "div") & T.let(children(nodes, n), filled)
 
     def joined(found: Column, key: Column) -> Column:
-        found = _until(F.filter(found, lambda n: kept(n, key)), lambda n: T.contains_any(n["text"], STOP_SECTIONS))
-        return F.array_distinct(F.transform(found, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])))
+        kept = lambda n: (n["text"] != "") & (key != T.title_key(n["text"])) & ~((F.length(n["text"]) < 40) & F.rlike(n["text"], F.lit(REGULATOR_DATE)))
+        return _pointed(_until(F.filter(_worded(page, found), kept), lambda n: T.contains_any(n["text"], STOP_SECTIONS)))
 
     def valid(found: Column) -> Column:
         return T.let(found, lambda b: F.when((F.size(b) >= 2) | (F.length(F.array_join(b, "\n\n")) >= 250), b))
 
     around = F.flatten(F.transform(F.filter(nodes, lambda n: n["tag"] == "h1"), lambda h: ancestors(nodes, h)))
     places = F.concat(F.filter(F.array(*[find(nodes, p) for p in REGULATOR_PLACES]), lambda n: n.isNotNull()), around)
-    best = best_place(nodes, places, ("p", "li", "h2", "h3", "blockquote", "td", "div"))
+    best = best_place(places, lambda n: n["prose"] + n["boxes"])
 
     def chosen(key: Column) -> Column:
-        own = T.let(best, lambda b: F.when(b.isNotNull(), valid(joined(F.filter(nodes, lambda n: _inside(n, b) & is_block(n)), key))))
+        own = T.let(best, lambda b: F.when(b.isNotNull(), valid(joined(F.filter(within(nodes, b), is_block), key))))
         return F.coalesce(own, valid(joined(F.filter(nodes, lambda n: n["tag"].isin("p", "li")), key)))
 
     return T.let(T.let(F.coalesce(T.title_key(title), F.lit("")), chosen), lambda b: T.cap_blocks(b, MOST_REGULATOR, None))

@@ -273,7 +273,7 @@ def page_article(t):
 @query()
 def regulator_article(t):
     own = t("pages").select("page_id", H.parse_page("html").alias("page"))
-    return own.select("page_id", H.regulator_article(F.col("page"), H.find(F.col("page.nodes"), "h1")["text"]).alias("body"))
+    return own.select("page_id", H.regulator_article(F.col("page"), H.said(F.col("page"), H.find(F.col("page.nodes"), "h1"))).alias("body"))
 
 
 @query(r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">.*?</a>')) AS a FROM pages)
@@ -281,7 +281,7 @@ SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_extract(a, 'h
 def page_links(t):
     """Links of the pages as absolute ones; those of the tables all start at the root."""
     own = t("pages").select("page_id", "url", H.parse_page("html").alias("page"))
-    links = own.select("page_id", "url", F.explode(F.filter("page.nodes", lambda n: n["tag"] == "a")).alias("n"))
+    links = own.select("page_id", "url", F.explode(F.transform(F.filter("page.nodes", lambda n: n["tag"] == "a"), lambda n: F.struct(n["attrs"].alias("attrs"), H.said(F.col("page"), n).alias("text")))).alias("n"))
     return links.select("page_id", U.absolute(F.coalesce(H.attr(F.col("n"), "href"), F.lit("")), F.col("url")).alias("link"), F.col("n.text").alias("label"))
 
 

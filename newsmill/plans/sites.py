@@ -107,3 +107,38 @@ def listings_merged(t):
     """Items of several listing pages, two to a URL: the page read first keeps it."""
     found = t("pages").select("page_id", F.lit(0).alias("pos"), F.concat(F.lit("https://bank.gov.ua/news/"), F.expr("page_id div 2").cast("string")).alias("url"))
     return listing.merged(found, None).select("url", "page_id")
+
+
+_CLEAN = "trim(regexp_replace(left(coalesce(text, ''), 400), '[^A-Za-z0-9]+', ' ', 'g'))"
+_CAPPED = """CASE WHEN length(j) <= {most} THEN j ELSE trim(left(j, CASE WHEN {brk} > {least} THEN {brk} WHEN strpos(reverse(left(j, {most})), ' ') > 0 THEN {most} - strpos(reverse(left(j, {most})), ' ') ELSE {most} END)) END"""
+
+
+def _cap(most, least):
+    brk = f"(CASE WHEN strpos(reverse(left(j, {most})), chr(10) || chr(10)) > 0 THEN {most} - 1 - strpos(reverse(left(j, {most})), chr(10) || chr(10)) ELSE -1 END)"
+    return _CAPPED.format(most=most, least=least, brk=brk)
+
+
+@query(f"""WITH said AS (SELECT conv_id, turn, {_CLEAN} AS p, turn % 3 AS kind FROM conversations),
+ps AS (SELECT conv_id, list({{'k': turn, 'p': p, 'kind': kind}} ORDER BY turn, p) AS own FROM said GROUP BY conv_id),
+kept AS (SELECT conv_id, [x.p for x in own if length(x.p) >= 4] AS blocks, own FROM ps),
+once AS (SELECT conv_id, own, list_filter(blocks, lambda b, i: list_position(blocks, b) = i) AS blocks FROM kept),
+long AS (SELECT conv_id, [CASE WHEN x.kind = 2 THEN '• ' ELSE '' END || x.p for x in own if x.p <> '' AND (conv_id % 4 <> 3 OR x.kind <> 0)] AS items FROM ps),
+full_list AS (SELECT conv_id, list_filter(items, lambda b, i: list_position(items, b) = i) AS items FROM long),
+j AS (SELECT conv_id, array_to_string(blocks, chr(10) || chr(10)) AS j FROM once),
+r AS (SELECT conv_id, array_to_string(list_append(items, 'Читайте також'), chr(10) || chr(10)) AS j FROM full_list)
+SELECT conv_id, (SELECT CASE WHEN j <> '' THEN {_cap(4000, 2000)} END FROM j WHERE j.conv_id = r.conv_id) AS article, CASE WHEN length(r.j) >= 200 THEN r.j END AS bank FROM r""")
+def article_shapes(t):
+    """A page for each conversation, its turns as paragraphs, headings or points, in six shapes of page: a named class, an article
+    within main, nested divs, a property, a section beside a menu, and only what stands around the heading."""
+    clean = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 400), "[^A-Za-z0-9]+", " "))
+    rows = t("conversations").select("conv_id", F.struct("turn", clean.alias("p")).alias("r")).groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("own"))
+    kind = F.col("conv_id") % 6
+    # where conv_id % 4 = 3 the first kind of turn is no block of the bank's: h4
+    first = F.when(F.col("conv_id") % 4 == 3, "h4").otherwise("p")
+    tag = lambda r: F.when(r["turn"] % 3 == 0, first).when(r["turn"] % 3 == 1, "h3").otherwise("li")
+    blocks = F.array_join(F.transform("own", lambda r: F.concat(F.lit("<"), tag(r), F.lit(">"), r["p"], F.lit("</"), tag(r), F.lit(">"))), "")
+    body = F.concat(F.lit("<h1>Title</h1><div>12 січня 2024 10:20</div>"), blocks, F.lit("<h2>Читайте також</h2><p>Останні новини</p><p>Something else entirely</p>"))
+    shapes = (('<div class="a article__content b">', "</div>"), ("<main><article>", "</article></main>"), ("<div><div><div>", "</div></div></div>"), ('<div itemprop="articleBody">', "</div>"), ("<nav><ul><li>Menu</li></ul></nav><section>", "</section><p>Foot</p>"), ("<span>", "</span>"))
+    html = F.concat(F.lit("<html><body>"), F.get(F.array(*[F.lit(a) for a, _ in shapes]), kind), body, F.get(F.array(*[F.lit(b) for _, b in shapes]), kind), F.lit("</body></html>"))
+    page = rows.select("conv_id", H.parse_page(html).alias("page"))
+    return page.select("conv_id", H.article_text(F.col("page")).alias("article"), H.bank_body(F.col("page")).alias("bank"))

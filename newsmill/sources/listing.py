@@ -92,7 +92,7 @@ def _has_class(n: Column, name: str) -> Column:
 def _cards(nodes: Column, words: tuple[str, ...]) -> Column:
     """The boxes, at most five levels up, of links whose address holds one of the words, each once, by their first link."""
     links = F.filter(nodes, lambda n: (n["tag"] == "a") & ~F.startswith(F.coalesce(T.strip(H.attr(n, "href")), F.lit("#")), F.lit("#")) & (T.strip(H.attr(n, "href")) != "") & T.contains_any(H.attr(n, "href"), words))
-    box = lambda n: H._first(F.filter(F.slice(H.ancestors(nodes, n), 1, 5), lambda m: m["tag"].isin(*_BOXES)))
+    box = lambda n: H._first(F.filter(H.ancestors(nodes, n, 5), lambda m: m["tag"].isin(*_BOXES)))
     ids = F.array_distinct(F.filter(F.transform(links, lambda n: box(n)["id"]), lambda i: i.isNotNull()))
     return F.transform(ids, lambda i: F.get(nodes, i))
 
@@ -101,43 +101,45 @@ def _attr_dates(found: Column) -> Column:
     return F.flatten(F.transform(found, lambda n: F.filter(F.array(*[H.attr(n, a) for a in ("datetime", "data-date", "data-published")]), lambda x: x.isNotNull())))
 
 
-def _dates(nodes: Column, card: Column, up: int) -> Column:
+def _dates(page: Column, card: Column, up: int) -> Column:
     """Texts that may be the card's date, the likeliest first: attributes, dated classes and <time>, then lines of text; then
     those of siblings and, `up` levels, of what stands around."""
-    beside = F.filter(nodes, lambda n: (n["parent"] == card["parent"]) & (n["tag"] != "-text"))
+    nodes = page["nodes"]
+    beside = F.filter(H.siblings(nodes, card), lambda n: n["tag"] != "-text")
     after = F.slice(F.filter(beside, lambda n: n["id"] > card["id"]), 1, 2)
     before = F.slice(F.reverse(F.filter(beside, lambda n: n["id"] < card["id"])), 1, 2)
-    around = F.concat(F.array(card), after, before, F.slice(H.ancestors(nodes, card), 1, up)) if up else F.array(card)
+    around = F.concat(F.array(card), after, before, H.ancestors(nodes, card, up)) if up else F.array(card)
 
     def of(box: Column) -> Column:
-        inside = F.filter(nodes, lambda n: (n["id"] >= box["id"]) & (n["id"] < box["stop"]) & (n["tag"] != "-text"))
+        inside = F.filter(F.slice(nodes, box["id"] + 1, box["stop"] - box["id"]), lambda n: n["tag"] != "-text")
         marked = F.filter(inside, lambda n: (n["tag"] == "time") | F.rlike(F.lower(F.coalesce(H.attr(n, "class"), F.lit(""))), F.lit("date|time")))
         small = F.filter(inside, lambda n: n["tag"].isin("span", "p", "div"))
-        texts = F.transform(F.concat(marked, small) if not up else marked, lambda n: n["text"])
-        return F.concat(_attr_dates(inside), texts, F.split(box["text"], "[|•\n]") if not up else F.slice(texts, 1, 0))
+        texts = F.transform(F.concat(marked, small) if not up else marked, lambda n: H.said(page, n))
+        return F.concat(_attr_dates(inside), texts, F.split(H.said(page, box), "[|•\n]") if not up else F.slice(texts, 1, 0))
 
     return F.filter(F.flatten(F.transform(around, of)), lambda x: ~T.blank(x))
 
 
-def _card(nodes: Column, card: Column, site: str) -> Column:
-    inside = F.filter(nodes, lambda n: (n["id"] > card["id"]) & (n["id"] < card["stop"]))
+def _card(page: Column, card: Column, site: str) -> Column:
+    text = lambda n: H.said(page, n)
+    inside = H.within(page["nodes"], card)
     link = H._first(F.filter(inside, lambda n: (n["tag"] == "a") & H.attr(n, "href").isNotNull()))
     of_tag = lambda t: F.filter(inside, lambda n: n["tag"] == t)
-    of_class = lambda c: H._first(F.filter(inside, lambda n: _has_class(n, c)))["text"]
-    heads = lambda tags: [T.non_blank(H._first(of_tag(t))["text"]) for t in tags]
-    first_line = H._first(F.filter(F.transform(F.split(link["text"], "\n"), T.strip), lambda x: x != ""))
+    of_class = lambda c: text(H._first(F.filter(inside, lambda n: _has_class(n, c))))
+    heads = lambda tags: [T.non_blank(text(H._first(of_tag(t)))) for t in tags]
+    first_line = H._first(F.filter(F.transform(F.split(text(link), "\n"), T.strip), lambda x: x != ""))
     if site == BANK:
         classes = [T.non_blank(of_class(c)) for c in BANK_TITLES]
         title = F.coalesce(*classes, *heads(("h1", "h2", "h3", "h4", "h5", "h6")), first_line)
         told = [of_class(c) for c in BANK_SUMMARIES]
-        plain = F.transform(F.filter(inside, lambda n: n["tag"].isin("p", "div", "span") & ~F.contains(F.lower(F.coalesce(H.attr(n, "class"), F.lit(""))), F.lit("date"))), lambda n: n["text"])
+        plain = F.transform(F.filter(inside, lambda n: n["tag"].isin("p", "div", "span") & ~F.contains(F.lower(F.coalesce(H.attr(n, "class"), F.lit(""))), F.lit("date"))), text)
         texts = F.concat(F.array(*told), plain)
     else:
-        title = F.coalesce(T.non_blank(link["text"]), *heads(("h1", "h2", "h3", "h4")), T.non_blank(card["text"]))
-        texts = F.flatten(F.array(*[F.transform(of_tag(t), lambda n: n["text"]) for t in ("p", "div", "span")]))
+        title = F.coalesce(T.non_blank(text(link)), *heads(("h1", "h2", "h3", "h4")), T.non_blank(text(card)))
+        texts = F.flatten(F.array(*[F.transform(of_tag(t), text) for t in ("p", "div", "span")]))
         texts = F.filter(texts, lambda x: (F.length(x) >= 30) | F.endswith(x, F.lit(".")))
     texts = F.filter(texts, lambda x: ~T.blank(x) & (F.lower(x) != F.lower(title)))
-    return F.struct(H.attr(link, "href").alias("url"), title.alias("title"), _dates(nodes, card, 4 if site == BANK else 0).alias("dates"), F.array_distinct(texts).alias("texts"))
+    return F.struct(H.attr(link, "href").alias("url"), title.alias("title"), _dates(page, card, 4 if site == BANK else 0).alias("dates"), F.array_distinct(texts).alias("texts"))
 
 
 def _first_date(texts: Column, now: Column, parse=D.parse_ukrainian) -> Column:
@@ -150,7 +152,7 @@ def items(pages: DataFrame, site: str) -> DataFrame:
     host = site.split("//")[1]
     parsed = pages.select("page_id", "now", H.parse_page("html").alias("page"))
     nodes = F.col("page.nodes")
-    cards = F.transform(_cards(nodes, ("news",) if site == BANK else ("nov", "media")), lambda c: _card(nodes, c, site))
+    cards = F.transform(_cards(nodes, ("news",) if site == BANK else ("nov", "media")), lambda c: _card(F.col("page"), c, site))
     cards = parsed.select("page_id", "now", F.posexplode(cards).alias("pos", "c"))
     # an own step: parsing dates inside the card's expression would repeat it
     cards = cards.select("page_id", "pos", "c.url", "c.title", _first_date(F.col("c.dates"), F.col("now")).alias("published"), "c.texts", "now")

@@ -15,7 +15,7 @@ def on_page(spark, html, f, **more):
 
 
 def texts(spark, html):
-    return on_page(spark, html, lambda p: F.transform(p["nodes"], lambda n: F.concat_ws("|", n["tag"], n["parent"].cast("string"), n["text"])))
+    return on_page(spark, html, lambda p: F.transform(p["nodes"], lambda n: F.concat_ws("|", n["tag"], n["parent"].cast("string"), H.said(p, n))))
 
 
 def test_tree_recovers(spark):
