@@ -10,6 +10,7 @@ from ..functions import preview as P
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import relational as R
+from ..sources.versions import Kind, Tables
 
 #: Articles numbered in one task.
 ID_RANGE = 100_000
@@ -39,30 +40,55 @@ def make(articles: DataFrame, rewrites: DataFrame) -> tuple[DataFrame, DataFrame
     return drafts.drop("link"), by_kind(shown, "article_id")
 
 
-def write_batch(rows: DataFrame, path: str, batch: int) -> None:
-    """Appends rows to a table kept by batch; a batch that is written again replaces what it left."""
-    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+def kinds() -> dict[str, Kind]:
+    return {"articles": Kind(R.ARTICLES), "drafts": Kind(R.DRAFTS), "previews": Kind(R.PREVIEWS)}
 
 
-def store(articles: DataFrame, rewrites: DataFrame, last: tuple[int, int], now: Column, drafts: str, previews: str, batch: int, by: int | None = None) -> DataFrame:
-    """Writes the drafts of articles not yet taken and their previews under the ids after last(draft, preview); returns
-    articles with those taken marked, which the caller writes last.
-
-    There is no transaction over two tables: previews go first, so no draft ever lacks its own, and a batch that failed
-    halfway is run again under its number and replaces what it left. Nothing is taken before both are there.
-    """
-    spark = articles.sparkSession
+def store(tables: Tables, rewrites: DataFrame, now: Column, by: int | None = None) -> int:
+    """Drafts of the articles not yet taken, their previews, and the articles marked as taken, in one version; its number."""
+    change = tables.change()
+    articles = tables.read("articles", change.before)
     made, shown = make(articles.where(R.not_set(F.col("taken"))), rewrites)
-    own = R.numbered(made, last[0], "article_id", bucket=F.floor(F.col("article_id") / ID_RANGE))
-    own = own.withColumns({"approved": F.lit(False), "created_by": F.lit(by).cast("long"), "created_at": now})
-    numbers = own.select("article_id", F.col("id").alias("draft_id"))
-    pairs = shown.join(numbers, "article_id")
+    own = R.numbered(made, change.last("drafts"), "article_id", bucket=F.floor(F.col("article_id") / ID_RANGE))
+    before = change.last("drafts")
+    drafts = change.append("drafts", own.withColumns({"approved": F.lit(False), "created_by": F.lit(by).cast("long"), "created_at": now}))
+    pairs = shown.join(drafts.select("article_id", F.col("id").alias("draft_id")), "article_id")
     # two previews a draft: their ids follow from the draft's
-    place = (F.col("draft_id") - last[0] - 1) * len(R.KINDS) + F.array_position(F.array(*map(F.lit, R.KINDS)), F.col("kind"))
-    pairs = pairs.select((F.lit(last[1]) + place).alias("id"), "draft_id", "kind", "text_md", now.alias("created_at"))
-    write_batch(pairs, previews, batch)
-    write_batch(own.select(*[c.split()[0] for c in R.DRAFTS.split(", ")]), drafts, batch)
-    return R.taken(articles, spark.read.parquet(drafts).where(F.col("batch") == batch))
+    place = (F.col("draft_id") - before - 1) * len(R.KINDS) + F.array_position(F.array(*map(F.lit, R.KINDS)), F.col("kind"))
+    change.append("previews", pairs.withColumns({"id": F.lit(change.last("previews")) + place, "created_at": now}))
+    change.update("articles", drafts.select(F.col("article_id").alias("id"), F.lit(True).alias("taken")), "taken")
+    return change.commit()
+
+
+def approve(tables: Tables, draft_id: int) -> int:
+    """One row of changes, whatever the table's size."""
+    change = tables.change()
+    change.update("drafts", R.by_id(tables.read("drafts", change.before), draft_id).select("id", F.lit(True).alias("approved")), "approved")
+    return change.commit()
+
+
+def refresh(tables: Tables, now: Column) -> int:
+    """The clean-up as a version: only bodies and previews that change are written, missing previews are added."""
+    change = tables.change()
+    drafts, articles, previews = (tables.read(n, change.before) for n in ("drafts", "articles", "previews"))
+    bodies, shown = clean_up(drafts, articles, previews)
+    change.update("drafts", bodies.where("changed").select("id", "body_md"), "body_md")
+    newest = previews.groupBy("draft_id", "kind").agg(F.max("id").alias("id"))
+    told = shown.where("change <> 'keep'").join(newest, ["draft_id", "kind"], "left")
+    change.update("previews", told.where("change = 'update'").select("id", "text_md"), "text_md")
+    added = told.where("change = 'insert'").select("draft_id", "kind", "text_md")
+    change.append("previews", R.numbered(added, change.last("previews"), "draft_id", "kind", bucket=F.floor(F.col("draft_id") / ID_RANGE)).withColumn("created_at", now))
+    return change.commit()
+
+
+def reset(tables: Tables) -> dict[str, int]:
+    """Empties previews, drafts and articles in one version; the rows each had."""
+    change = tables.change()
+    had = {name: tables.read(name, change.before).count() for name in ("previews", "drafts", "articles")}
+    for name in had:
+        change.replace(name, None)
+    change.commit()
+    return had
 
 
 def by_kind(shown: DataFrame, key: str) -> DataFrame:

@@ -75,8 +75,9 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(5, 1, 1), (5, 1, 0), (None, 1, 1)], LABELS)
     got = sorted(map(tuple, audit.audited(audit.facts(clashing, labels)).collect()))
     assert got == plain(ODD, [(5, 1, 1)])
-    assert audit.audited(audit.facts(empty(spark), labels)).collect() == []
-    assert audit.audited(audit.facts(odd(spark), spark.createDataFrame([], LABELS))).where("good_lost + toxic_lost > 0").count() == 0
+    one = {"A": audit.FILTERS["A"]}
+    assert audit.audited(audit.facts(empty(spark), labels), one).collect() == []
+    assert audit.audited(audit.facts(odd(spark), spark.createDataFrame([], LABELS)), one).where("good_lost + toxic_lost > 0").count() == 0
 
 
 def test_filters_are_bounded(spark):

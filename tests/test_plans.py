@@ -131,16 +131,6 @@ def test_drafts_and_clean_up(spark):
     assert (counts.drafts_updated, counts.previews_refreshed) == (2, 4)
 
 
-def test_store(spark, tmp_path):
-    arts = table(spark, R.ARTICLES, {"id": 5, "title": "A", "url": "https://a.org", "summary": "s", "level1_ok": True, "source_domain": "a.org"}, {"id": 3, "title": "B", "url": "https://b.org", "summary": "s2", "level1_ok": True, "source_domain": "b.org", "taken": False}, {"id": 4, "title": "C", "url": "https://c.org", "summary": "s3", "level1_ok": True, "source_domain": "c.org", "taken": True}, {"id": 6, "title": "D", "url": "https://d.org", "summary": "s4", "level1_ok": False, "source_domain": "d.org"})
-    raw, where = spark.createDataFrame([], "article_id long, raw string"), [str(tmp_path / n) for n in ("drafts", "previews")]
-    for _ in range(2):  # a batch run again replaces what it left
-        after = drafts.store(arts, raw, (10, 20), F.lit(NOW), *where, 0, 7)
-        assert {r.id: r.taken for r in after.collect()} == {5: True, 3: True, 4: True, 6: None}
-        assert [(r.id, r.article_id, r.created_by) for r in spark.read.parquet(where[0]).orderBy("id").collect()] == [(11, 3, 7), (12, 5, 7)]
-        assert [(r.id, r.draft_id, r.kind) for r in spark.read.parquet(where[1]).orderBy("id").collect()] == [(21, 11, "with_image"), (22, 11, "without_image"), (23, 12, "with_image"), (24, 12, "without_image")]
-
-
 def test_numbered(spark):
     rows = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), F.lit(None).cast("int").alias("x"))
     got = R.numbered(rows, 5, "k", bucket=F.floor(F.col("k") / 7)).collect()
@@ -158,24 +148,6 @@ def test_tables(spark, tmp_path):
     assert tables.read(spark, str(tmp_path), "t").count() == 5
 
 
-def test_stream(spark, tmp_path):
-    p = {n: str(tmp_path / n) for n in ("in", "pages", "articles", "statuses", "cp")}
-    entries(spark).coalesce(1).write.json(p["in"])
-    pages(spark).write.parquet(p["pages"])
-    for _ in range(2):  # the second run finds nothing new
-        stream.run(stream.landed(spark, p["in"]), p["pages"], p["articles"], p["statuses"], p["cp"], str(NOW)).awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(p["articles"]).collect()) == [1, 2, 3]
-    entries(spark).coalesce(1).write.mode("append").json(p["in"])
-    stream.run(stream.landed(spark, p["in"]), p["pages"], p["articles"], p["statuses"], p["cp"], str(NOW)).awaitTermination()
-    assert spark.read.parquet(p["articles"]).count() == 3
-    batches = {}
-    for r in spark.read.parquet(p["statuses"]).collect():
-        batches.setdefault(r.batch, []).append((r.link, r.status))
-    # what was created or found twice in the first batch is known in the second; what had no body has none again
-    known = [(link, "duplicate" if status == "created" else status) for link, status in batches[0]]
-    assert sorted(map(str, batches[1])) == sorted(map(str, known)) and ("duplicate" in {s for _, s in batches[0]})
-
-
 def test_stream_dedup(spark, tmp_path):
     folder = str(tmp_path / "in")
     entries(spark).where("link IS NOT NULL AND published IS NOT NULL").coalesce(1).write.json(folder)
