@@ -356,9 +356,11 @@ def meta_description(page: Column) -> Column:
 
 def image_url(x: Column, base: Column) -> Column:
     """A usable image address: http(s) after resolving it against the page; null for data: and blank ones."""
-    own = F.regexp_replace(T.strip(x), "^[\"']+|[\"']+$", "")
-    full = F.when(F.startswith(own, F.lit("//")), F.concat(F.lit("https:"), own)).when(base.isNotNull(), U.absolute(own, base)).otherwise(own)
-    return F.when((own != "") & ~F.startswith(own, F.lit("data:")) & U.part(full, 1).isin("http", "https"), full)
+    def of(own: Column) -> Column:
+        full = F.when(F.startswith(own, F.lit("//")), F.concat(F.lit("https:"), own)).when(base.isNotNull(), U.absolute(own, base)).otherwise(own)
+        return F.when((own != "") & ~F.startswith(own, F.lit("data:")), T.let(full, lambda u: F.when(U.part(u, 1).isin("http", "https"), u)))
+
+    return T.let(F.regexp_replace(T.strip(x), "^[\"']+|[\"']+$", ""), of)
 
 
 def best_of_srcset(x: Column, base: Column) -> Column:
@@ -375,40 +377,33 @@ def best_of_srcset(x: Column, base: Column) -> Column:
     return F.aggregate(known, none, lambda a, c: F.when(c["score"] > a["score"], c).otherwise(a))["url"]
 
 
-def _first_url(found: Column) -> Column:
-    return _first(F.filter(found, lambda u: u.isNotNull()))
-
-
-def _of_attrs(n: Column, names: tuple[str, ...], base: Column, srcset=best_of_srcset, keep=lambda u: u) -> Column:
-    return F.coalesce(*[keep(srcset(attr(n, a), base) if "srcset" in a else image_url(attr(n, a), base)) for a in names])
+def _first_url(found: Column, shown: Callable[[Column], Column]) -> Column:
+    """What the first candidate gives that gives an address; those behind it are not looked at."""
+    return F.aggregate(found, F.lit(None).cast("string"), lambda got, c: F.coalesce(got, shown(c)))
 
 
 def image(page: Column, base: Column) -> Column:
     """The page's own picture: metas, the image_src link, sources, then images."""
     nodes = page["nodes"]
-
-    def of_meta(name: str, value: str) -> Column:
-        return _first_url(F.transform(F.filter(nodes, lambda n: (n["tag"] == "meta") & (attr(n, name) == value)), lambda n: image_url(attr(n, "content"), base)))
-
+    told = lambda x, wide=False: F.struct(x.alias("at"), F.lit(wide).alias("wide"))
+    of_tag = lambda tag: F.filter(nodes, lambda n: n["tag"] == tag)
+    of_meta = lambda k, v: F.transform(F.filter(of_tag("meta"), lambda n: attr(n, k) == v), lambda n: told(attr(n, "content")))
     metas = [of_meta(k, v) for k, v in IMAGE_METAS]
-    link = image_url(attr(_first(F.filter(nodes, lambda n: (n["tag"] == "link") & (attr(n, "rel") == "image_src"))), "href"), base)
-    sources = _first_url(F.transform(F.filter(nodes, lambda n: n["tag"] == "source"), lambda n: best_of_srcset(F.coalesce(F.nullif(attr(n, "srcset"), F.lit("")), attr(n, "data-srcset")), base)))
-    images = _first_url(F.transform(F.filter(nodes, lambda n: n["tag"] == "img"), lambda n: _of_attrs(n, IMAGE_ATTRS, base)))
-    return F.coalesce(*metas, link, sources, images)
+    link = F.transform(F.slice(F.filter(of_tag("link"), lambda n: attr(n, "rel") == "image_src"), 1, 1), lambda n: told(attr(n, "href")))
+    sources = F.transform(of_tag("source"), lambda n: told(F.coalesce(F.nullif(attr(n, "srcset"), F.lit("")), attr(n, "data-srcset")), True))
+    images = F.flatten(F.transform(of_tag("img"), lambda n: F.array(*[told(attr(n, a), "srcset" in a) for a in IMAGE_ATTRS])))
+    return _first_url(F.concat(*metas, link, sources, images), lambda c: F.when(c["wide"], best_of_srcset(c["at"], base)).otherwise(image_url(c["at"], base)))
 
 
 def better_image(page: Column, base: Column, found: Column) -> Column:
     """`found`, unless it is a preview picture (or none): then the first picture of the page that is not."""
     nodes = page["nodes"]
-    full = lambda u: F.when(~F.contains(F.lower(u), F.lit("preview")), u)
-
-    def first_of_srcset(x: Column, base: Column) -> Column:
-        return _first_url(F.transform(F.split(x, ","), lambda c: full(image_url(F.regexp_extract(T.strip(c), r"^(\S+)", 1), base))))
-
-    is_picture = lambda u: F.rlike(F.lower(u), F.lit(r"\.(jpe?g|png|webp|gif)(\?|$)"))
-    sources = _first_url(F.transform(F.filter(nodes, lambda n: n["tag"] == "source"), lambda n: _of_attrs(n, ("srcset", "data-srcset"), base, first_of_srcset)))
-    images = _first_url(F.transform(F.filter(nodes, lambda n: n["tag"] == "img"), lambda n: _of_attrs(n, BETTER_IMAGE_ATTRS, base, first_of_srcset, full)))
-    links = _first_url(F.transform(F.filter(nodes, lambda n: n["tag"] == "a"), lambda n: F.when(is_picture(attr(n, "href")), full(image_url(attr(n, "href"), base)))))
-    styles = _first_url(F.transform(nodes, lambda n: full(image_url(F.nullif(F.regexp_extract(attr(n, "style"), r"(?i)background(?:-image)?\s*:[^;]*url\(([^)]+)\)", 1), F.lit("")), base))))
+    listed = lambda x: F.coalesce(F.transform(F.split(x, ","), lambda c: F.regexp_extract(T.strip(c), r"^(\S+)", 1)), F.array().cast("array<string>"))
+    of = lambda tag, names: F.flatten(F.transform(F.filter(nodes, lambda n: n["tag"] == tag), lambda n: F.concat(*[listed(attr(n, a)) if "srcset" in a else F.array(attr(n, a)) for a in names])))
+    is_picture = lambda n: F.rlike(F.lower(attr(n, "href")), F.lit(r"\.(jpe?g|png|webp|gif)(\?|$)"))
+    links = F.transform(F.filter(nodes, lambda n: (n["tag"] == "a") & F.coalesce(is_picture(n), F.lit(False))), lambda n: attr(n, "href"))
+    styles = F.transform(F.filter(nodes, lambda n: attr(n, "style").isNotNull()), lambda n: F.nullif(F.regexp_extract(attr(n, "style"), r"(?i)background(?:-image)?\s*:[^;]*url\(([^)]+)\)", 1), F.lit("")))
+    every = F.concat(of("source", ("srcset", "data-srcset")), of("img", BETTER_IMAGE_ATTRS), links, styles)
     preview = found.isNull() | F.contains(F.lower(found), F.lit("preview"))
-    return F.when(preview, F.coalesce(sources, images, links, styles, found)).otherwise(found)
+    full = lambda x: T.let(image_url(x, base), lambda u: F.when(~F.contains(F.lower(u), F.lit("preview")), u))
+    return F.when(preview, F.coalesce(_first_url(every, full), found)).otherwise(found)

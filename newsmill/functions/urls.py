@@ -7,6 +7,8 @@ from urllib.parse import quote_plus
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Trusted hosts, the tax service's paths, tracking parameters, topic queries and seed feeds.
 TRUSTED = (
     "oecd.org", "europa.eu", "eur-lex.europa.eu", "zakon.rada.gov.ua", "bank.gov.ua", "diia.gov.ua", "tax.gov.ua", "minfin.gov.ua", "minjust.gov.ua", "reyestr.court.gov.ua",
@@ -93,25 +95,43 @@ def fetch_address(url: Column) -> Column:
     return F.when(F.endswith(host(url), F.lit(TAX_HOST)), forced).otherwise(url)
 
 
+def _split(url: Column) -> Column:
+    return F.struct(*[part(url, i).alias(n) for i, n in enumerate(("scheme", "authority", "path", "query", "fragment"), 1)])
+
+
+def _steps(link: Column, base: Column) -> Column:
+    """The segments of a link's path as seen from the base's; empty ones between go where the link does not start at the root."""
+    own, under = F.split(link, "/"), F.split(base, "/")
+    folder = F.when(F.element_at(under, -1) == "", under).otherwise(F.slice(under, F.lit(1), F.size(under) - 1))
+
+    def joined(x: Column) -> Column:
+        between = F.filter(F.slice(x, F.lit(2), F.greatest(F.size(x) - 2, F.lit(0))), lambda s: s != "")
+        return F.when(F.size(x) < 2, x).otherwise(F.concat(F.slice(x, 1, 1), between, F.slice(x, -1, 1)))
+
+    return F.when(F.startswith(link, F.lit("/")), own).otherwise(let(F.concat(folder, own), joined))
+
+
+def _walked(steps: Column) -> Column:
+    """The path that the segments lead to: `..` takes the last one off what has been walked, as often as it comes."""
+    step = lambda way, s: F.when(s == "..", F.slice(way, F.lit(1), F.greatest(F.size(way) - 1, F.lit(0)))).when(s == ".", way).otherwise(F.array_append(way, s))
+    way = F.aggregate(steps, F.array().cast("array<string>"), step)
+    open_end = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(way, open_end)
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """A link as seen from a page: absolute, scheme-relative, root-relative, a query or relative to the page's folder."""
-    scheme, authority = part(base, 1), part(base, 2)
-    root = F.concat(scheme, F.lit("://"), authority)
-    path = part(base, 3)
-    folder = F.concat(root, F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")))
-    joined = (
-        F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), link)
-        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(root, link))
-        .when(F.rlike(link, F.lit("^[?]")), F.concat(root, path, link))
-        .when(F.rlike(link, F.lit("^#")), F.concat(F.regexp_replace(base, "(?s)#.*$", ""), link))
-        .when(link == "", base)
-        .otherwise(F.concat(folder, link))
-    )
-    # `..` and `.` steps; three levels of the former
-    for _ in range(3):
-        joined = F.regexp_replace(joined, r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return F.regexp_replace(joined, r"/\./", "/")
+    """A link as seen from an http(s) page (RFC 3986): absolute, scheme-relative, root-relative, a query, a fragment or a path."""
+
+    def of(own: Column, page: Column) -> Column:
+        behind = lambda mark, x: F.when(x != "", F.concat(F.lit(mark), x)).otherwise("")
+        walked = let(_steps(own["path"], page["path"]), lambda steps: F.array_join(_walked(steps), "/"))
+        path = F.when(own["authority"] != "", own["path"]).when(own["path"] == "", page["path"]).otherwise(let(walked, lambda w: F.when(F.startswith(w, F.lit("/")), w).otherwise(F.concat(F.lit("/"), w))))
+        query = F.when((own["authority"] == "") & (own["path"] == "") & (own["query"] == ""), page["query"]).otherwise(own["query"])
+        authority = F.when(own["authority"] != "", own["authority"]).otherwise(page["authority"])
+        return F.concat(F.lower(page["scheme"]), F.lit("://"), authority, path, behind("?", query), behind("#", own["fragment"]))
+
+    foreign = lambda own, page: (own["scheme"] != "") & (F.lower(own["scheme"]) != F.lower(page["scheme"]))
+    return F.when(link == "", base).otherwise(let(_split(link), lambda own: let(_split(base), lambda page: F.when(foreign(own, page), link).otherwise(of(own, page)))))
 
 
 def listing_link(link: Column, base: Column, site: str) -> Column:

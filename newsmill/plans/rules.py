@@ -179,3 +179,13 @@ l AS (SELECT *, {_lines("coalesce(long, untagged)")} AS first_lines, {_lines(f"r
 c AS (SELECT *, {_stripped("first_lines", "key")} AS core, {_stripped("second_lines", "key")} AS again FROM l)
 SELECT doc_id, trim(coalesce(nullif(trim(core, ws), ''), untagged) || chr(10) || chr(10) || {_PROMO}, ws) AS body_md,
 trim(array_to_string(list_filter([head, again, {_PROMO}], lambda p: p <> ''), chr(10) || chr(10)), ws) AS rebuilt FROM c"""
+
+
+@query(r"""SELECT page_id, up, 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '/' || array_to_string(list_transform(range(1, 13 - least(up, 12)), lambda i: 'd' || i), '/') || CASE WHEN up < 12 THEN '/' ELSE '' END || 'p' || page_id AS link
+FROM pages, range(0, 15) r(up)""")
+def reference_steps(t):
+    """A link 0 to 14 levels up from a page 12 levels deep, on the host of each page."""
+    base = F.concat(F.lit("https://"), U.part(F.col("url"), 2), F.lit("/" + "/".join(f"d{i}" for i in range(1, 13)) + "/page.html?x#y"))
+    rows = t("pages").select("page_id", base.alias("base"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))).alias("up"))
+    link = F.concat(F.repeat(F.lit("../"), F.col("up").cast("int")), F.lit("./p"), F.col("page_id").cast("string"))
+    return rows.select("page_id", "up", U.absolute(link, F.col("base")).alias("link"))

@@ -131,8 +131,10 @@ def test_urls(spark):
     assert run(spark, ["http://cabinet.tax.gov.ua/a?b#c", "http://x.org/#q"], U.fetch_address) == ["https://www.tax.gov.ua/a?b", "http://x.org/#q"]
     from urllib.parse import urljoin
 
-    for link in ("/a/b", "c", "../d", "//h.org/x", "?q=1", "#f", "https://z.org", "./e", "g/../h", ""):
-        assert run(spark, [(link, "https://s.org/p/q/r.html?x=1")], U.absolute) == [urljoin("https://s.org/p/q/r.html?x=1", link)], link
+    bases = ("https://s.org/p/q/r.html?x=1", "http://S.org", "https://s.org/", "https://u@s.org:8/a//b/./c/?y#z", "https://s.org/1/2/3/4/5/6/7/8/9/10/11/12.html")
+    links = ("/a/b", "c", "../d", "//h.org/x", "?q=1", "#f", "https://z.org", "./e", "g/../h", "", ".", "..", "../..", "../" * 10 + "x", "../" * 30 + "x?a=b#c", "/../../x", "a/./b/../../c/", "x//y", "/x//y/..", "mailto:a@b.c", "data:x", "g?y/../z", "g#s/../x", "...", "..g", "HTTPS://Z.org/a?b", "é/../ü", "a%3Ab")
+    rows = [(link, base) for base in bases for link in links]
+    assert run(spark, rows, U.absolute) == [urljoin(base, link) for link, base in rows]
 
 
 def test_markdown():
