@@ -24,6 +24,8 @@ from .common import by_key, free_names, prepare, table, written
 LENGTH, KGRAM, SHALLOW = 200, 32, 32
 #: Bytes joined for one pass of hashing; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
+#: Bits of a segment's location that hold how many strings it has; a text's bytes are counted in the other 40.
+COUNT_BITS = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
@@ -181,6 +183,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(docs with their keys, spans): spans(key, th, spans array<struct<lo, hi>>) are the bytes that repeated strings cover."""
+    if not 1 <= length < 1 << COUNT_BITS:
+        raise ValueError(f"length must be 1 to {(1 << COUNT_BITS) - 1}")
     spark = docs.sparkSession
     prepare(spark)
     k = min(KGRAM, length)
@@ -198,8 +202,8 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
                     to += 1
                 doc, lo, n, ah, sh = segments(b"".join(texts[at:to]), np.array([len(x) for x in texts[at:to]]), length, k)
                 if len(doc):
-                    # first string, and strings in 8 bits; a longer run of one anchor can't be, strings being `length` long
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah, sh, key[at:to][doc], th[at:to][doc], (lo << 8) | n)], ["ah", "sh", "key", "th", "loc"])
+                    # the first string's place, and how many there are in the last bits: a run of one anchor holds fewer than `length`
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah, sh, key[at:to][doc], th[at:to][doc], (lo << COUNT_BITS) | n)], ["ah", "sh", "key", "th", "loc"])
                 at = to
 
     own = keyed.select("key", "th", "text").mapInArrow(find, "ah long, sh long, key long, th long, loc long")
@@ -211,15 +215,19 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     mixed = members.where("mixed").select("ah", "sh", "key", "th", "loc")
     classes = written(mixed.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "loc")).alias("one")), "classes")
     alike = alike.unionByName(mixed.join(classes.where("n > 1").select("ah", "sh"), ["ah", "sh"]).select("key", "th", "loc"))
-    unpacked = (F.shiftrightunsigned("loc", 8).alias("lo"), F.col("loc").bitwiseAND(F.lit(0xFF)).alias("n"))
+    unpacked = (F.shiftrightunsigned("loc", COUNT_BITS).alias("lo"), F.col("loc").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("n"))
     whole = alike.select("key", *unpacked, "th")
     # the bytes of one segment of each class, from its text
     wanted = classes.select("ah", "one.key", "one.th", "one.loc").select("ah", "key", "th", *unpacked)
     wanted = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("ah", "lo", "n")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows are in one task: their segments are cut once
         for batch in batches:
             for key, th, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, th) in seen:
+                    continue
+                seen.add((key, th))
                 raw = text.encode("utf-8", "surrogatepass")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w["ah"] for w in want], pa.int64()), pa.array([key] * len(want), pa.int64()), pa.array([th] * len(want), pa.int64()), pa.array([w["lo"] for w in want], pa.int64()), pa.array([w["n"] for w in want], pa.int64()), pa.array([raw[w["lo"] : w["lo"] + w["n"] + length - 1] for w in want], pa.binary())],
@@ -237,11 +245,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(t.column("key").to_numpy()[at]), pa.array(t.column("lo").to_numpy()[at] + offset[first]), pa.array(n), pa.array(t.column("th").to_numpy()[at])], ["key", "lo", "n", "th"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # repeated rows give their segments twice; which of them serves is all one
     content = keyed.select("key", "th", "text").join(wanted.hint("shuffle_hash"), ["key", "th"]).select("key", "th", "text", "wanted").mapInArrow(cut, "ah long, key long, th long, lo long, n long, content binary")
     ends = content.repartition(parts, "ah").sortWithinPartitions("ah").mapInArrow(sort, "key long, lo long, n long, th long")
     all_spans = whole.unionByName(ends).select("key", "th", F.struct("lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi")).alias("span"))
-    return keyed, all_spans.groupBy("key", "th").agg(F.collect_list("span").alias("spans"))
+    # repeated rows have the same spans: a set of them, combined before the shuffle, does not grow with the copies
+    return keyed, all_spans.groupBy("key", "th").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(found: list[dict] | None) -> list[list[int]]:

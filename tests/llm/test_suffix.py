@@ -1,8 +1,11 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from newsmill.llm import suffix
 
@@ -56,6 +59,28 @@ def test_against_brute_force(spark):
         assert any(r[1] for r in found.values()) and any(r[0] > r[1] > 0 for r in found.values())
 
 
+def test_lengths_beyond_a_byte(spark):
+    rng = random.Random(9)
+    common = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300, 1500))) for _ in range(4)]
+    texts = ["".join(rng.choice(common)[rng.randrange(200) : rng.randrange(500, 1500)] if rng.random() < 0.7 else "".join(rng.choice("abcdefgh") for _ in range(100)) for _ in range(rng.randrange(1, 4))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length in (286, 287, 400):
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs, length).collect()}
+        assert found == dict(enumerate(brute(texts, length))) and any(r[0] > r[1] > 0 for r in found.values())
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(docs, 1 << 24)
+
+
+def test_very_many_repeated_rows(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(1, text[:2500] + "x" * 150), (2, "own " * 40)], "doc_id long, text string"))
+    start = time.perf_counter()
+    found = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans): r.n for r in suffix.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").agg(F.count("*").alias("n")).collect()}
+    assert found == {(None, 3000, 3000, 1): 5000, (1, 2650, 2500, 1): 1, (2, 160, 0, 0): 1}
+    assert time.perf_counter() - start < 60
+
+
 def test_odd_rows(spark):
     found = suffix.remove_repeats(odd(spark), 20).collect()
     want = brute([r[1] for r in ODD], 20)
