@@ -162,7 +162,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> str:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # texts are dealt out, not frames: finding the ranges reads the rows once before, and must not encode them
-    ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # ids alone would put all rows of one id, or of none, into one range; of equal ids the order is free
+    ranged = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     frames = ranged.mapInArrow(encode, "doc_id long, n_tokens long, frame binary").withColumn("shard", F.spark_partition_id())
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,14 @@ def test_the_sample_is_scanned_in_parallel(spark):
     spark.conf.unset("spark.sql.files.openCostInBytes")
     stages = [i for s in range(10_000) if s not in before and (i := spark.sparkContext.statusTracker().getStageInfo(s))]
     assert sum(i.numTasks > 1 for i in stages) >= 2  # the ids and the texts
+
+
+def test_rows_without_an_id_are_dealt_to_all_tasks(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text number {i}") for i in range(3000)], "doc_id long, text string").repartition(4)
+    path = tokenbin.write_tokens(docs, new_path(spark, "tokens"), tokenizer_path("byte_bpe_50k.json"))
+    sizes = [r.n for r in spark.read.parquet(f"{path}/blocks").selectExpr("shard", "size(doc_ids) AS n").groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 4 and max(sizes) < 1500
+    found = tokenbin.read_tokens(spark, path).orderBy("start").collect()
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(found, found[1:], strict=False))
+    ids = [r.doc_id for r in found]
+    assert ids == [None] * 2000 + list(range(0, 3000, 3))
