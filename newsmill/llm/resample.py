@@ -62,6 +62,11 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
 
 
+def noise(doc_id: int | None, text: str, seed: int) -> int:
+    """64 bits drawn by the doc_id; by the text where there is none, so that rows without one are drawn each by itself."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass") if doc_id is None else str(doc_id), seed)
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     """(doc_id, log_weight, sort_key) of docs(doc_id, text); null text is empty and weighs 0."""
     prepare(docs.sparkSession)
@@ -70,8 +75,9 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own = word_cache(), shared.value
         for b in batches:
-            w = np.array([own[buckets(t, cache, len(own))].sum() for t in strings(b.column(1))])
-            u = (np.array([xxhash.xxh64_intdigest(str(d), seed) for d in b.column(0).to_pylist()], np.float64) + 0.5) / 2.0**64
+            texts = strings(b.column(1))
+            w = np.array([own[buckets(t, cache, len(own))].sum() for t in texts])
+            u = (np.array([noise(d, t, seed) for d, t in zip(b.column(0).to_pylist(), texts, strict=True)], np.float64) + 0.5) / 2.0**64
             key = w - np.log(-np.log(np.clip(u, 1e-18, 1 - 1e-16)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(key)], ["doc_id", "log_weight", "sort_key"])
 
@@ -100,8 +106,8 @@ def ranked(rows: DataFrame) -> DataFrame:
 def resample(docs: DataFrame, good_ids: DataFrame, fraction: float = FRACTION, seed: int = SEED) -> DataFrame:
     """(doc_id, log_weight, sort_key, rank, selected) of every row of docs; the best ceil(fraction * rows) are selected.
 
-    good_ids(doc_id): the target's documents. Repeated rows get the same key and neighbouring ranks. A null doc_id is
-    weighed like any other and never in the target.
+    good_ids(doc_id): the target's documents. Repeated rows get the same key and neighbouring ranks. A row of a null
+    doc_id is weighed like any other, drawn by its text and never in the target.
     """
     prepare(docs.sparkSession)
     good = good_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TARGET).withColumn("good", F.lit(True))

@@ -70,3 +70,11 @@ def test_noise_draws_in_proportion_to_the_weights(spark):
     ratio[resample.buckets("heavy", resample.word_cache(), 1 << 10)] = math.log(2)
     found = {r.doc_id: r.sort_key for r in resample.weigh(docs, ratio).collect()}
     assert abs(sum(found[i] > found[i - 1] for i in range(1, 6000, 2)) / 3000 - 2 / 3) < 0.03
+
+
+def test_rows_without_an_id_are_drawn_each_by_itself(spark):
+    docs = spark.createDataFrame([(None, f"same words {i}") for i in range(400)] + [(i, "same words") for i in range(200)], "doc_id long, text string")
+    found = resample.resample(docs, spark.createDataFrame([(1,)], "doc_id long")).collect()
+    none = [r for r in found if r.doc_id is None]
+    assert len({r.sort_key for r in none}) == 400 and 100 < sum(r.selected for r in none) < 300
+    assert sorted(r["rank"] for r in found) == list(range(1, 601))
