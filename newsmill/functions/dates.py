@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 KYIV = "Europe/Kyiv"
 # Names of months by number.
@@ -15,11 +16,18 @@ MONTHS = {
     1: ("січня", "січ"), 2: ("лютого", "лют"), 3: ("березня", "берез", "бер"), 4: ("квітня", "квіт"), 5: ("травня", "трав"), 6: ("червня", "черв"),
     7: ("липня", "лип"), 8: ("серпня", "серп"), 9: ("вересня", "верес", "вер"), 10: ("жовтня", "жовт", "жов"), 11: ("листопада", "листоп", "лист"), 12: ("грудня", "груд"),
 }
-_ISO = r"(\d{4}-\d{2}-\d{2}t\d{2}:\d{2}(?::\d{2})?)([+\-]\d{2}:?\d{2}|z)?"
+# What is taken out of a date's text, in this order, as an earlier one lays bare a later one.
+NOISE = (("сьогодні", ""), (r"\s+вчора", ""), (r"\s+р(\.|оку)?$", ""), (" о |,", " "), (r"\s+", " "))
+_ISO = r"\d{4}-\d{2}-\d{2}t\d{2}:\d{2}(?::\d{2})?(?:[+\-]\d{2}:?\d{2}|z)?"
+_DOTTED = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}"
+_NAMED = r"\d{1,2}\s+[а-яіїєґ.]+\s+\d{4}"
+_CLOCK = r"\d{1,2}:\d{2}"
+_ALONE = r"^\d{1,2}:\d{2}(?:\s*год\.?)?$"
 
 
-def _group(x: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(x, "(?U)" + pattern, group), F.lit(""))
+def _found(x: Column, pattern: str) -> Column:
+    """The first match, null where there is none."""
+    return F.nullif(F.regexp_extract(x, "(?U)" + pattern, 0), F.lit(""))
 
 
 def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
@@ -28,34 +36,47 @@ def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Colu
     return F.to_utc_timestamp(own, KYIV)
 
 
-def _iso(text: Column) -> Column:
-    zone = _group(text, _ISO, 2)
-    stamp = F.replace(_group(text, _ISO, 1), F.lit("t"), F.lit("T"))
-    stamp = F.when(F.length(stamp) == 16, F.concat(stamp, F.lit(":00"))).otherwise(stamp)
-    zone = F.when(zone == "z", "+00:00").otherwise(F.regexp_replace(zone, r"^([+\-]\d{2})(\d{2})$", "$1:$2"))
-    return F.when(zone.isNull(), F.to_utc_timestamp(F.try_to_timestamp(stamp), KYIV)).otherwise(F.try_to_timestamp(F.concat(stamp, zone)))
+def _iso(found: Column) -> Column:
+    """Of a match of _ISO: sixteen characters, or nineteen with seconds, and a zone."""
+
+    def stamp(n: Column) -> Column:
+        time = F.concat(F.replace(F.substr(found, F.lit(1), n), F.lit("t"), F.lit("T")), F.when(n == 16, ":00").otherwise(""))
+        zone = F.substr(found, n + 1)
+        own = F.when(zone == "z", "+00:00").otherwise(F.regexp_replace(zone, r"^([+\-]\d{2})(\d{2})$", "$1:$2"))
+        return F.when(zone == "", F.to_utc_timestamp(F.try_to_timestamp(time), KYIV)).otherwise(F.try_to_timestamp(F.concat(time, own)))
+
+    seconds = (F.length(found) > 18) & (F.substr(found, F.lit(17), F.lit(1)) == ":")
+    return let(F.when(seconds, 19).otherwise(16), stamp)
+
+
+def _at(day: Column, month: Column, year: Column, clock: Column) -> Column:
+    return let(F.split(clock, ":"), lambda c: _moment(year, month, day, F.get(c, F.lit(0)), F.get(c, F.lit(1))))
+
+
+def _dotted(found: Column) -> Column:
+    """Of a dotted date and all behind it: the date, at the first clock time behind."""
+    whole = lambda date: let(F.split(date, "[./-]"), lambda d: _at(*(F.get(d, F.lit(i)) for i in range(3)), _found(F.substr(found, F.length(date) + 1), _CLOCK)))
+    return let(_found(found, _DOTTED), whole)
+
+
+def _named(found: Column, text: Column) -> Column:
+    months = F.create_map(*[F.lit(v) for v in chain.from_iterable((name, m) for m, names in MONTHS.items() for name in names)])
+    month = lambda d: F.try_element_at(months, F.replace(F.get(d, F.lit(1)), F.lit("."), F.lit("")))
+    return let(F.split(found, " "), lambda d: _at(F.get(d, F.lit(0)), month(d), F.get(d, F.lit(2)), _found(text, _CLOCK)))
 
 
 def parse_ukrainian(x: Column, now: Column) -> Column:
     """The first that fits: an ISO date and time; d.m.yyyy with a time after it; a time alone, of today; d month yyyy with
-    a time anywhere. A dotted date that is no date, and an unknown month, give null. `now` is an instant in UTC."""
-    text = F.regexp_replace(F.replace(F.lower(x), F.lit("сьогодні"), F.lit("")), r"(?U)\s+вчора", "")
-    text = F.regexp_replace(text, r"(?U)\s+р(\.|оку)?$", "")
-    text = F.replace(F.replace(text, F.lit(" о "), F.lit(" ")), F.lit(","), F.lit(" "))
-    text = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    dotted = r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
-    after = F.regexp_extract(text, r"(?Us)\d{1,2}[./-]\d{1,2}[./-]\d{4}(.*)$", 1)
-    clock = r"(\d{1,2}):(\d{2})"
-    by_dots = _moment(_group(text, dotted, 3), _group(text, dotted, 2), _group(text, dotted, 1), _group(after, clock, 1), _group(after, clock, 2))
-    alone = r"^(\d{1,2}):(\d{2})(?:\s*год\.?)?$"
+    a time anywhere. A dotted date that is no date, and an unknown month, give null. `now` is an instant in UTC.
+
+    Each form is looked for once, and only where those before it were not found."""
+    text = strip(reduce(lambda t, rule: F.regexp_replace(t, "(?U)" + rule[0], rule[1]), NOISE, F.lower(x)))
     today = F.from_utc_timestamp(now, KYIV)
-    by_clock = _moment(F.year(today), F.month(today), F.dayofmonth(today), _group(text, alone, 1), _group(text, alone, 2))
-    named = r"(\d{1,2})\s+([а-яіїєґ.]+)\s+(\d{4})"
-    months = F.create_map(*[F.lit(v) for v in chain.from_iterable((name, m) for m, names in MONTHS.items() for name in names)])
-    month = F.try_element_at(months, F.replace(_group(text, named, 2), F.lit("."), F.lit("")))
-    by_name = _moment(_group(text, named, 3), month, _group(text, named, 1), _group(text, clock, 1), _group(text, clock, 2))
-    rest = F.when(_group(text, dotted, 1).isNotNull(), by_dots).when(F.rlike(text, F.lit("(?U)" + alone)), by_clock).otherwise(by_name)
-    return F.coalesce(_iso(text), rest)
+    by_clock = lambda found: _at(F.dayofmonth(today), F.month(today), F.year(today), _found(found, _CLOCK))
+    by_name = lambda own: let(_found(own, _NAMED), lambda f: _named(f, own))
+    undotted = lambda own: let(_found(own, _ALONE), lambda f: F.when(f.isNotNull(), by_clock(f)).otherwise(by_name(own)))
+    worded = lambda own: let(_found(own, f"(?s){_DOTTED}.*$"), lambda f: F.when(f.isNotNull(), _dotted(f)).otherwise(undotted(own)))
+    return let(text, lambda own: F.coalesce(let(_found(own, _ISO), lambda f: F.when(f.isNotNull(), _iso(f))), worded(own)))
 
 
 def coerce(x: Column, now: Column) -> Column:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -62,21 +64,23 @@ def inline(s: str) -> str:
     return "".join([*out, html.escape(s[plain:], quote=False)])
 
 
+def line_html(line: str) -> str:
+    """Bullets become dots, numbers stay, headings are bold."""
+    if line[:2] in ("- ", "* "):
+        return f"• {inline(line[2:].strip())}"
+    if m := re.match(r"(\d+)[.)]\s+(.*)", line):
+        return f"{m[1]}. {inline(m[2].strip())}"
+    if m := re.match(r"#{1,6}\s+(.*)", line):
+        return f"<b>{inline(m[1].strip())}</b>"
+    return inline(line)
+
+
 def to_html(markdown: str) -> str:
-    """Bullets become dots, numbers stay, headings are bold, blank lines are squeezed."""
+    """Line by line; blank lines are squeezed."""
     out: list[str] = []
     for line in map(str.strip, markdown.splitlines()):
-        if not line:
-            if out and out[-1]:
-                out.append("")
-        elif line[:2] in ("- ", "* "):
-            out.append(f"• {inline(line[2:].strip())}")
-        elif m := re.match(r"(\d+)[.)]\s+(.*)", line):
-            out.append(f"{m[1]}. {inline(m[2].strip())}")
-        elif m := re.match(r"#{1,6}\s+(.*)", line):
-            out.append(f"<b>{inline(m[1].strip())}</b>")
-        else:
-            out.append(inline(line))
+        if line or (out and out[-1]):
+            out.append(line_html(line))
     return "\n".join(out).strip()
 
 
@@ -111,34 +115,75 @@ def cut(s: str, limit: int) -> str:
 
 def trim(s: str, limit: int) -> str:
     """As text.smart_trim."""
+    return "".join(_trimmed(s.strip(), limit))
+
+
+def _trimmed(s: str, limit: int) -> tuple[str, str]:
+    """What stays of a text without outer spaces, and the ellipsis or nothing."""
     if limit <= 0:
-        return ""
-    s = s.strip()
+        return "", ""
     if len(s) <= limit:
-        return s
+        return s, ""
     head = s[:limit].rstrip()
     ends = [(head.rfind(e), 1, 0.4) for e in T.SENTENCE_ENDS] + [(head.rfind("\n"), 0, 0.3), (head.rfind(" "), 0, 0)]
     best = next((b for at, more, least in ends if at >= int(limit * least) and at >= 0 and (b := head[: at + more].strip())), head).rstrip("-•")
-    return best if not best or best.endswith(T.SENTENCE_ENDS) else best + "…"
+    return best, "" if not best or best.endswith(T.SENTENCE_ENDS) else "…"
+
+
+class Rendered:
+    """The lines of a text, each rendered once, with running sums of what is visible: the HTML and visible length of any
+    beginning of the text cost only the line that the cut falls in."""
+
+    def __init__(self, text: str) -> None:
+        self.said = text.splitlines(keepends=True)
+        self.starts = [0, *accumulate(map(len, self.said))]
+        self.html: list[str] = []
+        self.seen = [0]  # visible characters of html[:i], a line break behind each
+        self.upto = [0]  # how many of html are of said[:i]
+
+    def _line(self, at: int) -> int:
+        """The line that the place is in, with all before it rendered."""
+        found = max(min(bisect_right(self.starts, at) - 1, len(self.said) - 1), 0)
+        for line in map(str.strip, self.said[len(self.upto) - 1 : found]):
+            if line or (self.html and self.html[-1]):
+                self.html.append(line_html(line))
+                self.seen.append(self.seen[-1] + visible(self.html[-1]) + 1)
+            self.upto.append(len(self.html))
+        return found
+
+    def _parts(self, kept: str, end: str) -> tuple[int, str]:
+        line = self._line(len(kept))
+        return self.upto[line], to_html(kept[self.starts[line] :] + end)
+
+    def visible(self, kept: str, end: str) -> int:
+        n, last = self._parts(kept, end)
+        return self.seen[n] + visible(last)
+
+    def shown(self, kept: str, end: str) -> str:
+        n, last = self._parts(kept, end)
+        return "\n".join([*self.html[:n], last]).strip()
 
 
 def blocks(*found: str) -> str:
     return "\n\n".join(b.strip() for b in found if b and b.strip())
 
 
-def fitted(header: str, review: str, link: str, tags: str, promo: str, most: int) -> str:
+def fitted(header: str, review: Rendered, text: str, link: str, tags: str, promo: str, most: int) -> str:
     """Header, review, link, tags and promo within `most` visible characters: the review shrinks by what is over, then tags
-    go from the right, then the text before the promo is cut, at last the promo alone."""
-    limit = max(most - visible(blocks(header, link, tags, promo)) - 2, 0)
+    go from the right, then the text before the promo is cut, at last the promo alone. `review` are the lines of `text`."""
+    around = blocks(header, link, tags, promo)
+    least = visible(around)
+    limit = max(most - least - 2, 0)
     while True:
-        shown = to_html(trim(review, limit))
-        whole = blocks(header, shown, link, tags, promo)
-        over = visible(whole) - most
-        if over <= 0:
-            return whole
-        if limit <= 0:
+        kept, end = _trimmed(text, limit)
+        own = review.visible(kept, end) + (2 if around else 0) if kept + end else 0
+        over = least + own - most
+        if over <= 0 or limit <= 0:
             break
         limit = max(limit - over, 0)
+    shown = review.shown(kept, end)
+    if over <= 0:
+        return blocks(header, shown, link, tags, promo)
     words = tags.split()
     for n in range(len(words) - 1, -1, -1):
         whole = blocks(header, shown, link, " ".join(words[:n]), promo)
@@ -154,6 +199,13 @@ def fitted(header: str, review: str, link: str, tags: str, promo: str, most: int
     return cut(promo, most)
 
 
+def variants(header: str, review: str, link: str, tags: str, promo: str, kinds: tuple[int, ...]) -> list[str]:
+    # a longer review is known to go on behind the last of the characters given
+    text = review.strip() if len(review) <= max(kinds) else review
+    lines = Rendered(text)
+    return [fitted(header, lines, text, link, tags, promo, most) for most in kinds]
+
+
 @pandas_udf(StringType())
 def markdown_html(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else to_html(s))
@@ -172,11 +224,11 @@ def with_variants(posts: DataFrame, title: Column, review_md: Column, link_url:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.column(n).flatten()), strict=True))
-            made = [pa.array([fitted(*row, promo, most) for row in rows], pa.string()) for most in kinds]
+            made = [pa.array(own, pa.string()) for own in zip(*[variants(*row, promo, kinds) for row in rows])] or [pa.array([], pa.string())] * 2
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *made], [*b.schema.names[:n], "with_image", "without_image"])
 
     # named by place, so that the posts' own columns may have any names
-    given = F.struct(header.alias("header"), F.coalesce(review, F.lit("")).alias("review"), link.alias("link"), T.escape_html(T.strip(tags)).alias("tags"))
+    given = F.struct(header.alias("header"), F.substring(F.coalesce(review, F.lit("")), 1, max(kinds) + 1).alias("review"), link.alias("link"), T.escape_html(T.strip(tags)).alias("tags"))
     taken = {c.lower() for c in posts.columns}
     name = next(x for x in ("parts" + "_" * i for i in range(len(taken) + 1)) if x not in taken)
     parts = posts.select("*", given.alias(name))

@@ -6,8 +6,11 @@ docstring says otherwise.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,8 +29,16 @@ SENTENCE_ENDS = (".", "!", "?", "…")
 #: Unicode's white space, which \s finds under (?U).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: A reference behind its ampersand: a number or what may be a name.
+_REFERENCE = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_OLD = f"^({'|'.join(_OLD_NAMES)})"
+#: Numbers that stand for others: the bytes of Windows' Latin alphabet, those without a character for themselves as are the
+#: carriage return and the byte order mark, which decoding would drop.
+_CODES = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0xD: "\r", 0xFEFF: "\ufeff"}
+
 _UA_DATE = rf"(?U)\b\d{{1,2}}\s+({'|'.join(MONTHS_GENITIVE)})\s+\d{{4}}\b"
-_LABELLED = "(?iu)" + "|".join(sorted({label.split()[0] for label in SECTION_LABELS}))
+_LABEL_WORDS = sorted({label.split()[0] for label in SECTION_LABELS})
 _CLASS = "".join("\\" + c if c in "[]\\^-&" else c for c in MARKERS)
 
 
@@ -55,7 +66,8 @@ def non_blank(x: Column) -> Column:
 
 
 def collapse(x: Column) -> Column:
-    return strip(F.regexp_replace(x, r"(?U)\s+", " "))
+    # single spaces, most of all runs, are not matched
+    return strip(F.regexp_replace(x, r"(?U)[^\S ]\s*| \s+", " "))
 
 
 def lines(x: Column) -> Column:
@@ -81,7 +93,7 @@ def normalize_paragraphs(x: Column) -> Column:
 
 def title_key(x: Column) -> Column:
     """What titles are compared by: spaces collapsed, markers and leading dashes stripped, lower case."""
-    bare = F.regexp_replace(collapse(x), f"^[{_CLASS}]+|[{_CLASS}]+$", "")
+    bare = F.btrim(collapse(x), F.lit(MARKERS))
     return F.lower(F.regexp_replace(bare, r"(?U)^[\-–—•:*]+\s*", ""))
 
 
@@ -111,8 +123,8 @@ def strip_preamble(x: Column, title: Column) -> Column:
         first = F.aggregate(own, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), step)["at"]
         return let(first, lambda at: F.when(at > 0, strip(join_lines(F.slice(own, at, F.greatest(F.size(own), F.lit(1)))))).otherwise(""))
 
-    given = F.struct(F.transform(lines(x), strip).alias("lines"), F.coalesce(title_key(title), F.lit("")).alias("key"))
-    return F.when(x.isNotNull(), let(given, kept))
+    given = lambda own: F.struct(F.transform(lines(own), strip).alias("lines"), F.coalesce(title_key(title), F.lit("")).alias("key"))
+    return let(x, lambda own: F.when(own.isNotNull(), let(given(own), kept)))
 
 
 def rebuild_body(body: Column, title: Column, promo: str = PROMO_MD) -> Column:
@@ -186,7 +198,7 @@ def post_sections(x: Column) -> Column:
         both = F.struct(clean_lines(F.coalesce(under("long"), before)).alias("long"), clean_lines(under("short")).alias("short"))
         return let(both, lambda b: F.struct(F.when((b["long"] == "") & (F.coalesce(b["short"], F.lit("")) != ""), b["short"]).otherwise(b["long"]).alias("long"), b["short"].alias("short")))
 
-    labelled = lambda own: F.rlike(own, F.lit(_LABELLED))
+    labelled = lambda own: let(F.lower(own), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in _LABEL_WORDS]))
     nothing = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("rest"))
     line_of = lambda line: F.struct(F.when(labelled(line), parsed(line)["head"]).otherwise(nothing).alias("head"), line.alias("line"))
     sections = lambda own: let(F.aggregate(F.transform(lines(own), line_of), zero, step), chosen)
@@ -209,7 +221,7 @@ def draft_body(raw: Column, title: Column, promo: str = PROMO_MD) -> Column:
         core = strip_preamble(F.coalesce(both["long"], both["untagged"]), F.coalesce(title, F.lit("")))
         return strip(F.concat(F.coalesce(non_blank(core), both["untagged"]), F.lit("\n\n" + promo)))
 
-    untagged = strip(F.regexp_replace(raw, r"(?Um)^Теги:.*$", ""))
+    untagged = strip(F.when(F.contains(raw, F.lit("Теги:")), F.regexp_replace(raw, r"(?Um)^Теги:.*$", "")).otherwise(raw))
     return let(F.struct(untagged.alias("untagged"), non_blank(post_sections(raw)["long"]).alias("long")), body)
 
 
@@ -236,12 +248,41 @@ def escape_attribute(x: Column) -> Column:
     return F.replace(F.replace(escape_html(x), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
 
 
+def unescape(x: Column) -> Column:
+    """HTML's named and numeric references undone in one pass, as browsers do: old names without a semicolon count too, the
+    longest that begins what stands there; numbers of no character vanish or become U+FFFD."""
+    names = F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def number(digits: Column, base: int) -> Column:
+        # eight digits hold every code point and some that are too large
+        bare = F.ltrim(digits, F.lit("0"))
+        code = F.when(F.length(bare) > 8, 0x110000).otherwise(F.coalesce(F.conv(bare, base, 10).cast("int"), F.lit(0)))
+        return let(code, character)
+
+    def character(code: Column) -> Column:
+        odd = F.create_map(*[F.lit(v) for kv in _CODES.items() for v in kv])
+        none = code.between(0x1, 0x8) | (code == 0xB) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(odd, code), F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | (code == 0), "\ufffd").when(none, "").otherwise(plain))
+
+    def undone(part: Column) -> Column:
+        """A stretch that starts with an ampersand, but for the first of a text."""
+        found = F.regexp_extract(part, _REFERENCE, 1)
+        return let(found, lambda r: F.when(r == "", part).otherwise(F.concat(meant(r), F.substr(part, F.length(r) + 2))))
+
+    def meant(r: Column) -> Column:
+        digits = F.rtrim(r, F.lit(";"))
+        old = let(F.regexp_extract(r, _OLD, 1), lambda n: F.when(n != "", F.concat(F.try_element_at(F.from_json(F.lit(json.dumps({k: html5[k] for k in _OLD_NAMES})), "map<string,string>"), n), F.substr(r, F.length(n) + 1))))
+        named = F.coalesce(F.try_element_at(names, r), old, F.concat(F.lit("&"), r))
+        return F.when(F.rlike(r, F.lit("^#[xX]")), number(F.substr(digits, F.lit(3)), 16)).when(F.startswith(r, F.lit("#")), number(F.substr(digits, F.lit(2)), 10)).otherwise(named)
+
+    whole = F.array_join(F.transform(F.split(x, "(?=&)"), undone), "")
+    return F.when(F.contains(x, F.lit("&")), whole).otherwise(x)
+
+
 def visible_text(html: Column) -> Column:
-    """Line breaks for <br>, no tags, and the entities that escaping makes undone."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return bare
+    """Line breaks for <br>, no tags, and no references."""
+    return unescape(F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", ""))
 
 
 def visible_length(html: Column) -> Column:
@@ -266,7 +307,7 @@ def smart_trim(x: Column, limit: Column | int) -> Column:
         found = []
         for end, more, least in (*((e, 1, 0.4) for e in SENTENCE_ENDS), ("\n", 0, 0.3), (" ", 0, 0.0)):
             found.append(_upto(cut, end, more, limit * least))
-        return let(F.regexp_replace(F.coalesce(*found, strip(cut)), "[-•]+$", ""), ended)
+        return let(F.rtrim(F.coalesce(*found, strip(cut)), F.lit("-•")), ended)
 
     trimmed = lambda own: F.when(F.length(own) <= limit, own).otherwise(let(strip_end(F.substr(own, F.lit(1), limit)), best))
     return F.when(limit <= 0, F.when(x.isNotNull(), F.lit(""))).otherwise(let(strip(x), trimmed))
@@ -279,11 +320,14 @@ def _upto(cut: Column, end: str, more: int, least: Column) -> Column:
 
 def plain_heading(x: Column) -> Column:
     """A line without heading marks and one pair of emphasis around it."""
-    own = F.regexp_replace(strip(x), r"(?U)^#+\s*", "")
-    own = F.when(F.rlike(own, F.lit(r"(?s)^\*\*.+\*\*$")) | F.rlike(own, F.lit(r"(?s)^__.+__$")), F.substr(own, F.lit(3), F.length(own) - 4)).otherwise(own)
-    for mark in (r"\*", "_"):
-        own = F.when(F.rlike(own, F.lit(rf"(?s)^{mark}.+{mark}$")), F.substr(own, F.lit(2), F.length(own) - 2)).otherwise(own)
-    return strip(own)
+
+    def bare(own: Column, *marks: str) -> Column:
+        """Without the first of the marks that stands at both ends with something between."""
+        around = [(m, F.startswith(own, F.lit(m)) & F.endswith(own, F.lit(m)) & (F.length(own) > 2 * len(m))) for m in marks]
+        return reduce(lambda rest, a: F.when(a[1], F.substr(own, F.lit(len(a[0]) + 1), F.length(own) - 2 * len(a[0]))).otherwise(rest), around[::-1], own)
+
+    single = lambda own: let(bare(own, "*"), lambda x: bare(x, "_"))
+    return strip(let(let(F.regexp_replace(strip(x), r"(?U)^#+\s*", ""), lambda own: bare(own, "**", "__")), single))
 
 
 def drop_leading_title(x: Column, title: Column) -> Column:
@@ -301,8 +345,9 @@ def drop_leading_title(x: Column, title: Column) -> Column:
         start = lambda at: let(rest(at), lambda n: F.when(n > 0, strip(join_lines(F.slice(own, at + n, F.greatest(F.size(own), F.lit(1)))))).otherwise(""))
         return let(first, lambda at: F.when(at > 0, start(at)).otherwise(strip(join_lines(own))))
 
-    marked = let(F.lower(collapse(F.coalesce(title, F.lit("")))), lambda key: let(lines(x), lambda own: F.struct(own.alias("lines"), F.transform(own, lambda line: told(strip(line), key)).alias("kinds"))))
-    return F.when(x.isNotNull(), let(marked, kept))
+    kinds = lambda found, key: F.struct(found.alias("lines"), F.transform(found, lambda line: told(strip(line), key)).alias("kinds"))
+    marked = lambda own: let(F.lower(collapse(F.coalesce(title, F.lit("")))), lambda key: let(lines(own), lambda found: kinds(found, key)))
+    return let(x, lambda own: F.when(own.isNotNull(), let(marked(own), kept)))
 
 
 def join_blocks(*blocks: Column) -> Column:

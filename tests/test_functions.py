@@ -1,7 +1,11 @@
 """Column rules against plain statements of them, on texts with Cyrillic letters, odd spaces, emoji and nulls."""
 
 import datetime as dt
+import html
+import random
+from html.entities import html5
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +172,66 @@ def test_variants(spark):
             assert text.endswith(f'<a href="{P.PROMO_URL}"><b>{P.PROMO_TEXT}</b></a>')
         if r.title == "Назва":
             assert r.with_image.count("Назва") == 1 and "x=1&amp;y=2" in r.with_image
+
+
+def test_unescape_is_the_librarys(spark):
+    numbers = [*range(300), 0xFEFF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFF, 0x10FFFF, 0x110000, 10**12]
+    said = [f"&{n.rstrip(';')}{end}" for n in sorted(html5) for end in ("", "x", ";")] + [f"&#{n}{end}" for n in numbers for end in (";", "", "z")] + [f"a&#x{n:X};" for n in numbers]
+    said += ["&#X1F600", "&#x0000000000041;", "&", "&&amp;", "&;", "&#;", "&#x;", "a & b", "&notit;", "&amp;lt;", "x&lt;y&gt", "&" + "a" * 40 + ";", "", "&amp &lt,", "&#12#;"]
+    r = random.Random(3)
+    said += ["".join(r.choice(("&", "am", "p", ";", "#", "6", "5", "x", "lt", " ", "not", "in", "é", "<")) for _ in range(r.randint(1, 9))) for _ in range(2000)]
+    assert run(spark, [*said, None], T.unescape) == [*map(html.unescape, said), None]
+
+
+def _fitted_by_rendering_again(header, review, link, tags, promo, most):
+    """The rule by trying: each limit rendered whole."""
+    limit = max(most - P.visible(P.blocks(header, link, tags, promo)) - 2, 0)
+    while True:
+        shown = P.to_html(P.trim(review, limit))
+        whole = P.blocks(header, shown, link, tags, promo)
+        over = P.visible(whole) - most
+        if over <= 0:
+            return whole
+        if limit <= 0:
+            return None  # what comes then does not render the review
+        limit = max(limit - over, 0)
+
+
+def test_previews_are_rendered_once():
+    """Running sums of lines give what rendering every trial whole gives, over random marks and over texts of the tables."""
+    r = random.Random(5)
+    marks = ("**", "*", "_", "`", "[a](https://b.org?c&d)", "\n", "\n\n", "- ", "# ", "1. ", "&", "<b>", "слово ", "word. ", "end! ", "x…", " ", "-", "•")
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 400))).strip() for _ in range(1500)]
+    texts += [t for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"]).text if t]
+    header, link, tags, promo = "<b>T &amp; t</b>", '<a href="l">x>></a>', "#a #b", "<b>p</b>"
+    for said in texts:
+        said, kinds = said.strip(), (r.choice((40, 90, 200)), 1024, 4096)
+        for most, got in zip(kinds, P.variants(header, said[: max(kinds) + 1], link, tags, promo, kinds)):
+            want = _fitted_by_rendering_again(header, said, link, tags, promo, most)
+            assert got == want if want is not None else P.visible(got) <= most
+
+
+def test_a_line_is_rendered_once(monkeypatch):
+    seen = []
+    own = P.line_html
+    monkeypatch.setattr(P, "line_html", lambda line: seen.append(line) or own(line))
+    said = "\n".join(f"**{i}** [a](b) " + "word & word " * 3 for i in range(90))
+    P.variants("<b>h</b>", said, "l", "#t", "p", (1024, 4096))
+    whole = [line for line in set(seen) if line.count("word") == 6]
+    # but for the lines that the cuts fall in, tried as ends of what is kept
+    assert len(whole) > 60 and sum(seen.count(line) > 1 for line in whole) <= 2
+
+
+def test_plain_heading(spark):
+    cases = {"## **Назва**": "Назва", "** a **": "a", "****": "**", "__x__": "x", "**_x_**": "x", "*": "*", "**": "**", "_*a*_": "*a*", "#a": "a", "***a***": "a"}
+    assert run(spark, list(cases), T.plain_heading) == list(cases.values())
+
+
+def test_dates_look_for_each_form(spark):
+    now = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    cases = {
+        "2024-01-15T10:20": "2024-01-15 08:20:00", "2024-01-15t10:20:30+0300": "2024-01-15 07:20:30", "x 2024-01-15T10:20Z y": "2024-01-15 10:20:00", "2024-01-15T10:20:3": "2024-01-15 08:20:00",
+        "15.01.2024, 10:20": "2024-01-15 08:20:00", "10:20 15/1/2024": "2024-01-14 22:00:00", "31.02.2024 10:00 15 січня 2024": None, "12:30 год.": "2024-05-06 09:30:00", "Сьогодні 12:30": "2024-05-06 09:30:00",
+        "15 січня 2024 р. о 10:20": "2024-01-15 08:20:00", "о 9:05, 1 черв. 2024 року": "2024-06-01 06:05:00", "15 ніколи 2024": None, "": None, "25:00": None,
+    }
+    assert run(spark, [*cases, None], lambda x: D.parse_ukrainian(x, now).cast("string")) == [*cases.values(), None]
