@@ -7,6 +7,7 @@ rendered previews), the query has no statement and the tests hold it against pla
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,8 +130,14 @@ def normalize_paragraphs(t):
     return t("documents").select("doc_id", T.normalize_paragraphs(F.col("text")).alias("body"))
 
 
-@query("""SELECT page_id, length(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br\\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'))::INT AS visible FROM pages""".replace("\\\\", "\\"))
+_NAMES = ", ".join("('{}', {})".format(n, len(said)) for n, said in sorted(html5.items()))
+
+
+@query(rf"""WITH n AS (SELECT map(list(name), list(size)) AS sizes FROM (VALUES {_NAMES}) v(name, size)),
+p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'), '&') AS parts FROM pages),
+r AS (SELECT page_id, length(parts[1]) AS before, list_transform(parts[2:], lambda x: {{'part': x, 'r': regexp_extract(x, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)', 1)}}) AS found FROM p),
+o AS (SELECT page_id, before, list_transform(found, lambda f: {{'part': f.part, 'r': CASE WHEN f.r LIKE '#%' OR map_contains(sizes, f.r) THEN f.r ELSE regexp_extract(f.r, '{T._OLD}', 1) END}}) AS found, sizes FROM r, n)
+SELECT page_id, (before + coalesce(list_sum(list_transform(found, lambda f: length(f.part) - length(f.r) + CASE WHEN map_contains(sizes, f.r) THEN sizes[f.r] ELSE 1 END)), 0))::INT AS visible FROM o""")
 def visible_length(t):
     return t("pages").select("page_id", T.visible_length(F.col("html")).alias("visible"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import preview as P
 from ..functions import text as T
 from ..functions import urls as U
 from ..sources import feeds
@@ -189,3 +190,46 @@ def reference_steps(t):
     rows = t("pages").select("page_id", base.alias("base"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))).alias("up"))
     link = F.concat(F.repeat(F.lit("../"), F.col("up").cast("int")), F.lit("./p"), F.col("page_id").cast("string"))
     return rows.select("page_id", "up", U.absolute(link, F.col("base")).alias("link"))
+
+
+def _last(x: str, what: str) -> str:
+    """Zero-based place of the last `what`, null if there is none."""
+    return f"CASE WHEN strpos({x}, {what}) > 0 THEN length({x}) - strpos(reverse({x}), {what}) END"
+
+
+def _fit(source: str, limit: str, most: int) -> str:
+    """SELECT of `source` (doc_id, own, least) with the review trimmed to `limit`, rendered, and what is over `most`."""
+    ends = [(f"'{e}'", 1, 0.4) for e in T.SENTENCE_ENDS] + [("chr(10)", 0, 0.3), ("' '", 0, 0.0)]
+    kept = ", ".join(f"CASE WHEN {_last('cut', e)} >= floor(most_kept * {least}::DOUBLE) THEN nullif(trim(substr(cut, 1, {_last('cut', e)} + {more}), {_WS}), '') END" for e, more, least in ends)
+    line = rf"CASE WHEN starts_with(l, '- ') THEN '• ' || trim(substr(l, 3), {_WS}) WHEN regexp_matches(l, '^\d+[.)]\s+') THEN regexp_replace(l, '^(\d+)[.)]\s+', '\1. ') ELSE l END"
+    return rf"""SELECT * EXCLUDE (cut, best, kept), least + length(shown) + CASE WHEN shown = '' THEN 0 ELSE 2 END - {most} AS over FROM (
+SELECT *, array_to_string(list_transform(string_split(kept, chr(10)), lambda l: {line}), chr(10)) AS shown FROM (
+SELECT *, CASE WHEN length(own) <= most_kept THEN own WHEN best = '' OR regexp_matches(best, '[.!?…]$') THEN best ELSE best || '…' END AS kept FROM (
+SELECT *, rtrim(coalesce({kept}, cut), '-•') AS best FROM (SELECT *, rtrim(substr(own, 1, most_kept), {_WS}) AS cut FROM (SELECT *, {limit} AS most_kept FROM ({source}))))))"""
+
+
+def _plain_preview(most: int) -> str:
+    """A trimmed text is at most the ellipsis over, so that a second trial fits."""
+    first = _fit("SELECT doc_id, own, least FROM r", f"{most} - least - 2", most)
+    again = _fit(f"SELECT doc_id, own, least, most_kept - greatest(over, 0) AS rest FROM ({first})", "rest", most)
+    return f"SELECT doc_id, shown FROM ({again})"
+
+
+_AROUND = len(f"читати далі>>#a #b{P.PROMO_TEXT}") + 6
+
+
+def _shown(x: str) -> str:
+    tail = f'</a>\n\n#a #b\n\n<a href="{P.PROMO_URL}"><b>{P.PROMO_TEXT}</b></a>'.replace("\n", "' || chr(10) || '")
+    return f"'<b>Документ ' || doc_id || '</b>' || chr(10) || chr(10) || CASE WHEN {x} = '' THEN '' ELSE {x} || chr(10) || chr(10) END || '<a href=\"https://example.org/' || doc_id || '\">читати далі>>{tail}'"
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'Документ ' || doc_id AS title, translate(coalesce(text, ''), '*_`[]&<>#', '') AS text, {_WS} AS ws FROM documents),
+l AS (SELECT doc_id, {_key("title")} AS key, {_lines(_TIDY.format("text"))} AS lines, length(title) + {_AROUND} AS least FROM d),
+r AS (SELECT doc_id, {_stripped("lines", "key")} AS own, least FROM l)
+SELECT doc_id, {_shown("a.shown")} AS with_image, {_shown("b.shown")} AS without_image FROM ({_plain_preview(P.WITH_IMAGE)}) a JOIN ({_plain_preview(P.WITHOUT_IMAGE)}) b USING (doc_id)""")
+def preview_plain(t):
+    """Previews of whole texts without inline marks: cleaned, trimmed until they fit, bullets and numbers rendered."""
+    own = F.col("doc_id").cast("string")
+    docs = t("documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "*_`[]&<>#", "").alias("text"))
+    shown = P.with_variants(docs, F.concat(F.lit("Документ "), own), F.col("text"), F.concat(F.lit("https://example.org/"), own), F.lit("#a #b"))
+    return shown.select("doc_id", "with_image", "without_image")

@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import escape, unescape
+from itertools import islice
 from urllib.parse import quote_plus
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -50,6 +51,12 @@ ENTRIES = ArrayType(StructType([StructField(n, StringType()) for n in ("link", "
 _BARE = re.compile(r"&(?!#\d+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)")
 _ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
 _XML_NAMES = {"amp", "lt", "gt", "quot", "apos"}
+_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+#: What can hold the tags of an item, and those tags.
+_EDGE = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<(?P<end>/?)(?:[\w.-]+:)?(?P<name>item|entry)(?=[\s/>])[^>]*>", re.S | re.I)
+_FIELD = re.compile(r"<(?:[\w.-]+:)?(link|title|description|summary|pubdate|published|updated|date)(?=[\s>/])([^>]*?)(?:/>|>(.*?)</(?:[\w.-]+:)?\1\s*>)", re.S | re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
+_RAW = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
 
 
 def topic_feeds(spark: SparkSession, pattern: str, topics: dict[str, str] = TOPICS, enabled: bool = True) -> DataFrame:
@@ -62,36 +69,57 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1].lower()
 
 
-def _items(body: str) -> list[ElementTree.Element]:
-    """Items or entries in order. Of a feed that is not well-formed, those that are whole: bare ampersands and names of
-    HTML's entities are mended first, then the items before the first fault count."""
-    mended = _ENTITY.sub(lambda m: m[0] if m[1] in _XML_NAMES else escape(unescape(m[0])), _BARE.sub("&amp;", body.strip()))
-    reader, found = ElementTree.XMLPullParser(["end"]), []
+def _items(body: str) -> Iterator[str]:
+    """Items or entries as they are written, in order, each found when it is asked for. One that is not closed ends where
+    the next begins, or with the feed; items behind a fault are found like any other."""
+    start = None
+    for m in _EDGE.finditer(body):
+        if not m["name"]:
+            continue
+        if not m["end"]:
+            if start is not None:
+                yield body[start : m.start()]
+            start = m.start()
+        if start is not None and (m["end"] or m[0].endswith("/>")):
+            yield body[start : m.end()]
+            start = None
+    if start is not None:
+        yield body[start:]
+
+
+def _fields(item: str) -> dict[str, str | None]:
+    """The first of each field. Bare ampersands and names of HTML's entities are mended; of an item that is no XML even then,
+    the fields that are closed count, read as they stand."""
+    mended = _ENTITY.sub(lambda m: m[0] if m[1] in _XML_NAMES else escape(unescape(m[0])), _BARE.sub("&amp;", item))
+    names = " ".join(f'xmlns:{p}="urn:{p}"' for p in sorted(set(_PREFIX.findall(mended)) - {"xml", "xmlns"}))
+    own: dict[str, str | None] = {}
     try:
-        reader.feed(mended)
-        for _, x in reader.read_events():  # raises at the fault, behind what was whole
-            if _local(x.tag) in ("item", "entry"):
-                found.append(x)
+        for x in ElementTree.fromstring(f"<feed {names}>{mended}</feed>")[0]:
+            own.setdefault(_local(x.tag), (x.text or x.attrib.get("href") or "").strip() or None)
     except (ElementTree.ParseError, ValueError):
-        pass
-    return found
+        for name, attributes, said in _FIELD.findall(item):
+            href = _HREF.search(attributes)
+            text = _RAW.sub(lambda m: escape(m[1]), said) or (href[1] or href[2] or "" if href else "")
+            own.setdefault(name.lower(), unescape(text).strip() or None)
+    return own
 
 
-def _entries(body: str | None) -> list[dict]:
-    """RSS items or Atom entries in order, whole ones only."""
+def _entries(body: str | None, most: int) -> list[dict]:
+    """The first RSS items or Atom entries; what stands behind them is not looked at."""
     out = []
-    for item in _items(body or ""):
-        own: dict[str, str | None] = {}
-        for x in item:
-            own.setdefault(_local(x.tag), (x.text or x.attrib.get("href") or "").strip() or None)
+    for own in map(_fields, islice(_items(body or ""), most)):
         out.append({"link": own.get("link"), "title": own.get("title"), "summary": own.get("description") or own.get("summary"), "published": own.get("pubdate") or own.get("published"), "updated": own.get("updated") or own.get("date")})
-    return out
+    return [e for e in out if any(e.values())]
+
+
+def feed_entries(body: Column, most: int = FIRST_ENTRIES) -> Column:
+    """An array of the first entries of a feed's text."""
 
+    @pandas_udf(ENTRIES)
+    def read(given: pd.Series) -> pd.Series:
+        return pd.Series([_entries(b, most) for b in given])
 
-@pandas_udf(ENTRIES)
-def feed_entries(body: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for own in body:
-        yield pd.Series([_entries(b) for b in own])
+    return read(body)
 
 
 def feed_time(x):
@@ -106,7 +134,7 @@ def entries(feeds: DataFrame, most: int = FIRST_ENTRIES) -> DataFrame:
 
     The time is that of publication where there is one, even a broken one (then null), else that of the last change.
     """
-    found = available(feeds).where("available").select("source", F.posexplode(feed_entries("body")).alias("pos", "e")).where(F.col("pos") < most)
+    found = available(feeds).where("available").select("source", F.posexplode(feed_entries(F.col("body"), most)).alias("pos", "e"))
     stamp = F.when(F.col("e.published").isNotNull(), feed_time(F.col("e.published"))).otherwise(feed_time(F.col("e.updated")))
     return found.select("source", "pos", "e.link", "e.title", "e.summary", stamp.alias("published"))
 

@@ -1,6 +1,7 @@
 """Extraction rules on small pages of our own."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -125,12 +126,30 @@ def test_feeds(spark):
 def test_faulty_feeds(spark):
     item = lambda n, title: f"<item><link>https://a.org/{n}</link><title>{title}</title></item>"
     whole = "<rss><channel>" + item(1, "a & b &amp; c&nbsp;d &#8211; R&D; &copy;") + item(2, "x")
-    df = spark.createDataFrame([("cut", whole + "<item><link>https"), ("crossed", whole + "<item></channel>" + item(3, "y")), ("empty", ""), ("none", None)], "source string, body string")
+    broken = {
+        "cut": "<item><link>https",  # nothing of it is closed
+        "crossed": "<item></channel>" + item(3, "x"),
+        "third": "<item><link>https://a.org/3</link><title>x</title><description><b>y</description></item>" + "".join(item(i, "x") for i in range(4, 26)),
+        "open": "<item><link>https://a.org/3</link><title>x</title>" + item(4, "x"),
+        "prefix": '<item><media:content url="u"/><link>https://a.org/3</link><dc:title><![CDATA[x]]></dc:title></item>',
+        "held": "<item><link>https://a.org/3</link><title>x</title><description><![CDATA[</item><item>]]></description></item><!-- <item> -->" + item(4, "x"),
+        "atom": "<entry><link rel='alternate' href='https://a.org/3'/><title>x</title><summary><p></summary></entry>",
+    }
+    df = spark.createDataFrame([(k, whole + v) for k, v in broken.items()] + [("empty", ""), ("none", None), ("items", "<items/><item/>")], "source string, body string")
     got = feeds.entries(df.selectExpr("source", "200 AS status", "'h' AS final_host", "cast(null AS string) AS error", "body")).collect()
-    assert sorted((r.source, r.pos, r.link[-1]) for r in got) == [(s, p, str(p + 1)) for s in ("crossed", "cut") for p in (0, 1)]
+    most = {"cut": 2, "crossed": 3, "third": 20, "open": 4, "prefix": 3, "held": 4, "atom": 3}
+    assert sorted((r.source, r.pos, r.link) for r in got) == sorted((s, i, f"https://a.org/{i + 1}") for s, n in most.items() for i in range(n))
     assert {r.title for r in got} == {"a & b & c\xa0d – R&D; ©", "x"}
 
 
+def test_long_feeds_are_read_to_the_entries_asked_for():
+    one = "<item><link>https://a.org</link><title>t</title></item>"
+    found = feeds._items("<rss>" + one * 400_000)  # 22 MB
+    start = time.perf_counter()
+    assert [next(found) for _ in range(20)] == [one] * 20
+    assert time.perf_counter() - start < 0.1
+
+
 def test_merged_listings(spark):
     rows = [(2, 0, "u1", "late"), (1, 0, "u1", "first"), (1, 1, "u2", "x")]
     df = spark.createDataFrame(rows, "page_id int, pos int, url string, title string")
