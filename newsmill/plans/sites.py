@@ -36,6 +36,17 @@ def topic_feeds(t):
     return feeds.topic_feeds(t("region").sparkSession, "https://search.example/rss?q={query}&hl=uk")
 
 
+_SEEDS = ", ".join(f"('{url}')" for url in feeds.SEED_FEEDS)
+
+
+@query(f"""SELECT NULL AS topic, url FROM (VALUES {_SEEDS}) v(url)
+UNION ALL SELECT DISTINCT source, 'https://search.example/rss?q=' || replace(url_encode('("' || source || '" OR *~' || lang || ') site:tax.gov.ua'), '%20', '+') || '&hl=uk' FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+def feeds_to_read(t):
+    """The seed feeds, and a search feed for each source and language of the documents."""
+    said = F.concat(F.lit('("'), "source", F.lit('" OR *~'), "lang", F.lit(") site:tax.gov.ua"))
+    return feeds.feeds_to_read(t("documents").select(F.col("source").alias("topic"), said.alias("query")), "https://search.example/rss?q={query}&hl=uk")
+
+
 _SAID = [f"Paragraph {i} of the article says what the bank decided about matter {i} and why it did so in the end." for i in range(4)]
 _BODY = " || chr(10) || chr(10) || ".join([f"'{p}'" for p in _SAID] + ["'• Point ' || page_id"])
 

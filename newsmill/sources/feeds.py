@@ -65,6 +65,16 @@ def topic_feeds(spark: SparkSession, pattern: str, topics: dict[str, str] = TOPI
     return spark.createDataFrame(rows, "topic string, url string")
 
 
+def feeds_to_read(topics: DataFrame, pattern: str, seeds: tuple[str, ...] = SEED_FEEDS) -> DataFrame:
+    """(topic, url) of the seed feeds, which have no topic, and of a search feed for each row of topics(topic, query);
+    `pattern` holds {query}. Rows without a query have none, and equal rows count once."""
+    # as forms are encoded, but that a star is and a tilde is not
+    words = F.replace(F.replace(F.url_encode("query"), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    found = topics.where(F.col("query").isNotNull()).select("topic", F.replace(F.lit(pattern), F.lit("{query}"), words).alias("url")).distinct()
+    seeded = topics.sparkSession.createDataFrame([(u,) for u in seeds], "url string")
+    return seeded.select(F.lit(None).cast(topics.schema["topic"].dataType).alias("topic"), "url").unionByName(found)
+
+
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1].lower()
 

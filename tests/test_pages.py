@@ -2,6 +2,7 @@
 
 import datetime as dt
 import time
+from urllib.parse import quote_plus
 
 from pyspark.sql import functions as F
 
@@ -123,6 +124,15 @@ def test_feeds(spark):
     assert feeds.staged(pages).select("html", "fetch_url").first() == ("two", "https://www.tax.gov.ua/x?y")
 
 
+def test_feeds_to_read(spark):
+    said = ["a b", 'x "y" & (z)', "*~-_.", "податки+%", None, "a b"]
+    topics = spark.createDataFrame([(str(i % 5), q) for i, q in enumerate(said)], "topic string, query string")
+    got = feeds.feeds_to_read(topics, "https://n.org/rss?q={query}&hl", seeds=("https://s.org/",)).collect()
+    want = {(str(i), f"https://n.org/rss?q={quote_plus(q)}&hl") for i, q in enumerate(said[:4])} | {(None, "https://s.org/")}
+    assert len(got) == 5 and set(map(tuple, got)) == want
+    assert feeds.feeds_to_read(topics.limit(0), "{query}").count() == len(feeds.SEED_FEEDS)
+
+
 def test_faulty_feeds(spark):
     item = lambda n, title: f"<item><link>https://a.org/{n}</link><title>{title}</title></item>"
     whole = "<rss><channel>" + item(1, "a & b &amp; c&nbsp;d &#8211; R&D; &copy;") + item(2, "x")
