@@ -72,6 +72,19 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(sample: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """Rows of sample(text, ...) in the order of their hash, as many as stay within both bounds; equal rows go together."""
+    place = F.xxhash64(*sample.columns)
+    first = sample.select(place.alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("place").limit(most_rows).collect()
+    within, held = [], 0
+    for row in first:
+        held += row["n"]
+        if held > most_bytes:
+            break
+        within.append(row["place"])
+    return sample.where(place <= within[-1]) if within else sample.limit(0)
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, with as many underscores behind as it takes to differ from the columns', case apart."""
     taken, out = {c.lower() for c in columns}, []

@@ -3,9 +3,9 @@
 Grades: 0 for documents labelled clean; toxic ones get 1, or 2 where they hold more toxic words than the middle toxic
 document. One weight a feature is shared by all thresholds: P(grade <= k) = logistic(threshold_k - weights . counts).
 Features are words, beginnings of words (`^stem`, PREFIXES letters, for insults that inflect or compound) and
-beginnings that a text has at least twice (`^^stem`). The model is fitted on MOST_LABELS labelled documents at most,
-those whose ids hash lowest; its features are the MOST_WORDS most telling of that sample. Both are defaults of parameters of
-`fit`; None keeps all telling features. All documents are scored whole.
+beginnings that a text has at least twice (`^^stem`). The model is fitted on MOST_LABELS labelled documents and MOST_BYTES
+of text at most, those whose ids hash lowest; its features are all that tell in that sample. The bounds are defaults of
+parameters of `fit`. All documents are scored whole.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, prepare, strings, table, written
+from .common import WordCache, bounded, prepare, strings, table, written
 
-MOST_LABELS, MOST_WORDS, GRADES = 20_000, 512, 3
+MOST_LABELS, MOST_BYTES, GRADES = 20_000, 1 << 28, 3
 PREFIXES = (5, 6, 7)
 #: A word tells if its log odds stand so many standard errors from zero.
 TELLING = 4.0
@@ -79,21 +79,25 @@ class Model:
 
 def fit_ordinal(rows: list[list[tuple[int, int]]], grade: np.ndarray, n_words: int, grades: int = GRADES, steps: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by gradient steps (Adam) on the mean log likelihood. rows: (word, count) pairs."""
-    x = np.zeros((len(rows), n_words), np.float32)
-    for i, row in enumerate(rows):
-        for j, n in row:
-            x[i, j] = np.log1p(n)
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    pairs = np.array([p for row in rows for p in row], np.int64).reshape(-1, 2)
+    return fit_sparse(sizes, pairs[:, 0], pairs[:, 1], grade, n_words, grades, steps, rate, ridge)
+
+
+def fit_sparse(sizes: np.ndarray, word: np.ndarray, n: np.ndarray, grade: np.ndarray, n_words: int, grades: int = GRADES, steps: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """The same of rows one behind the other: sizes[i] words and their counts belong to row i."""
+    rows, row, x = len(sizes), np.repeat(np.arange(len(sizes)), sizes), np.log1p(n)
     share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / max(1, len(grade)), 0.01, 0.99)
     first = np.log(share / (1 - share))
     # thresholds rise: the first, then logarithms of the gaps
     theta = np.concatenate((np.zeros(n_words), first[:1], np.log(np.maximum(np.diff(first), 0.05))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    at = np.arange(len(rows))
-    for t in range(1, steps + 1 if len(rows) else 1):
+    at = np.arange(rows)
+    for t in range(1, steps + 1 if rows else 1):
         gaps = np.exp(theta[n_words + 1 :])
         cut = theta[n_words] + np.concatenate(([0], np.cumsum(gaps)))
-        below = 1 / (1 + np.exp(np.clip((x @ theta[:n_words].astype(np.float32))[:, None] - cut, -50, 50)))
-        edge = np.concatenate((np.zeros((len(rows), 1)), below, np.ones((len(rows), 1))), axis=1)
+        below = 1 / (1 + np.exp(np.clip(np.bincount(row, x * theta[word], rows)[:, None] - cut, -50, 50)))
+        edge = np.concatenate((np.zeros((rows, 1)), below, np.ones((rows, 1))), axis=1)
         slope = edge * (1 - edge)
         p = np.maximum(edge[at, grade + 1] - edge[at, grade], 1e-9)
         up, down = slope[at, grade + 1] / p, slope[at, grade] / p
@@ -101,24 +105,26 @@ def fit_ordinal(rows: list[list[tuple[int, int]]], grade: np.ndarray, n_words: i
         for k in range(len(cut)):
             d_cut[k] = up[grade == k].sum() - down[grade == k + 1].sum()
         gradient = np.empty_like(theta)
-        gradient[:n_words] = -((up - down).astype(np.float32) @ x) / len(rows) - 2 * ridge * theta[:n_words]
-        gradient[n_words] = d_cut.sum() / len(rows)
-        gradient[n_words + 1 :] = gaps * np.cumsum(d_cut[::-1])[::-1][1:] / len(rows)
+        gradient[:n_words] = -np.bincount(word, x * (up - down)[row], n_words) / rows - 2 * ridge * theta[:n_words]
+        gradient[n_words] = d_cut.sum() / rows
+        gradient[n_words + 1 :] = gaps * np.cumsum(d_cut[::-1])[::-1][1:] / rows
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) / (1 + t / 100)
     return theta[:n_words], theta[n_words] + np.concatenate(([0], np.cumsum(np.exp(theta[n_words + 1 :]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most_words: int | None = MOST_WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most_words: int | None = None, most_bytes: int = MOST_BYTES) -> Model:
     """Of the documents that labels(doc_id, toxic) knows; of several labels of an id the greatest holds.
 
-    Rows with equal id and text count once; null ids and labels do not. Features of equal weight go by name. Without labels, or
+    Rows with equal id and text count once; null ids and labels do not. Of ids with many texts as many rows count as the
+    bounds let in. most_words keeps that many most telling features only. Features of equal weight go by name. Without labels, or
     with those of one kind only, no word has a weight and every document is clean.
     """
     prepare(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     sample = written(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic"), "labelled")
+    sample = bounded(sample, most_labels, most_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Counter(), Counter()
@@ -142,17 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most
         known = Index(index)
         for b in batches:
             own = [known.of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array([[j for j, _ in r] for r in own], pa.list_(pa.int64())), pa.array([[n for _, n in r] for r in own], pa.list_(pa.int64()))], ["toxic", "word", "n"])
-
-    # at most most_labels ids' rows of at most most_words numbers, in an order of their own
-    rows = sorted((r["toxic"], list(zip(r["word"], r["n"], strict=True))) for r in sample.mapInArrow(pick, "toxic long, word array<long>, n array<long>").collect()) if told else []
-    held = np.array([sum(n for j, n in r if j in toxic_words) for _, r in rows])
-    toxic = np.array([t > 0 for t, _ in rows], bool)
-    middle = np.median(held[toxic]) if toxic.any() else 0
-    grade = np.where(toxic, 1 + (held > middle), 0).astype(int) if len(rows) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), b.column(2), pa.array([[j for j, _ in r] for r in own], pa.list_(pa.int64())), pa.array([[n for _, n in r] for r in own], pa.list_(pa.int64()))], ["toxic", "place", "word", "n"])
+
     if not told:
         return Model({}, np.zeros(0), np.array([20.0, 21.0]))
-    return Model(index, *fit_ordinal([r for _, r in rows], grade, len(told)))
+    # numbers of a bounded sample, in an order of their own
+    picked = sample.withColumn("place", F.xxhash64("text")).mapInArrow(pick, "toxic long, place long, word array<long>, n array<long>").toArrow().sort_by([("toxic", "ascending"), ("place", "ascending")]).combine_chunks()
+    lists = [picked.column(c).combine_chunks() for c in ("word", "n")]
+    word, n = (x.flatten().to_numpy() for x in lists)
+    sizes, toxic = np.diff(lists[0].offsets.to_numpy()), picked.column("toxic").to_numpy() > 0
+    bad = np.isin(word, [*toxic_words])
+    held = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[bad], n[bad], len(sizes))
+    grade = np.where(toxic, 1 + (held > np.median(held[toxic])), 0)
+    return Model(index, *fit_sparse(sizes, word, n, grade, len(told)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

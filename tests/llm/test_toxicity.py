@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from newsmill.llm import toxicity
+from newsmill.llm.common import bounded
 
 from .helpers import empty, folder, odd
 
@@ -93,3 +94,22 @@ def test_empty_tables(spark, tmp_path):
         (tmp_path / name).mkdir()
         found = toxicity.query(spark, folder(tmp_path / name, documents=docs, labels=labels)).collect()
         assert len(found) == docs.count() and not any(r.is_toxic for r in found)
+
+
+def test_samples_stay_within_their_bounds_where_one_id_has_most_rows(spark):
+    rows = [(7, f"plain words {i}", "x") for i in range(300)] + [(i, "you awful idiot", "x") for i in range(1, 6)] + [(None, "lost", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
+    labels = spark.createDataFrame([(7, 1, 0), *((i, 1, 1) for i in range(1, 6))], LABELS)
+    sample = docs.dropDuplicates(["text"]).select("text")
+    assert bounded(sample, 40, 1 << 20).count() == 40 and bounded(sample, 400, 1 << 20).count() == 302
+    assert bounded(sample, 400, 500).agg({"text": "count"}).first()[0] < 50 and bounded(sample, 400, 0).count() == 0
+    model = toxicity.fit(docs, labels)
+    assert model.grades(["you idiot"])[0, 0] < 0.5 < model.grades(["plain words"])[0, 0]
+    assert toxicity.fit(docs, labels, most_bytes=0).index == {}
+
+
+def test_more_features_than_512_are_kept(spark):
+    rows = [(i, " ".join(f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)), a) for i, a in enumerate("xy" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    labels = docs.selectExpr("doc_id", "1 quality", "cast(kind = 'x' as int) toxic")
+    assert len(toxicity.fit(docs, labels).index) == 1200 and len(toxicity.fit(docs, labels, most_words=10).index) == 10
