@@ -5,13 +5,13 @@ frequency there, or PENALTY; if none does, its n-grams of N characters (a space
 ones, and the first length of which some language knows any decides by the mean over those known. A text takes the
 language of least mean cost over its words.
 
-Counts are learned from MOST_TRAIN texts at most, those whose ids hash lowest; a language keeps its MOST_WORDS most
-frequent words and MOST_GRAMS n-grams. These are defaults of parameters of `fit`; None keeps all. So the model has a bound;
-prediction reads whole texts.
+Counts are learned from MOST_TRAIN texts and MOST_BYTES of text at most, those whose ids hash lowest; all words and n-grams
+of that sample are kept, so its bounds are the model's. They are defaults of parameters of `fit`. Prediction reads whole texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, prepare, strings, table, written
+from .common import WordCache, bounded, prepare, strings, table, written
 
-MOST_TRAIN, MOST_WORDS, MOST_GRAMS, N, PENALTY = 20_000, 20_000, 20_000, 4, 7.0
+MOST_TRAIN, MOST_BYTES, N, PENALTY = 20_000, 1 << 28, 4, 7.0
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -63,13 +63,16 @@ class Costs:
 
 @dataclass
 class Model:
-    """words and grams: {number of a language: cost} for those languages that know them."""
+    """words and grams: {number of a language: cost} for those languages that know them. Tasks get the tables alone."""
 
     languages: list[str]
     words: dict[str, dict[int, float]]
     grams: dict[str, dict[int, float]]
     n: int = N
 
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages, "words": {}, "grams": {}, "n": self.n, "tables": self.tables}
+
     @cached_property
     def tables(self) -> tuple[Costs, Costs]:
         return Costs(self.words), Costs(self.grams)
@@ -118,16 +121,18 @@ class Model:
         return langs, scores
 
 
-def fit(train: DataFrame, most_train: int = MOST_TRAIN, most_words: int | None = MOST_WORDS, most_grams: int | None = MOST_GRAMS) -> Model:
+def fit(train: DataFrame, most_train: int = MOST_TRAIN, most_words: int | None = None, most_grams: int | None = None, most_bytes: int = MOST_BYTES) -> Model:
     """Of train(doc_id, text, lang), rows with an id, a language and a text.
 
-    Rows with equal id, text and language count once; words of equal frequency go by name. Without such rows the model has no
+    Rows with equal id, text and language count once; of ids with many texts as many rows count as the bounds let in.
+    most_words and most_grams keep that many a language only, the most frequent; those of equal frequency go by name. Without such rows the model has no
     language and every text is `und`.
     """
     prepare(train.sparkSession)
     train = train.where("lang IS NOT NULL AND text IS NOT NULL")
     ids = train.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_train)
-    some = train.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates().select("text", "lang")
+    some = written(train.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates().select("text", "lang"), "learned")
+    some = bounded(some, most_train, most_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(own: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +163,9 @@ def fit(train: DataFrame, most_train: int = MOST_TRAIN, most_words: int | None =
     within = [(F.col("kind") == kind) & (place <= most) for kind, most in ((0, most_words), (1, most_grams)) if most is not None]
     unbounded = [F.col("kind") == kind for kind, most in ((0, most_words), (1, most_grams)) if most is None]
     tables: tuple[dict[str, dict[int, float]], ...] = ({}, {})
-    for r in counts.withColumn("stays", reduce(or_, within + unbounded)).where("stays").select("lang", "kind", "size", "item", "n").collect():
-        tables[r["kind"]].setdefault(r["item"], {})[languages.index(r["lang"])] = -np.log10(r["n"] / totals[r["lang"], r["kind"], r["size"]])
+    kept = counts.withColumn("stays", reduce(or_, within + unbounded)).where("stays").select("lang", "kind", "size", "item", "n").toArrow()
+    for lang, kind, size, item, n in zip(*(c.to_pylist() for c in kept.columns), strict=True):
+        tables[kind].setdefault(item, {})[languages.index(lang)] = -math.log10(n / totals[lang, kind, size])
     return Model(languages, *tables)
 
 

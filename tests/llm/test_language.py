@@ -1,4 +1,5 @@
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -110,3 +111,18 @@ def test_a_small_cache_and_many_words_at_once_change_nothing():
         langs, scores = model.predict(texts, WordCache(model.cost, most))
         assert langs == [x[0] for x, _ in alone] and scores == [y[0] for _, y in alone]
     assert model.costs([]).shape == (0, 2)
+
+
+def test_tasks_get_the_tables_and_give_the_same_answers():
+    model = language.Model(["a", "b"], {"cat": {0: 1.0}}, {"ca": {1: 1.0}, "d": {0: 2.0, 1: 3.0}}, 2)
+    sent = pickle.loads(pickle.dumps(model))
+    texts = ["cat car dx zz", "dx dx cat", "zz", ""]
+    assert sent.words == {} and sent.predict(texts, sent.cache) == model.predict(texts, WordCache(model.cost))
+
+
+def test_all_words_of_a_sample_are_kept_and_its_bytes_are_bounded(spark):
+    named = lambda a, i: f"{a}{i}".translate(str.maketrans("0123456789", "abcdefghij"))
+    rows = [(i, " ".join(named("x", 100 * i + k) for k in range(100)), "en") for i in range(250)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.fit(train).words) == 25_000
+    assert 0 < len(language.fit(train, most_bytes=20_000).words) < 5_000
