@@ -1,5 +1,6 @@
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from newsmill.llm import chat
@@ -73,3 +74,12 @@ def test_attachments_of_parts_are_read_back(spark):
     row = chat.read_chats(chat.format_chats(rows)).first()
     assert [a.ref for a in row.attachments] == ["p0", "p0", "p1", "p1", "p2", "p2"] and row.expanded_tokens == 12
     assert row.formatted.count("<|image|>") == 6 and row.loss_text == "# look: <|image|><|image|>" * 3
+
+
+def test_sql_puts_rows_without_a_turn_first_too(spark, tmp_path):
+    rows = [(1, 2, "user", "b # </x>", None), (1, None, "user", "a <| \\", None), (1, None, "assistant", "yes", None), (1, 0, "assistant", None, None), (None, 0, "system", "", None)]
+    d = folder(tmp_path, conversations=spark.createDataFrame(rows, ROWS))
+    found = sorted(map(tuple, chat.query(spark, d).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{d}/conversations.parquet')")
+    assert found == sorted(con.execute(chat.SQL).fetchall(), key=str)
