@@ -24,6 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, Strin
 
 from . import text as T
 from . import urls as U
+from .batches import parts
 
 NODE = StructType([
     *[StructField(n, IntegerType()) for n in ("id", "parent", "depth", "stop")], StructField("kids", ArrayType(IntegerType())), StructField("tag", StringType()), StructField("attrs", MapType(StringType(), StringType())),
@@ -141,9 +142,10 @@ _ARROW = to_arrow_type(PAGE)
 
 @arrow_udf(PAGE)
 def parse_page(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for own in html:
-        # node by node, so that no more than one page stands as Python objects
-        yield pa.concat_arrays([pa.array([nodes_of(x.as_py())], _ARROW) for x in own] or [pa.array([], _ARROW)])
+    for batch in html:
+        for own in parts(batch):
+            # page by page, so that no more than one stands as Python objects
+            yield pa.concat_arrays([pa.array([nodes_of(x.as_py())], _ARROW) for x in own] or [pa.array([], _ARROW)])
 
 
 def said(page: Column, n: Column) -> Column:

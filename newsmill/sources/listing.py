@@ -10,16 +10,18 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import dates as D
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.batches import parts
 
 BANK, TAX = "https://bank.gov.ua", "https://tax.gov.ua"
 # Where the bank's cards keep titles and summaries.
@@ -27,6 +29,7 @@ BANK_TITLES = ("news-list__item-title", "news-card__title", "news-item__title",
 BANK_SUMMARIES = ("news-list__item-desc", "news-card__text", "news-item__text", "news__text", "news__summary", "news-feed__item-text", "article__summary")
 _BOXES = ("article", "div", "li", "section")
 _LD = ArrayType(StructType([StructField(n, StringType()) for n in ("url", "title", "published", "summary")]))
+_ARROW = to_arrow_type(_LD)
 
 
 def _walk(data: object, deep: bool) -> Iterator[dict]:
@@ -75,14 +78,20 @@ def _articles(scripts: list[str], deep: bool) -> list[dict]:
     return out
 
 
-@pandas_udf(_LD)
-def ld_all(scripts: pd.Series) -> pd.Series:
-    return pd.Series([_articles(list(s), True) for s in scripts])
+def _found(scripts: Iterator[pa.Array], deep: bool) -> Iterator[pa.Array]:
+    for batch in scripts:
+        for own in parts(batch):
+            yield pa.array([_articles(s, deep) for s in own.to_pylist()], _ARROW)
 
 
-@pandas_udf(_LD)
-def ld_top(scripts: pd.Series) -> pd.Series:
-    return pd.Series([_articles(list(s), False) for s in scripts])
+@arrow_udf(_LD)
+def ld_all(scripts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _found(scripts, True)
+
+
+@arrow_udf(_LD)
+def ld_top(scripts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _found(scripts, False)
 
 
 def _has_class(n: Column, name: str) -> Column:
