@@ -4,6 +4,7 @@ import pyarrow as pa
 
 from newsmill.functions import batches
 from newsmill.functions import html as H
+from newsmill.functions import preview as P
 from newsmill.sources import listing
 
 
@@ -28,3 +29,12 @@ def test_scripts_are_handed_on_in_parts():
         found = list(f.func(iter([pa.array(scripts, pa.list_(pa.string()))])))
         assert max(map(len, found)) <= batches.ROWS
         assert [[x["url"] for x in own] for p in found for own in p.to_pylist()] == [[f"u{i}"] * (i % 3) for i in range(1000)]
+
+
+def test_previews_are_handed_on_in_parts():
+    rows = [{"header": f"<b>{i}</b>", "review": "text " * 50, "link": "l", "tags": "#a"} for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(rows)], ["id", "parts"])
+    found = list(P.with_both(iter([batch, batch.slice(0, 0)]), "promo", (100, 200)))
+    assert max(b.num_rows for b in found) <= batches.ROWS
+    assert [x for b in found for x in b.column("id").to_pylist()] == list(range(1000))
+    assert all(x.startswith(f"<b>{i}</b>") for i, x in enumerate(x for b in found for x in b.column("with_image").to_pylist()))
