@@ -14,7 +14,6 @@ encoding.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import uuid
@@ -28,6 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import crc, give_back, made_table, new_path, prepare, strings, table, tokenizer_path
 
 SPACE = "▁"
@@ -39,6 +39,8 @@ CACHED = 150_000
 #: An edge is one number: end, begin, id of the piece, BITS bits each. An end of a piece: piece, rank of the merge that takes it.
 BITS = 20
 NEVER = (1 << BITS) - 1
+#: Slots that joins are filed in.
+SLOTS = 1 << 16
 _WORD = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)")
 
 
@@ -222,26 +224,26 @@ def _high(x: Column) -> Column:
     return F.shiftright(x, BITS)
 
 
-def constant(rows: list[list[int]]) -> Column:
-    """A list of lists as one literal, of the vocabulary's size."""
-    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), "array<array<bigint>>")
-
-
-def joined_before(v: Vocabulary):
-    """The condition on two edges, one behind the other, that a piece would join an end of the one to an end of the other."""
-    slots = 1 << 16
-    ends = [constant([[i << BITS | m for i, m in own] for own in side]) for side in (v.right, v.left)]
-    filed: list[list[int]] = [[] for _ in range(slots)]
+def merges(spark: SparkSession, v: Vocabulary) -> Column:
+    """(right, left, joins) of the vocabulary as one value: ends by id, and joins by slot. It comes from a subquery, for literals of that
+    size would be printed whole with every state of the plan, which the driver keeps."""
+    filed: list[list[int]] = [[] for _ in range(SLOTS)]
     for (r, x), m in v.joins.items():
-        filed[(r * 31 + x * 17) % slots].append((r << BITS | x) << BITS | m)
-    joins = constant(filed)
+        filed[(r * 31 + x * 17) % SLOTS].append((r << BITS | x) << BITS | m)
+    right, left = ([[i << BITS | m for i, m in own] for own in side] for side in (v.right, v.left))
+    kind = pa.list_(pa.list_(pa.int64()))
+    row = pa.table({k: pa.array([x], kind) for k, x in (("right", right), ("left", left), ("joins", filed))})
+    return spark.createDataFrame(row).select(F.struct("right", "left", "joins")).scalar()
 
+
+def joined_before(known: Column, before: Column, edge: Column) -> Column:
+    """Of two edges, one behind the other: whether a piece would join an end of the one to an end of the other. known: `merges`."""
     def found(r: Column, x: Column) -> Column:
         pair = F.shiftleft(_high(r), BITS).bitwiseOR(_high(x))
-        slot = (_high(r) * 31 + _high(x) * 17).bitwiseAND(F.lit(slots - 1)).cast("int")
-        return F.exists(F.get(joins, slot), lambda j: (_high(j) == pair) & (_low(j) < _low(r)) & (_low(j) <= _low(x)))
+        slot = (_high(r) * 31 + _high(x) * 17).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+        return F.exists(F.get(known["joins"], slot), lambda j: (_high(j) == pair) & (_low(j) < _low(r)) & (_low(j) <= _low(x)))
 
-    return lambda before, edge: F.exists(F.get(ends[0], _low(before).cast("int")), lambda r: F.exists(F.get(ends[1], _low(edge).cast("int")), lambda x: found(r, x)))
+    return F.exists(F.get(known["right"], _low(before).cast("int")), lambda r: F.exists(F.get(known["left"], _low(edge).cast("int")), lambda x: found(r, x)))
 
 
 def lattice(words: DataFrame, path: str) -> DataFrame:
@@ -258,20 +260,23 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
     end, begin = (F.shiftleft(x.cast("long"), n * BITS) for x, n in ((F.col("b") + F.col("l"), 2), (F.col("b"), 1)))
     edge = edge.select("at", "word", end.bitwiseOR(begin).bitwiseOR(F.when(F.col("piece") == F.col("known"), F.col("id")).otherwise(0).cast("long")).alias("edge"))
     grouped = edge.groupBy("at", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    joined = joined_before(v)
 
-    def step(last: Column, edge: Column) -> Column:
-        """last: the edge to each place, for places below the first that is open."""
-        begin = _low(_high(edge)).cast("int")
-        settled = F.size(last) > _high(_high(edge))
-        return F.when(settled, last).when((begin > 0) & joined(F.get(last, begin), edge), last).otherwise(F.array_append(last, edge))
+    def last_edges(known: Column) -> Column:
+        """The edge to each place, for places below the first that is open."""
+        def step(last: Column, edge: Column) -> Column:
+            begin = _low(_high(edge)).cast("int")
+            settled = F.size(last) > _high(_high(edge))
+            return F.when(settled, last).when((begin > 0) & joined_before(known, F.get(last, begin), edge), last).otherwise(F.array_append(last, edge))
+
+        return F.aggregate("edges", F.array(F.lit(0).cast("long")), step)
 
     def follow(acc: Column, edge: Column) -> Column:
         on_path = _high(_high(edge)) == acc["at"]
         return F.when(on_path, F.struct(_low(_high(edge)).alias("at"), F.array_append(acc["path"], edge).alias("path"))).otherwise(acc)
 
     zero = F.struct(F.length("word").cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("path"))
-    found = grouped.select("word", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("last"))
+    # a fold takes no subquery but a column, which the optimizer puts in place of it again
+    found = grouped.select("word", "edges", merges(spark, v).alias("known")).select("word", let(F.col("known"), last_edges).alias("last"))
     behind = F.reverse(F.slice("last", 2, F.length("word")))
     found = found.select("word", F.reverse(F.aggregate(behind, zero, follow)["path"]).alias("path")).withColumn("ids", F.transform("path", lambda e: _low(e).cast("int")))
     byte_ids = F.array(*[F.lit(v.of_byte[b]) for b in range(256)])

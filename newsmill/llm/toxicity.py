@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, bounded, prepare, strings, table, written
+from .common import WordCache, bounded, give_back, prepare, strings, table, written
 
 MOST_LABELS, MOST_BYTES, GRADES = 20_000, 1 << 28, 3
 PREFIXES = (5, 6, 7)
@@ -169,6 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Every row stays; null text is empty. Columns of docs with these names are replaced.
     """
     prepare(docs.sparkSession)
+    give_back()  # what fitting has held in the driver
     out = ("severity", "p_toxic", "grade", "is_toxic")
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in out]
     keep = [i for i, f in enumerate(docs.schema) if f.name not in out]

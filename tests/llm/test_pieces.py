@@ -69,3 +69,9 @@ def test_what_was_written_can_be_cleared(spark):
     made = list(common._made)
     common.clean_up(spark)
     assert made and not [t.name for t in spark.catalog.listTables() if t.name.startswith("newsmill_packs")]
+
+
+def test_the_vocabulary_is_not_printed_with_the_plan(spark):
+    encoded = pieces.encode(odd(spark), PATH)
+    assert len(encoded._jdf.queryExecution().executedPlan().toString()) < 300_000
+    assert encoded.count() == len(ODD)
