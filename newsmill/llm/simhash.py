@@ -25,6 +25,8 @@ SEED, BLOCKS, MOST_RADIUS = 42, 8, 3
 NEAR, BANDS = 10, 8
 #: Bits within which two texts of a bucket may be near copies, and the similarity (4 of 5) that makes them so.
 CANDIDATES, ALIKE = 22, (4, 5)
+#: One text in SAMPLE is looked at for common shingles: those of OFTEN of these texts or more, the most frequent MOST_COMMON.
+SAMPLE, OFTEN, MOST_COMMON = 16, 4, 100_000
 _ORDERS = [xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(2 * BANDS)]
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -42,15 +44,18 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return [h(line[s:e], SEED) for s, e in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprints(texts: list[str], width: int) -> np.ndarray:
-    """A bit is set where over half the hashes have it; zero without words."""
-    own = [shingle_hashes(t, width) for t in texts]
-    out = np.zeros(len(texts), np.uint64)
-    full = [i for i, x in enumerate(own) if x]
+def hash_arrays(texts: list[str], width: int) -> list[np.ndarray]:
+    return [np.array(shingle_hashes(t, width), np.uint64) for t in texts]
+
+
+def fingerprints(own: list[np.ndarray]) -> np.ndarray:
+    """Of each text's hashes: a bit is set where over half of them have it; zero without words."""
+    out = np.zeros(len(own), np.uint64)
+    full = [i for i, x in enumerate(own) if len(x)]
     for i in range(0, len(full), 64):
         some = full[i : i + 64]
         sizes = np.array([len(own[j]) for j in some])
-        flat = np.concatenate([np.array(own[j], np.uint64) for j in some])
+        flat = np.concatenate([own[j] for j in some])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         counts = np.add.reduceat(np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int64)
         out[some] = np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -63,7 +68,7 @@ def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(strings(b.column(1)), width).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(hash_arrays(strings(b.column(1)), width)).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -181,8 +186,8 @@ def edges(fps: DataFrame, radius: int) -> DataFrame:
     return edges_of(keyed, radius)
 
 
-def edges_of(keyed: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links within the radius among the fingerprints of each bucket k of keyed(fp, k), rows distinct."""
+def edges_of(keyed: DataFrame, radius: int, distinct: bool = True) -> DataFrame:
+    """(a, b): links within the radius among the fingerprints of each bucket k of keyed(fp, k), whose rows are distinct or made so."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +202,8 @@ def edges_of(keyed: DataFrame, radius: int) -> DataFrame:
                 a, b = (np.concatenate([f[i] for f in found]).astype(np.uint64).view(np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return keyed.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+    dealt = keyed.repartition(parts, "k")
+    return (dealt if distinct else dealt.distinct()).sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
 def _roots(own: DataFrame, radius: int) -> DataFrame:
@@ -221,14 +227,13 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def bands(texts: list[str], width: int) -> list[list[int]]:
-    """BANDS numbers of each text, each from the least of its shingles in two orders: texts whose shingle sets have a
+def bands(own: list[np.ndarray]) -> list[list[int]]:
+    """BANDS numbers of each text's hashes, each from the least in two orders: texts whose shingle sets have a
     Jaccard similarity of s share one with probability 1 - (1 - s * s) ** BANDS, 0.9997 at 0.8. Without words all zero."""
-    own = [shingle_hashes(t, width) for t in texts]
-    out = np.zeros((len(texts), BANDS), np.uint64)
-    full = [i for i, x in enumerate(own) if x]
+    out = np.zeros((len(own), BANDS), np.uint64)
+    full = [i for i, x in enumerate(own) if len(x)]
     if full:
-        flat = np.concatenate([np.array(own[i], np.uint64) for i in full])
+        flat = np.concatenate([own[i] for i in full])
         starts = np.cumsum([0, *(len(own[i]) for i in full[:-1])])
         for b in range(BANDS):
             one, two = (np.minimum.reduceat((flat ^ (flat >> np.uint64(29))) * np.uint64(_ORDERS[2 * b + i]), starts) for i in (0, 1))
@@ -236,35 +241,81 @@ def bands(texts: list[str], width: int) -> list[list[int]]:
     return out.view(np.int64).tolist()
 
 
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted hashes of the text's shingles, each once."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+def leading(n: np.ndarray) -> np.ndarray:
+    """How many elements of sets of n, first in an order that all sets follow, hold one that a set alike to them leads with too."""
+    return np.where(n > 0, n - -(-n * ALIKE[0] // ALIKE[1]) + 1, 0)
+
+
+def leads(own: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The leading elements of a sorted set: common shingles (sorted, with their ranks) come last, the most frequent at the end."""
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, ranks[at] + 1, 0)
+    return own[np.argsort(rank, kind="stable")[: int(leading(np.array(len(own))))]]
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of texts(text, ...) hold, sorted, and their ranks, the most frequent last. Only costs depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(x) for x in hash_arrays(strings(b.column(0)), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = often.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
 
 
 def alike(sets: list[np.ndarray]) -> np.ndarray:
     """For each of the sets the number of the first of its component; sets of a Jaccard similarity of 0.8 are linked.
 
-    Searches outwards from a root as link_large, every set reached against all not yet reached.
+    Searches outwards from a root as link_large. A set is compared with those not yet reached that share one of its leading
+    elements, rarest first, and whose sizes allow it; sets that are alike do.
     """
-    out, left = np.arange(len(sets)), np.arange(len(sets))
+    out, n = np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets))
+    out[n == 0] = np.flatnonzero(n == 0)[:1].sum()
     ids, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    own = np.split(flat, np.cumsum(sizes)[:-1])
-    mark = np.zeros(len(ids) + 1, np.int64)
-    while len(left):
-        root, frontier, left = left[0], [left[0]], left[1:]
-        rest, n = np.concatenate([flat[:0], *(own[i] for i in left)]), sizes[left]
-        while frontier and len(left):
+    order = np.argsort(count := np.bincount(flat, minlength=len(ids)), kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    starts, owner = np.cumsum(n) - n, np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    flat = np.sort((owner.astype(np.int64) << 32) | rank[flat])  # by set, rarest first
+    flat = (flat & 0xFFFFFFFF).astype(np.int32)
+    # places of elements that lead a set, and that another set holds too
+    lead = (np.arange(len(flat)) - starts[owner] < leading(n)[owner]) & (count[order][flat] > 1)
+    element, holder = flat[lead], owner[lead]
+    own = np.split(element, np.cumsum(np.bincount(holder, minlength=len(sets)))[:-1]) if len(sets) else []
+    by = np.argsort(element, kind="stable")
+    firsts = np.flatnonzero(np.concatenate(([True], np.diff(element[by]) != 0))) if len(element) else []
+    holders = dict(zip(element[by][firsts].tolist(), np.split(holder[by], firsts[1:]), strict=True)) if len(element) else {}
+    left, mark = n > 0, np.zeros(len(ids), bool)
+    for root in np.flatnonzero(left).tolist():
+        frontier = [root] if left[root] else []
+        left[root] = False
+        while frontier:
             one = frontier.pop()
-            mark[own[one]] = 1
-            # sums between the ends, for a set may be empty
-            both = np.diff(np.concatenate(([0], np.cumsum(mark[rest])))[np.concatenate(([0], np.cumsum(n)))])
-            mark[own[one]] = 0
-            hit = both * ALIKE[1] >= (n + sizes[one] - both) * ALIKE[0]
-            if hit.any():
-                out[left[hit]] = root
-                frontier += left[hit].tolist()
-                rest, left, n = rest[np.repeat(~hit, n)], left[~hit], n[~hit]
+            near = [np.zeros(0, np.int64)]
+            for e in own[one].tolist():
+                some = holders[e][left[holders[e]]]
+                if 2 * len(some) <= len(holders[e]):
+                    holders[e] = some  # those reached need not be passed over again
+                near.append(some)
+            near = np.unique(np.concatenate(near))
+            near = near[(n[near] * ALIKE[1] >= n[one] * ALIKE[0]) & (n[one] * ALIKE[1] >= n[near] * ALIKE[0])]
+            if not len(near):
+                continue
+            size = n[near]
+            ends = np.cumsum(size)
+            mark[flat[starts[one] : starts[one] + n[one]]] = True
+            both = np.add.reduceat(mark[flat[np.repeat(starts[near] - ends + size, size) + np.arange(ends[-1])]], ends - size, dtype=np.int64)
+            mark[flat[starts[one] : starts[one] + n[one]]] = False
+            hit = near[both * ALIKE[1] >= (size + n[one] - both) * ALIKE[0]]
+            out[hit], left[hit] = root, False
+            frontier += hit.tolist()
     return out
 
 
@@ -276,7 +327,7 @@ def _verified(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingle_set(t, width).tobytes() for t in strings(b.column(2))]
+            own = [np.unique(x).tobytes() for x in hash_arrays(strings(b.column(2)), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.binary())], ["root", "cls", "own"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,28 +346,35 @@ def _verified(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 5, radius: int = CANDIDATES) -> DataFrame:
     """One row of docs, with its columns, for each group: that of the least doc_id (a null one last), the least hash of ties.
 
-    Groups are the components of the texts whose shingle sets have a Jaccard similarity of 0.8 or more. Fingerprints within
-    `radius` in the buckets of `bands` only make groups of candidates; within each, all sets are compared. Texts of equal
-    sets are one class, of which one set is compared.
+    Groups are the components of the texts whose shingle sets have a Jaccard similarity of 0.8 or more. Texts with a fingerprint
+    within `radius` in a bucket of `bands` are candidates. Those of a common line are so by chance, the more the larger the
+    table; candidates are therefore grouped by fingerprints within `radius` in the buckets of the shingles that lead their
+    sets, rare ones first, of which alike sets share one. Within each group sets are compared. Texts of equal sets are one
+    class, of which one set is compared.
     """
     names = docs.columns
     key, row = free_names(names, "key", "row")
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(key), F.xxhash64(*[F.col(f"`{n}`") for n in names]).alias(row))
     texts = keyed.select(F.col(key).alias("key"), F.col(row).alias("hash"), F.col("text").cast("string").alias("text"))
+    prepare(docs.sparkSession)
+    common, ranks = common_shingles(texts, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = strings(b.column(2))
-            cls = [xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in texts]
-            cells = (pa.array(fingerprints(texts, width).view(np.int64)), pa.array(bands(texts, width), pa.list_(pa.int64())), pa.array(cls, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["key", "hash", "fp", "bands", "cls"])
-
-    prepare(docs.sparkSession)
-    own = written(texts.mapInArrow(run, "key long, hash long, fp long, bands array<long>, cls binary"), "fingerprints")
+            own = hash_arrays(strings(b.column(2)), width)
+            sets = [np.unique(x) for x in own]
+            cls = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            lead = [leads(x, common, ranks).view(np.int64) for x in sets]
+            cells = (pa.array(fingerprints(own).view(np.int64)), pa.array(bands(sets), pa.list_(pa.int64())), pa.array(lead, pa.list_(pa.int64())), pa.array(cls, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["key", "hash", "fp", "bands", "leads", "cls"])
+
+    own = written(texts.mapInArrow(run, "key long, hash long, fp long, bands array<long>, leads array<long>, cls binary"), "fingerprints")
     classes = written(own.groupBy("cls").agg(F.min("fp").alias("fp"), F.min(F.struct("key", "hash")).alias("one")), "classes")
     # a class has several fingerprints where its shingles are repeated differently
-    same = own.select("cls", F.col("fp").alias("a")).join(classes.select("cls", F.col("fp").alias("b")), "cls").where("a <> b").select("a", "b")
-    links = edges_of(own.select("fp", F.explode("bands").alias("k")).distinct(), radius).unionByName(same)
+    same = written(own.select("cls", F.col("fp").alias("a")).join(classes.select("cls", F.col("fp").alias("b")), "cls").where("a <> b").select("a", "b").distinct(), "same")
+    near = edges_of(own.select("fp", F.explode("bands").alias("k")).distinct(), radius)
+    near = written(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "near")
+    links = edges_of(own.join(near, "fp", "left_semi").select("fp", F.explode("leads").alias("k")), radius, distinct=False).unionByName(same)
     found = components(links).withColumnRenamed("node", "fp")
     classes = written(classes.join(found, "fp", "left").select("cls", "one", F.coalesce("root", "fp").alias("root")), "candidates")
     first = written(_verified(texts, classes, width), "verified")
